@@ -64,13 +64,13 @@ _PHRASES = [[phrase for theme, _, phrase in NOTES if theme == t["theme"]] for t
 _WIDEST = max(map(len, _PHRASES))
 _ALL_PHRASES = [p for row in _PHRASES for p in row + [None] * (_WIDEST - len(row))]
 
+_STAGE_OF = _by_theme("theme_no", [_STAGE_NO[t["stage"]] for t in _T], "int")
+_TENTHS_OF = _by_theme("theme_no", [t["mean_tenths"] for t in _T], "bigint")
 THEME_FACTS = (
     _by_theme("theme_no", [t["theme"] for t in _T], "string") + " AS theme_key",
     _by_theme("theme_no", [t["stage"] for t in _T], "string") + " AS theme_stage",
-    _by_theme("theme_no", [_STAGE_NO[t["stage"]] for t in _T], "int") + " AS stage_no",
     _by_theme("theme_no", [t["theme_code"] for t in _T], "string") + " AS theme_code",
     _by_theme("theme_no", [t["theme_denial"] for t in _T], "string") + " AS theme_denial",
-    _by_theme("theme_no", [t["mean_tenths"] for t in _T], "bigint") + " AS mean_tenths",
     _by_theme("theme_no", [t["sub_causes"] for t in _T], "bigint") + " AS sub_causes",
     _by_theme("if(k % 23 = 0, (theme_no + 1) % 13, theme_no)", [t["theme"] for t in _T], "string") + " AS guess",
 )
@@ -81,14 +81,18 @@ _TO_INTAKE = "received_s + (k % 10 + 2 + if(channel = '5-LOW', 26, 0)) * 3600"
 _TO_PREADJ = f"{_TO_INTAKE} + (c % 20 + 4) * 3600"
 _TO_ADJUDICATION = f"{_TO_PREADJ} + ((k + c) % 48 + 24) * 3600"
 _TO_FINAL = f"{_TO_ADJUDICATION} + (k % 24 + 12) * 3600"
-TIMES = (
-    f"CASE stage_no WHEN 0 THEN received_s WHEN 1 THEN {_TO_INTAKE} WHEN 2 THEN {_TO_PREADJ} ELSE {_TO_ADJUDICATION} END AS hold_from",
-    f"{_TO_INTAKE} + if(stage_no = 0, hold, 0) AS intake_end",
-    f"{_TO_PREADJ} + if(stage_no <= 1, hold, 0) AS preadj_end",
-    f"{_TO_ADJUDICATION} + if(stage_no <= 2, hold, 0) AS adjudication_end",
-    f"{_TO_FINAL} + hold AS final_end",
-    "held AND hold_from <= as_of_s AS pended",
-)
+TIMES = {
+    "theme_no": "theme_no",
+    "received_s": "received_s",
+    "as_of_s": "as_of_s",
+    "hold": "hold",
+    "hold_from": f"CASE stage_no WHEN 0 THEN received_s WHEN 1 THEN {_TO_INTAKE} WHEN 2 THEN {_TO_PREADJ} ELSE {_TO_ADJUDICATION} END",
+    "intake_end": f"{_TO_INTAKE} + if(stage_no = 0, hold, 0)",
+    "preadj_end": f"{_TO_PREADJ} + if(stage_no <= 1, hold, 0)",
+    "adjudication_end": f"{_TO_ADJUDICATION} + if(stage_no <= 2, hold, 0)",
+    "final_end": f"{_TO_FINAL} + hold",
+}
+_TIME_COLUMNS = ("theme_no", "received_s", "as_of_s", "hold")
 
 COLUMNS = (
     "concat('C26', lpad(cast(k AS string), 8, '0')) AS claim_id",
@@ -155,13 +159,19 @@ def claims_from_orders(spark: SparkSession, sf_dir: str, claim_type: bool = True
         "k * 13 % 50 + 50 AS certainty",
         f"certainty >= {round(MIN_CONFIDENCE * 100)} AS confident",
     )
+    df = df.selectExpr("*", f"{_STAGE_OF} AS stage_no", f"{_TENTHS_OF} AS mean_tenths").selectExpr(
+        "*", "if(held, (mean_tenths * (25 + (17 * c + 5 * k) % 150) * 864) div 10, 0) AS hold")
+    # The times leave as the output of a generator, so that a filter on a derived
+    # column is not rewritten into these formulas over and over.
+    kept = [column for column in df.columns if column not in (*_TIME_COLUMNS, "stage_no", "mean_tenths", "as_of")]
+    times = ", ".join(f"'{name}', {formula}" for name, formula in TIMES.items())
+    df = df.selectExpr(*kept, f"inline(array(named_struct({times})))")
     df = df.selectExpr("*", *THEME_FACTS).selectExpr(
         "*",
-        "if(held, (mean_tenths * (25 + (17 * c + 5 * k) % 150) * 864) div 10, 0) AS hold",
+        "held AND hold_from <= as_of_s AS pended",
         "(k div 3) % sub_causes AS sub_cause",
         f"theme_no * {_WIDEST} + if(sub_causes = 2, sub_cause + 2 * (k % 2), sub_cause) AS phrase_no",
         _by_theme("phrase_no", _ALL_PHRASES, "string") + " AS phrase",
-        *TIMES,
     )
     columns = [column for column in COLUMNS if claim_type or column != "claim_type"]
     return add_measures(df.selectExpr(*columns), as_of)
