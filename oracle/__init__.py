@@ -1,5 +1,10 @@
 """SQL twins of the registered queries, for DuckDB."""
 
-from oracle.claims_sql import SQL as _CLAIMS
+from __future__ import annotations
 
-ORACLE: dict[str, str] = {**_CLAIMS}
+
+def all_sql() -> dict[str, str]:
+    from oracle.claims_sql import SQL as claims
+    from oracle.text_sql import SQL as text
+
+    return {**claims, **text}

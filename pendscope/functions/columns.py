@@ -49,13 +49,31 @@ def mean_days(seconds: Column) -> Column:
     return rate(F.sum(seconds), F.count(seconds) * F.lit(DAY_SECONDS))
 
 
-def rounded(value: Column | str, digits: int = 0) -> Column:
-    """Round to the nearest decimal, judged by the exact binary value, halves to even.
+def nearest_sql(value: str, digits: int = 0) -> str:
+    """SQL text that rounds to the nearest decimal, judged by the exact binary value,
+    halves to even.
+
+    ``round`` judges the printed digits instead and so turns 8.245 (stored a little
+    below) into 8.25. Only where ``value * 10^digits`` lands on a half does the
+    rounding error of that product decide; it is computed exactly by splitting the
+    value into two parts of at most 26 bits."""
+    x = f"cast({value} AS double)"
+    if digits == 0:
+        return f"rint({x})"
+    p = f"{10**digits}D"
+    t, high = f"({x} * {p})", f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    error = f"(({high} * {p} - {t}) + ({x} - {high}) * {p})"
+    on_half = f"{t} - floor({t}) = 0.5D AND {error} <> 0D"
+    return f"(CASE WHEN {on_half} THEN floor({t}) + if({error} > 0D, 1, 0) ELSE rint({t}) END / {p})"
+
 
-    ``F.round`` judges the printed digits instead and so turns 8.245 (stored a
-    little below) into 8.25. Only where ``value * 10^digits`` lands on a half does
-    the rounding error of that product decide; it is computed exactly by splitting
-    the value into two parts of at most 26 bits."""
+def round_to(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
+    """``df`` with the named columns rounded, in place."""
+    return df.selectExpr(*(f"{nearest_sql(c, digits[c])} AS {c}" if c in digits else f"`{c}`" for c in df.columns))
+
+
+def rounded(value: Column | str, digits: int = 0) -> Column:
+    """Column form of :func:`nearest_sql`."""
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     scale = F.lit(float(10**digits))
     if digits == 0:

@@ -12,6 +12,7 @@ from pendscope.functions.columns import rounded
 from pendscope.config import RANK_METRICS, STAGE_ORDER
 from pendscope.operators import browse, emerging, findings, interventions, journey, kpis, segments, themes, trends
 from pendscope.operators.scope import Scope, scope
+from pendscope.plans.text_queries import TEXT_QUERIES
 from pendscope.sources.adapter import claims_from_orders
 from pendscope.sources.playbook import theme_dim
 
@@ -87,4 +88,4 @@ CLAIM_QUERIES: dict[str, Query] = {
     "claim_stage_days": _over_claims(browse.claim_stage_days),
 }
 
-QUERIES: dict[str, Query] = {"theme_dim": _theme_dim, **CLAIM_QUERIES}
+QUERIES: dict[str, Query] = {"theme_dim": _theme_dim, **CLAIM_QUERIES, **TEXT_QUERIES}
