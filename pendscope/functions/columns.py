@@ -44,11 +44,6 @@ def days(seconds: Column) -> Column:
     return seconds / F.lit(float(DAY_SECONDS))
 
 
-def mean_days(seconds: Column) -> Column:
-    """Average of a seconds column in days, over the rows where it is present."""
-    return rate(F.sum(seconds), F.count(seconds) * F.lit(DAY_SECONDS))
-
-
 def nearest_sql(value: str, digits: int = 0) -> str:
     """SQL text that rounds to the nearest decimal, judged by the exact binary value,
     halves to even.
@@ -72,19 +67,9 @@ def round_to(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
     return df.selectExpr(*(f"{nearest_sql(c, digits[c])} AS {c}" if c in digits else f"`{c}`" for c in df.columns))
 
 
-def rounded(value: Column | str, digits: int = 0) -> Column:
-    """Column form of :func:`nearest_sql`."""
-    x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    scale = F.lit(float(10**digits))
-    if digits == 0:
-        return F.rint(x)
-    t = x * scale
-    big = x * F.lit(134217729.0)
-    high = big - (big - x)
-    error = (high * scale - t) + (x - high) * scale
-    below = F.floor(t)
-    on_half = (t - below == 0.5) & (error != 0)
-    return F.when(on_half, below + F.when(error > 0, 1).otherwise(0)).otherwise(F.rint(t)) / scale
+def rounded(value: str, digits: int = 0) -> Column:
+    """Column form of :func:`nearest_sql` for a named column."""
+    return F.expr(nearest_sql(value, digits))
 
 
 def rounded_by_product(value: Column, digits: int) -> Column:
@@ -93,8 +78,24 @@ def rounded_by_product(value: Column, digits: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def percent_text(share: Column) -> Column:
-    return F.concat(rounded(share * 100).cast("long").cast("string"), F.lit("%"))
+def share_sql(part: str, whole: str) -> str:
+    """part / whole as SQL text, null where there is nothing to divide by."""
+    return f"try_divide(cast({part} AS double), cast({whole} AS double))"
+
+
+def mean_days_sql(seconds: str, where: str = "true") -> str:
+    """Average in days of a seconds column over the chosen rows where it is present."""
+    chosen = f"if({where}, {seconds}, NULL)"
+    return share_sql(f"sum({chosen})", f"(count({chosen}) * {DAY_SECONDS})")
+
+
+def percent_sql(share: str) -> str:
+    return f"concat(cast(cast(rint({share} * 100) AS bigint) AS string), '%')"
+
+
+def aggregates(texts: Mapping[str, str]) -> list[Column]:
+    """Aggregate columns from SQL text by name."""
+    return [F.expr(f"{text} AS `{name}`") for name, text in texts.items()]
 
 
 def exclude_null(df: DataFrame, *names: str) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.config import (
     BASELINE_DAYS, DIMENSION_LABELS, EMERGING_MIN_LIFT, EMERGING_MIN_Z, RECENT_DAYS, SEGMENT_DIMENSIONS,
 )
-from pendscope.functions.columns import exclude_null, percent_text, rate, rounded
+from pendscope.functions.columns import exclude_null, percent_sql, round_to, share_sql
 from pendscope.operators.themes import with_names
 
 
@@ -87,19 +87,18 @@ def rise_table(claims: DataFrame, rule: RiseRule = RiseRule(), dimensions: Seque
         "base_p95": F.expr(f"base[{at}] + (base[{min(at + 1, b - 1)}] - base[{at}]) * {part!r}D"),
     }).filter("base_sum > 0")
     df = df.withColumns({
-        "recent_mean": F.col("recent_sum") / F.lit(float(r)),
-        "base_mean": F.col("base_sum") / F.lit(float(b)),
+        "recent_mean": F.expr(f"recent_sum / {r}D"),
+        "base_mean": F.expr(f"base_sum / {b}D"),
         # from integer sums: the same on every run, and exactly 0 for a flat baseline
-        "base_std": F.sqrt(F.expr(f"base_squares * {b} - base_sum * base_sum") / F.lit(float(b * (b - 1)))),
+        "base_std": F.expr(f"sqrt((base_squares * {b} - base_sum * base_sum) / {b * (b - 1)}D)"),
         "onset_age": F.expr(
             f"array_max(filter(sequence(0, {r - 1}), a -> recent[a] > base_p95 AND recent[greatest(a - 1, 0)] > base_p95))"),
     })
-    gain = F.col("recent_mean") - F.col("base_mean")
-    return df.withColumns({
-        "lift": F.col("recent_mean") / F.col("base_mean"),
-        "z": F.when(F.col("base_std") == 0, F.lit(0.0)).otherwise(F.try_divide(gain, F.col("base_std") / F.sqrt(F.lit(float(r))))),
-        "extra": gain * r,
-    }).drop("counts", "daily", "recent", "base")
+    return df.selectExpr(
+        "*", "recent_mean / base_mean AS lift",
+        f"if(base_std = 0, 0D, try_divide(recent_mean - base_mean, base_std / sqrt({r}D))) AS z",
+        f"(recent_mean - base_mean) * {r} AS extra",
+    ).drop("counts", "daily", "recent", "base")
 
 
 def rise_scores(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame:
@@ -107,34 +106,28 @@ def rise_scores(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame:
     return rise_table(claims, rule, ()).select("theme", "recent_sum", "base_sum", "base_p95", "lift", "z")
 
 
-def _day_back(age) -> Column:
-    return F.date_format(F.date_sub("last_day", age), "yyyy-MM-dd")
+def _day_back(age: int | str) -> str:
+    return f"date_format(date_sub(last_day, {age}), 'yyyy-MM-dd')"
 
 
 def emerging_onset(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame:
     """First recent day above the base 95th percentile that stays above it the next
     day; the last day is compared with itself. Null when there is none."""
-    return rise_table(claims, rule, ()).select("theme", _day_back(F.col("onset_age")).alias("onset"))
-
-
-def _driver_columns(rule: RiseRule) -> list[Column]:
-    r, b = rule.recent, rule.baseline
-    share = rounded(rate(F.col("driver.gain"), F.expr(f"recent_sum * {b} - base_sum * {r}")), 2)
-    return [
-        F.col("driver.dimension").alias("driver_dimension"),
-        F.col("driver.value").alias("driver_value"),
-        rounded(F.col("driver.before_n") / F.lit(float(b)), 1).alias("driver_before"),
-        rounded(F.col("driver.now_n") / F.lit(float(r)), 1).alias("driver_now"),
-        share.alias("share_of_rise"),
-    ]
+    return rise_table(claims, rule, ()).selectExpr("theme", f"{_day_back('onset_age')} AS onset")
 
 
 def _with_driver(df: DataFrame, rule: RiseRule) -> DataFrame:
     """Driver as columns. On a tie the earlier dimension wins, then the smaller
     value; only values seen in the recent weeks take part."""
-    share = F.col("share_of_rise")
-    in_words = F.when(share >= 0.95, "Almost all").when(share >= 0.6, "Most").otherwise(percent_text(share))
-    return df.select("*", *_driver_columns(rule)).withColumn("share_text", in_words)
+    r, b = rule.recent, rule.baseline
+    shown = round_to(df.selectExpr(
+        "*", "driver.dimension AS driver_dimension", "driver.value AS driver_value",
+        f"driver.before_n / {b}D AS driver_before", f"driver.now_n / {r}D AS driver_now",
+        f"{share_sql('driver.gain', f'(recent_sum * {b} - base_sum * {r})')} AS share_of_rise",
+    ), {"driver_before": 1, "driver_now": 1, "share_of_rise": 2})
+    return shown.selectExpr(
+        "*", "CASE WHEN share_of_rise >= 0.95 THEN 'Almost all' WHEN share_of_rise >= 0.6 THEN 'Most' "
+        f"ELSE {percent_sql('share_of_rise')} END AS share_text")
 
 
 def emerging_driver(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame:
@@ -147,28 +140,23 @@ def emerging_driver(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame
 def emerging_top_cluster(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame:
     """The cluster that holds most recent claims of each theme, and its share of
     the recent claims that have a cluster."""
-    return rise_table(claims, rule, ()).filter("top IS NOT NULL").select(
-        "theme", F.col("top.value").alias("top_cluster"),
-        rounded(rate(F.col("top.now_n"), F.col("clustered")), 2).alias("top_cluster_share"))
+    table = rise_table(claims, rule, ()).filter("top IS NOT NULL").selectExpr(
+        "theme", "top.value AS top_cluster", f"{share_sql('top.now_n', 'clustered')} AS top_cluster_share")
+    return round_to(table, {"top_cluster_share": 2})
 
 
 def emerging(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame:
     """Rising themes with driver, onset, extra claims, top cluster and both windows."""
     found = rise_table(claims, rule).filter((F.col("lift") >= rule.min_lift) & (F.col("z") >= rule.min_z))
-    label = F.create_map(*[F.lit(x) for pair in DIMENSION_LABELS.items() for x in pair])
-    return (
-        _with_driver(with_names(found), rule)
-        .select(
-            F.col("theme").alias("key"), "name",
-            rounded("base_mean", 1).alias("per_day_before"), rounded("recent_mean", 1).alias("per_day_now"),
-            rounded("lift", 2).alias("lift"), rounded("z", 1).alias("z"),
-            _day_back(F.col("onset_age")).alias("onset"),
-            rounded("extra").cast("long").alias("extra_claims"),
-            label[F.col("driver_dimension")].alias("driver_dimension"), "driver_value", "driver_before", "driver_now",
-            "share_of_rise", "share_text",
-            F.col("top.value").alias("top_cluster"),
-            rounded(rate(F.col("top.now_n"), F.col("clustered")), 2).alias("top_cluster_share"),
-            _day_back(rule.recent - 1).alias("recent_from"), _day_back(0).alias("recent_to"),
-            _day_back(rule.needs_days - 1).alias("base_from"), _day_back(rule.recent).alias("base_to"))
-        .orderBy(F.desc("lift"), "key")
-    )
+    labels = " ".join(f"WHEN '{name}' THEN '{label}'" for name, label in DIMENSION_LABELS.items())
+    table = _with_driver(with_names(found), rule).selectExpr(
+        "theme AS key", "name", "base_mean AS per_day_before", "recent_mean AS per_day_now", "lift", "z",
+        f"{_day_back('onset_age')} AS onset",
+        "cast(rint(extra) AS bigint) AS extra_claims",
+        f"CASE driver_dimension {labels} END AS driver_dimension",
+        "driver_value", "driver_before", "driver_now", "share_of_rise", "share_text",
+        "top.value AS top_cluster", f"{share_sql('top.now_n', 'clustered')} AS top_cluster_share",
+        f"{_day_back(rule.recent - 1)} AS recent_from", f"{_day_back(0)} AS recent_to",
+        f"{_day_back(rule.needs_days - 1)} AS base_from", f"{_day_back(rule.recent)} AS base_to")
+    digits = {"per_day_before": 1, "per_day_now": 1, "lift": 2, "z": 1, "top_cluster_share": 2}
+    return round_to(table, digits).orderBy(F.desc("lift"), "key")

@@ -3,69 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pendscope.config import NEEDS_REVIEW
-from pendscope.functions.columns import percent_text
+from pendscope.functions.columns import aggregates, percent_sql
 from pendscope.operators.emerging import RiseRule, emerging
 from pendscope.operators.themes import theme_figures
 
 
+ROW = "struct(theme, name, claims, claims_share, avg_pend_days, pend_days, pend_days_share)"
+
+
 def _leaders(claims: DataFrame) -> DataFrame:
     """One row: the theme with most days (d), most claims (c) and the shortest
     average hold (q). Ties go to the theme with more days lost, then by key."""
-    named = F.col("theme") != NEEDS_REVIEW
-    row = F.struct("theme", "name", "claims", "claims_share", "avg_pend_days", "pend_days", "pend_days_share")
-    days_first = [-F.col("pend_days"), F.col("theme")]
-
-    def first(*order):
-        return F.min_by(F.when(named, row), F.when(named, F.struct(*order)))
-
-    return theme_figures(claims).agg(
-        first(*days_first).alias("d"),
-        first(-F.col("claims"), *days_first).alias("c"),
-        first(F.col("avg_pend_days"), *days_first).alias("q"),
-        F.max("generic_share").alias("generic_share"),
-    ).filter(F.col("d").isNotNull())
+    first = "min_by({row}, struct({order}-pend_days, theme)) FILTER (WHERE theme <> '" + NEEDS_REVIEW + "')"
+    return theme_figures(claims).agg(*aggregates({
+        "d": first.format(row=ROW, order=""),
+        "c": first.format(row=ROW, order="-claims, "),
+        "q": first.format(row=ROW, order="avg_pend_days, "),
+        "generic_share": "max(generic_share)",
+    })).filter("d IS NOT NULL")
+
+
+def _finding(seq: int, kind: str, theme: str, title: str, *text: str) -> str:
+    """A finding as SQL text; parts of the text are literals in quotes or expressions."""
+    return (f"named_struct('seq', {seq}, 'kind', '{kind}', 'theme', {theme}, 'title', {title}, 'text', concat({', '.join(text)}))")
+
+
+IMPACT = _finding(
+    1, "impact", "d.theme", "concat(d.name, ' loses the most days')",
+    percent_sql("d.pend_days_share"), "' of the days lost come from this theme: '", "format_number(d.claims, 0)",
+    "' claims held '", "d.avg_pend_days", "' days each.'")
+FREQUENT_BUT_QUICK = _finding(
+    2, "contrast", "q.theme", "'Many claims need not mean many days'",
+    "q.name", "' holds '", percent_sql("q.claims_share"), "' of pended claims and only '", percent_sql("q.pend_days_share"),
+    "' of days lost, as each clears in about '", "q.avg_pend_days", "' days.'")
+FREQUENT_NOT_COSTLY = _finding(
+    2, "contrast", "c.theme", "'The most common theme is not the most expensive'",
+    "c.name", "' has most pended claims ('", "format_number(c.claims, 0)", "') but not the most days lost.'")
+HIDDEN = _finding(
+    4, "visibility", "cast(NULL AS string)", "'Codes alone show only part'",
+    percent_sql("generic_share"), "' of pended claims carry just the general code; the reason is in the note.'")
+CONTRAST = (f"CASE WHEN q.claims_share > q.pend_days_share * 2 THEN {FREQUENT_BUT_QUICK} "
+            f"WHEN c.theme <> d.theme THEN {FREQUENT_NOT_COSTLY} END")
+RISE = _finding(
+    3, "emerging", "key", "concat(name, ' is on the rise')",
+    "'From '", "per_day_before", "' to '", "per_day_now", "' claims a day'",
+    "coalesce(concat(' since ', date_format(cast(onset AS date), 'd MMM')), '')", "'. '", "share_text", "' of it is '",
+    "driver_dimension", "' '", "driver_value", "'.'")
 
 
 def key_findings(claims: DataFrame, rule: RiseRule = RiseRule()) -> DataFrame:
-    """Impact, contrast, rise and visibility; each is present only when its rule holds."""
-    # One scan of the themes yields up to three of the findings.
-    thousands = lambda c: F.format_number(c, 0)
-    as_text = lambda c: F.col(c).cast("string")
-    text_type = "struct<seq:int,kind:string,theme:string,title:string,text:string>"
-
-    def finding(seq, kind, theme, title, *text):
-        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), theme.alias("theme"),
-                        title.alias("title"), F.concat(*text).alias("text")).cast(text_type)
-
-    lit, col = F.lit, F.col
-    impact = finding(
-        1, "impact", col("d.theme"), F.concat(col("d.name"), lit(" loses the most days")),
-        percent_text(col("d.pend_days_share")), lit(" of the days lost come from this theme: "), thousands(col("d.claims")),
-        lit(" claims held "), as_text("d.avg_pend_days"), lit(" days each."))
-    frequent_but_quick = finding(
-        2, "contrast", col("q.theme"), lit("Many claims need not mean many days"),
-        col("q.name"), lit(" holds "), percent_text(col("q.claims_share")), lit(" of pended claims and only "),
-        percent_text(col("q.pend_days_share")), lit(" of days lost, as each clears in about "),
-        as_text("q.avg_pend_days"), lit(" days."))
-    frequent_not_costly = finding(
-        2, "contrast", col("c.theme"), lit("The most common theme is not the most expensive"),
-        col("c.name"), lit(" has most pended claims ("), thousands(col("c.claims")), lit(") but not the most days lost."))
-    contrast = (
-        F.when(col("q.claims_share") > col("q.pend_days_share") * 2, frequent_but_quick)
-        .when(col("c.theme") != col("d.theme"), frequent_not_costly))
-    hidden = finding(
-        4, "visibility", lit(None).cast("string"), lit("Codes alone show only part"),
-        percent_text(col("generic_share")), lit(" of pended claims carry just the general code; the reason is in the note."))
-    fixed = _leaders(claims).select(F.inline(F.array_compact(F.array(impact, contrast, hidden))))
-
-    since = F.when(col("onset").isNotNull(), F.concat(lit(" since "), F.date_format(col("onset").cast("date"), "d MMM"))).otherwise(lit(""))
-    rise = emerging(claims, rule).limit(1).select(
-        lit(3).alias("seq"), lit("emerging").alias("kind"), col("key").alias("theme"),
-        F.concat(col("name"), lit(" is on the rise")).alias("title"),
-        F.concat(lit("From "), as_text("per_day_before"), lit(" to "), as_text("per_day_now"), lit(" claims a day"), since,
-                 lit(". "), col("share_text"), lit(" of it is "), col("driver_dimension"), lit(" "), col("driver_value"),
-                 lit(".")).alias("text"))
-    return fixed.unionByName(rise).orderBy("seq")
+    """Impact, contrast, rise and visibility; each is present only when its rule holds.
+    The first, second and last come from one row of leading themes."""
+    told = _leaders(claims).selectExpr(f"inline(array_compact(array({IMPACT}, {CONTRAST}, {HIDDEN})))")
+    rise = emerging(claims, rule).limit(1).selectExpr(f"inline(array({RISE}))")
+    return told.unionByName(rise).orderBy("seq")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pendscope.functions.columns import days, over_all, rounded
+from pendscope.functions.columns import aggregates, rounded
 from pendscope.functions.exact_median import exact_quantile
 from pendscope.operators.kpis import volume_basis
 from pendscope.operators.themes import theme_figures
@@ -22,16 +22,13 @@ def _plan(claims: DataFrame) -> DataFrame:
     spark = claims.sparkSession
     advice = playbook(spark).join(F.broadcast(effort_dim(spark)), "effort_level").select(
         "theme", "addressability", "effort", "effort_level", "effort_weight", "intervention", "owner", "why")
-    removable = F.col("pend_days") * F.col("addressability")
-    whole = lambda name: rounded(F.col(name) * F.col("addressability")).cast("long")
-    scored = theme_figures(claims).join(F.broadcast(advice), "theme").withColumns({
-        "recoverable_days": rounded(removable, 0),
-        "recoverable_claims": whole("claims"),
-        "recoverable_touches": whole("touches"),
-        "priority_score": rounded(removable / F.col("effort_weight"), 0),
-    })
-    order = over_all().orderBy(F.desc("priority_score"), F.desc("pend_days"), "theme")
-    return scored.withColumn("rank", F.row_number().over(order))
+    scored = theme_figures(claims).join(F.broadcast(advice), "theme").selectExpr(
+        "*", "rint(pend_days * addressability) AS recoverable_days",
+        "cast(rint(claims * addressability) AS bigint) AS recoverable_claims",
+        "cast(rint(touches * addressability) AS bigint) AS recoverable_touches",
+        "rint(pend_days * addressability / effort_weight) AS priority_score")
+    return scored.selectExpr(
+        "*", "row_number() OVER (PARTITION BY 0 ORDER BY priority_score DESC, pend_days DESC, theme) AS rank")
 
 
 PLAN_COLUMNS = (
@@ -51,7 +48,7 @@ def interventions(claims: DataFrame, top_n: int | None = None, with_median: bool
     if with_median:
         median = exact_quantile(claims.filter("pended AND theme IS NOT NULL"), "theme", "pend_s")
         plan = plan.join(F.broadcast(median), "theme", "left").withColumn(
-            "median_pend_days", rounded(days(F.col("quantile")), 1))
+            "median_pend_days", rounded("quantile / 86400D", 1))
         columns.append("median_pend_days")
     return plan.withColumnRenamed("theme", "key").select(*columns).orderBy("rank")
 
@@ -63,16 +60,15 @@ def business_case(
     """Yearly effect of the chosen themes (by default the first three of the plan),
     scaled from the scope to ``volume`` claims a year."""
     plan = _plan(claims)
-    chosen: Column = F.col("rank") <= top_n if themes is None else F.col("theme").isin(list(themes))
-    picked = F.when(chosen, F.lit(1)).otherwise(F.lit(0))
-    sums = plan.agg(
-        F.sum(picked).alias("chosen"), F.count("*").alias("available"),
-        *(F.coalesce(F.sum(F.col(f"recoverable_{unit}") * picked), F.lit(0)).cast("double").alias(unit)
-          for unit in ("touches", "days", "claims")))
+    listed = ", ".join(f"'{theme}'" for theme in themes or ())
+    chosen = f"rank <= {int(top_n)}" if themes is None else (f"theme IN ({listed})" if listed else "false")
+    units = ("touches", "days", "claims")
+    sums = plan.agg(*aggregates(
+        {"chosen": f"count_if({chosen})", "available": "count(*)"}
+        | {unit: f"cast(coalesce(sum(if({chosen}, recoverable_{unit}, 0)), 0) AS double)" for unit in units}))
     basis = volume_basis(claims)
     yearly = basis.select("claims_per_year").scalar() if volume is None else F.lit(volume)
-    scale = F.lit(realised) * F.try_divide(yearly.cast("double"), basis.select("claims_in_window").scalar().cast("double"))
-    return sums.withColumn("scale", scale).select(
-        "chosen", "available",
-        *(rounded(F.col(unit) * F.col("scale"), 0).alias(f"{unit}_per_year") for unit in ("touches", "days", "claims")),
-        rounded(F.col("touches") * F.col("scale") * cost_per_touch, 0).alias("cost_avoided"))
+    per_year = F.try_divide(yearly.cast("double"), basis.select("claims_in_window").scalar().cast("double"))
+    return sums.withColumn("scale", F.lit(realised) * per_year).selectExpr(
+        "chosen", "available", *(f"rint({unit} * scale) AS {unit}_per_year" for unit in units),
+        f"rint(touches * scale * cast({cost_per_touch} AS double)) AS cost_avoided")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.config import NEEDS_REVIEW, STAGE_ORDER
-from pendscope.functions.columns import days, exclude_null, mean_days, rate, rounded
+from pendscope.functions.columns import aggregates, exclude_null, mean_days_sql, round_to, share_sql
 from pendscope.operators.themes import theme_figures
 from pendscope.sources.playbook import stage_dim
 
@@ -14,33 +14,29 @@ from pendscope.sources.playbook import stage_dim
 def journey_stages(claims: DataFrame) -> DataFrame:
     """One row per stage. All stages come from one pass that yields a single row of
     sums, which is then laid out as four rows."""
-    pended = F.col("pended")
-    sums = [F.count_if(pended).alias("all_pended"), F.sum(F.when(pended, F.col("pend_s"))).alias("all_pend_s")]
+    sums = {"all_pended": "count_if(pended)", "all_pend_s": "sum(if(pended, pend_s, NULL))"}
     layout = []
     for i, stage in enumerate(STAGE_ORDER):
-        here, spent = pended & (F.col("pend_stage") == stage), F.col(f"{stage}_s")
-        sums += [
-            F.count_if(here).alias(f"n{i}"),
-            F.coalesce(F.sum(F.when(here, F.col("pend_s"))), F.lit(0)).alias(f"s{i}"),
-            rounded(mean_days(F.when(~pended, spent)), 2).alias(f"clean{i}"),
-            rounded(mean_days(F.when(here, spent)), 2).alias(f"here{i}"),
-            rounded(mean_days(F.when(pended, spent)), 2).alias(f"held{i}"),
-        ]
+        here = f"pended AND pend_stage = '{stage}'"
+        sums |= {
+            f"n{i}": f"count_if({here})",
+            f"s{i}": f"coalesce(sum(if({here}, pend_s, NULL)), 0L)",
+            f"clean{i}": mean_days_sql(f"{stage}_s", "NOT pended"),
+            f"here{i}": mean_days_sql(f"{stage}_s", here),
+            f"held{i}": mean_days_sql(f"{stage}_s", "pended"),
+        }
         layout.append(f"'{stage}', n{i}, s{i}, clean{i}, here{i}, held{i}")
-    rows = claims.agg(*sums).selectExpr(
+    rows = claims.agg(*aggregates(sums)).selectExpr(
         "all_pended", "all_pend_s",
         f"stack({len(STAGE_ORDER)}, {', '.join(layout)}) AS "
         "(stage, pended, pend_s, avg_days_clean, avg_days_when_pended_here, avg_days_all_pended)")
-    return (
-        rows.join(F.broadcast(stage_dim(claims.sparkSession)), "stage")
-        .orderBy("stage_ord")
-        .select(
-            "stage", "stage_name", "stage_does", "pended",
-            rounded(rate(F.col("pended"), F.col("all_pended")), 4).alias("pended_share"),
-            rounded(days(F.col("pend_s")), 0).alias("pend_days"),
-            rounded(rate(F.col("pend_s"), F.col("all_pend_s")), 4).alias("pend_days_share"),
-            "avg_days_clean", "avg_days_when_pended_here", "avg_days_all_pended")
-    )
+    named = rows.join(F.broadcast(stage_dim(claims.sparkSession)), "stage").orderBy("stage_ord")
+    table = named.selectExpr(
+        "stage", "stage_name", "stage_does", "pended", f"{share_sql('pended', 'all_pended')} AS pended_share",
+        "pend_s / 86400D AS pend_days", f"{share_sql('pend_s', 'all_pend_s')} AS pend_days_share",
+        "avg_days_clean", "avg_days_when_pended_here", "avg_days_all_pended")
+    averages = dict.fromkeys(("avg_days_clean", "avg_days_when_pended_here", "avg_days_all_pended"), 2)
+    return round_to(table, averages | {"pended_share": 4, "pend_days": 0, "pend_days_share": 4})
 
 
 def journey_themes(claims: DataFrame) -> DataFrame:
@@ -55,19 +51,19 @@ def journey_themes(claims: DataFrame) -> DataFrame:
 
 def journey_totals(claims: DataFrame) -> DataFrame:
     """Days over all stages, for clean and for pended claims."""
-    return journey_stages(claims).agg(
-        rounded(F.sum(F.coalesce("avg_days_clean", F.lit(0.0))), 2).alias("clean_days"),
-        rounded(F.sum(F.coalesce("avg_days_all_pended", F.lit(0.0))), 2).alias("pended_days"))
+    sums = journey_stages(claims).agg(*aggregates({
+        "clean_days": "sum(coalesce(avg_days_clean, 0D))", "pended_days": "sum(coalesce(avg_days_all_pended, 0D))"}))
+    return round_to(sums, {"clean_days": 2, "pended_days": 2})
 
 
 def intake_by_channel(claims: DataFrame) -> DataFrame:
     """Intake by channel, slowest first: some are slow even when nothing is held."""
-    at_intake = F.col("pended") & (F.col("pend_stage") == "intake")
-    return (
-        exclude_null(claims, "channel").groupBy("channel").agg(
-            F.count("*").alias("claims"),
-            rounded(mean_days(F.when(~F.col("pended"), F.col("intake_s"))), 2).alias("avg_intake_days_clean"),
-            rounded(rate(F.count_if(at_intake), F.count("*")) * 1000, 1).alias("intake_pends_per_1000"),
-            F.count_if(at_intake).alias("intake_pended"))
-        .orderBy(F.desc(F.coalesce("avg_intake_days_clean", F.lit(0.0))), "channel")
-    )
+    at_intake = "count_if(pended AND pend_stage = 'intake')"
+    table = exclude_null(claims, "channel").groupBy("channel").agg(*aggregates({
+        "claims": "count(*)",
+        "avg_intake_days_clean": mean_days_sql("intake_s", "NOT pended"),
+        "intake_pends_per_1000": f"{share_sql(at_intake, 'count(*)')} * 1000",
+        "intake_pended": at_intake,
+    }))
+    table = round_to(table, {"avg_intake_days_clean": 2, "intake_pends_per_1000": 1})
+    return table.orderBy(F.expr("coalesce(avg_intake_days_clean, 0D)").desc(), "channel")

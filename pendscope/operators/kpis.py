@@ -6,31 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.config import GENERIC_PEND_CODE, SLA_DAYS
-from pendscope.functions.columns import days, mean_days, rate, rounded
+from pendscope.functions.columns import aggregates, mean_days_sql, round_to, share_sql
 
 
 def kpis(claims: DataFrame, sla_days: int = SLA_DAYS) -> DataFrame:
     """One row. Averages of turnaround cover finished claims only."""
-    pended, finished = F.col("pended"), ~F.col("is_open")
-    waiting = pended & F.col("released_ts").isNull()
-    late = F.col("over_target")
-    total, held = F.count("*"), F.count_if(pended)
-    return claims.agg(
-        total.alias("claims"),
-        held.alias("pended"),
-        rounded(rate(held, total), 4).alias("pended_rate"),
-        rounded(1 - rate(held, total), 4).alias("first_pass_rate"),
-        rounded(mean_days(F.when(finished & ~pended, F.col("tat_s"))), 1).alias("avg_days_clean"),
-        rounded(mean_days(F.when(finished & pended, F.col("tat_s"))), 1).alias("avg_days_pended"),
-        rounded(mean_days(F.when(pended, F.col("pend_s"))), 1).alias("avg_pend_days"),
-        rounded(days(F.coalesce(F.sum(F.when(pended, F.col("pend_s"))), F.lit(0))), 0).alias("pend_days_total"),
-        F.coalesce(F.sum(F.when(pended, F.col("touches"))), F.lit(0)).alias("manual_touches"),
-        F.count_if(late).alias("over_target"),
-        rounded(rate(F.count_if(late & pended), F.count_if(late)), 4).alias("over_target_pended_share"),
-        F.count_if(waiting).alias("open_pended"),
-        rounded(F.coalesce(F.sum(F.when(waiting, F.col("billed_amount"))), F.lit(0)), 0).cast("double").alias("open_pended_billed"),
-        F.lit(sla_days).alias("target_days"),
-    )
+    waiting = "pended AND released_ts IS NULL"
+    row = claims.agg(*aggregates({
+        "claims": "count(*)",
+        "pended": "count_if(pended)",
+        "pended_rate": share_sql("count_if(pended)", "count(*)"),
+        "first_pass_rate": f"1 - {share_sql('count_if(pended)', 'count(*)')}",
+        "avg_days_clean": mean_days_sql("tat_s", "NOT is_open AND NOT pended"),
+        "avg_days_pended": mean_days_sql("tat_s", "NOT is_open AND pended"),
+        "avg_pend_days": mean_days_sql("pend_s", "pended"),
+        "pend_days_total": "coalesce(sum(if(pended, pend_s, 0L)), 0L) / 86400D",
+        "manual_touches": "coalesce(sum(if(pended, touches, 0)), 0L)",
+        "over_target": "count_if(over_target)",
+        "over_target_pended_share": share_sql("count_if(over_target AND pended)", "count_if(over_target)"),
+        "open_pended": f"count_if({waiting})",
+        "open_pended_billed": f"coalesce(sum(if({waiting}, billed_amount, NULL)), 0)",
+    })).withColumn("target_days", F.lit(sla_days))
+    rates = dict.fromkeys(("pended_rate", "first_pass_rate", "over_target_pended_share"), 4)
+    averages = dict.fromkeys(("avg_days_clean", "avg_days_pended", "avg_pend_days"), 1)
+    return round_to(row, rates | averages | {"pend_days_total": 0, "open_pended_billed": 0})
 
 
 def volume_basis(claims: DataFrame) -> DataFrame:
@@ -39,15 +38,15 @@ def volume_basis(claims: DataFrame) -> DataFrame:
     return seen.agg(
         F.greatest(F.count("received_date"), F.lit(1)).alias("days_in_window"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("claims_in_window"),
-    ).withColumn("claims_per_year", rounded(F.col("claims_in_window") * 365 / F.col("days_in_window")).cast("long"))
+    ).withColumn("claims_per_year", F.expr("cast(rint(claims_in_window * 365 / days_in_window) AS bigint)"))
 
 
 def generic_code_share(claims: DataFrame) -> DataFrame:
     """Share of pended claims that carry only the general code."""
-    held = claims.filter("pended")
-    generic = F.count_if(F.col("pend_code") == GENERIC_PEND_CODE)
-    return held.agg(F.count("*").alias("pended"), generic.alias("generic"),
-                    rounded(rate(generic, F.count("*")), 4).alias("generic_code_share"))
+    generic = f"count_if(pend_code = '{GENERIC_PEND_CODE}')"
+    row = claims.filter("pended").agg(*aggregates(
+        {"pended": "count(*)", "generic": generic, "generic_code_share": share_sql(generic, "count(*)")}))
+    return round_to(row, {"generic_code_share": 4})
 
 
 def meta(claims: DataFrame, as_of_lag: int = 2) -> DataFrame:

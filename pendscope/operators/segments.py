@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pendscope.config import SEGMENT_DIMENSIONS
-from pendscope.functions.columns import exclude_null, over_all, rate, rounded
+from pendscope.functions.columns import exclude_null, over_all, round_to, share_sql
 from pendscope.operators.themes import with_names
 
 
@@ -50,13 +50,11 @@ def segment_rates(claims: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSI
     ).withColumn("pended", F.coalesce(F.col("hits")[F.col("theme")], F.lit(0)))
     if theme is not None:
         rates = rates.filter(F.col("theme") == theme)
-    per_1000 = rate(F.col("pended"), F.col("claims_received")) * 1000
-    overall = rate(F.col("in_theme"), F.col("all_received")) * 1000
-    return rates.select(
+    per_1000 = f"{share_sql('pended', 'claims_received')} * 1000"
+    overall = f"({share_sql('in_theme', 'all_received')} * 1000)"
+    return round_to(rates.selectExpr(
         "theme", "dim_ord", "dimension", "value", "claims_received", "pended", "in_theme",
-        rounded(per_1000, 1).alias("per_1000"),
-        rounded(F.try_divide(per_1000, overall), 2).alias("index"),
-    )
+        f"{per_1000} AS per_1000", f"try_divide({per_1000}, {overall}) AS index"), {"per_1000": 1, "index": 2})
 
 
 def theme_segments(claims: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSIONS, theme: str | None = None) -> DataFrame:
@@ -98,9 +96,8 @@ def segment_totals(claims: DataFrame, dimension: str = "platform") -> DataFrame:
     worst = F.min_by(F.struct("theme", "per_1000"), F.struct(-F.col("per_1000"), -F.col("in_theme"), F.col("theme")))
     totals = cells.groupBy("value", "claims_received").agg(F.sum("pended").alias("pended"), worst.alias("worst"))
     return (
-        totals.select(
-            "value", "claims_received", "pended",
-            rounded(rate(F.col("pended"), F.col("claims_received")) * 1000, 1).alias("per_1000"),
-            F.col("worst.theme").alias("worst_theme"), F.col("worst.per_1000").alias("worst_per_1000"))
+        round_to(totals.selectExpr(
+            "value", "claims_received", "pended", f"{share_sql('pended', 'claims_received')} * 1000 AS per_1000",
+            "worst.theme AS worst_theme", "worst.per_1000 AS worst_per_1000"), {"per_1000": 1})
         .orderBy(F.desc("per_1000"), "value")
     )

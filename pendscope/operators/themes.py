@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pendscope.config import GENERIC_PEND_CODE, RANK_METRICS
-from pendscope.functions.columns import days, exclude_null, over_all, rate, rounded, rounded_by_product
+from pendscope.functions.columns import (
+    aggregates, days, exclude_null, over_all, round_to, rounded, rounded_by_product, share_sql,
+)
 from pendscope.functions.exact_median import exact_quantile
 from pendscope.sources.playbook import theme_dim
 
@@ -16,19 +18,19 @@ def theme_totals(claims: DataFrame) -> DataFrame:
     """Sums per theme with the scope totals on each row; at most one row per theme.
 
     Claims without a theme count towards the totals but form no group."""
-    grouped = claims.filter("pended").groupBy("theme").agg(
-        F.count("*").alias("claims"),
-        F.sum("pend_s").alias("pend_s"),
-        F.count("pend_s").alias("timed"),
-        F.sum("billed_amount").alias("billed"),
-        F.sum("touches").alias("touches"),
-        F.count_if("over_target").alias("over_target"),
-        F.count_if(F.col("released_ts").isNull()).alias("open"),
-        F.count_if(F.col("status") == "Denied").alias("denied"),
-        F.count_if(F.col("pend_code") == GENERIC_PEND_CODE).alias("generic"),
-    )
-    totals = {f"all_{name}": F.sum(name).over(over_all()) for name in ("claims", "pend_s", "generic")}
-    return exclude_null(grouped.withColumns(totals), "theme")
+    grouped = claims.filter("pended").groupBy("theme").agg(*aggregates({
+        "claims": "count(*)",
+        "pend_s": "sum(pend_s)",
+        "timed": "count(pend_s)",
+        "billed": "sum(billed_amount)",
+        "touches": "sum(touches)",
+        "over_target": "count_if(over_target)",
+        "open": "count_if(released_ts IS NULL)",
+        "denied": "count_if(status = 'Denied')",
+        "generic": f"count_if(pend_code = '{GENERIC_PEND_CODE}')",
+    }))
+    totals = [f"sum({name}) OVER (PARTITION BY 0) AS all_{name}" for name in ("claims", "pend_s", "generic")]
+    return exclude_null(grouped.selectExpr("*", *totals), "theme")
 
 
 def with_names(df: DataFrame, key: str = "theme") -> DataFrame:
@@ -40,22 +42,22 @@ def with_names(df: DataFrame, key: str = "theme") -> DataFrame:
 
 def theme_figures(claims: DataFrame) -> DataFrame:
     """Rounded theme figures without the median."""
-    c = F.col
-    figures = theme_totals(claims).select(
+    figures = theme_totals(claims).selectExpr(
         "theme",
         "claims",
-        rounded(rate(c("claims"), c("all_claims")), 4).alias("claims_share"),
-        rounded(rate(c("pend_s"), c("timed") * 86_400), 1).alias("avg_pend_days"),
-        rounded(days(c("pend_s")), 0).alias("pend_days"),
-        rounded(rate(c("pend_s"), c("all_pend_s")), 4).alias("pend_days_share"),
-        rounded(c("billed"), 0).cast("double").alias("billed"),
+        f"{share_sql('claims', 'all_claims')} AS claims_share",
+        f"{share_sql('pend_s', 'timed * 86400')} AS avg_pend_days",
+        "pend_s / 86400D AS pend_days",
+        f"{share_sql('pend_s', 'all_pend_s')} AS pend_days_share",
+        "billed",
         "touches",
         "over_target",
         "open",
-        rounded(rate(c("denied"), c("claims")), 4).alias("denied_share"),
-        rounded(rate(c("all_generic"), c("all_claims")), 4).alias("generic_share"),
+        f"{share_sql('denied', 'claims')} AS denied_share",
+        f"{share_sql('all_generic', 'all_claims')} AS generic_share",
     )
-    return with_names(figures)
+    shares = dict.fromkeys(("claims_share", "pend_days_share", "denied_share", "generic_share"), 4)
+    return with_names(round_to(figures, shares | {"avg_pend_days": 1, "pend_days": 0, "billed": 0}))
 
 
 THEME_TABLE_COLUMNS = (
@@ -69,7 +71,7 @@ def theme_table(claims: DataFrame) -> DataFrame:
     median = exact_quantile(exclude_null(claims.filter("pended"), "theme"), "theme", "pend_s")
     table = theme_figures(claims).join(F.broadcast(median), "theme", "left")
     return (
-        table.withColumns({"key": F.col("theme"), "median_pend_days": rounded(days(F.col("quantile")), 1)})
+        table.withColumns({"key": F.col("theme"), "median_pend_days": rounded("quantile / 86400D", 1)})
         .select(*THEME_TABLE_COLUMNS)
         .orderBy(F.desc("pend_days"), "key")
     )
@@ -98,17 +100,13 @@ def theme_playbook(claims: DataFrame) -> DataFrame:
 
 def cluster_profile(claims: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """Root-cause clusters of every theme, largest first; shares are of the theme."""
-    per_cluster = exclude_null(claims.filter("pended"), "theme").groupBy("theme", "cluster_id").agg(
-        F.count("*").alias("claims"), F.sum("pend_s").alias("pend_s"), F.count("pend_s").alias("timed"))
-    in_theme = F.sum("claims").over(Window.partitionBy("theme"))
-    profile = exclude_null(per_cluster.withColumn("in_theme", in_theme), "cluster_id").select(
-        "theme",
-        "cluster_id",
-        "claims",
-        rounded(rate(F.col("claims"), F.col("in_theme")), 4).alias("share"),
-        rounded(rate(F.col("pend_s"), F.col("timed") * 86_400), 1).alias("avg_pend_days"),
-        rounded(days(F.col("pend_s")), 0).alias("pend_days"),
-    )
+    per_cluster = exclude_null(claims.filter("pended"), "theme").groupBy("theme", "cluster_id").agg(*aggregates(
+        {"claims": "count(*)", "pend_s": "sum(pend_s)", "timed": "count(pend_s)"}))
+    per_cluster = per_cluster.selectExpr("*", "sum(claims) OVER (PARTITION BY theme) AS in_theme")
+    profile = round_to(exclude_null(per_cluster, "cluster_id").selectExpr(
+        "theme", "cluster_id", "claims", f"{share_sql('claims', 'in_theme')} AS share",
+        f"{share_sql('pend_s', 'timed * 86400')} AS avg_pend_days", "pend_s / 86400D AS pend_days",
+    ), {"share": 4, "avg_pend_days": 1, "pend_days": 0})
     if catalogue is not None:
         words = catalogue.select("cluster_id", "key_phrases", "example_note")
         profile = profile.join(words, "cluster_id", "left").withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.config import STAGE_ORDER
-from pendscope.functions.columns import exclude_null, rate, rounded
+from pendscope.functions.columns import exclude_null, rounded, share_sql
 
 
 def _every_day(counts: DataFrame):
@@ -28,8 +28,7 @@ def daily_overview(claims: DataFrame) -> DataFrame:
     spine = bounds.select(F.explode(F.sequence("lo", "hi")).alias("received_date"))
     filled = spine.join(counts, "received_date", "left").fillna(0, ["received", "pended"])
     return filled.orderBy("received_date").select(
-        _day_text(), "received", "pended",
-        rounded(rate(F.col("pended"), F.col("received")) * 100, 2).alias("pended_rate"))
+        _day_text(), "received", "pended", rounded(f"{share_sql('pended', 'received')} * 100", 2).alias("pended_rate"))
 
 
 def _day_counts(claims: DataFrame, key: str) -> DataFrame:

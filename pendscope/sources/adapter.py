@@ -142,6 +142,8 @@ def claims_from_orders(spark: SparkSession, sf_dir: str, claim_type: bool = True
         "c_custkey AS c", "c_mktsegment AS lob", "specialty", "platform",
         "if(c_acctbal >= 0, 'in network', 'out of network') AS network_status",
     )
+    # customers grow with the orders: a shuffle at scale, and a hot customer is split by
+    # adaptive skew handling
     df = orders.join(customers.hint("shuffle_hash"), "c")
     if claim_type:
         lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n_lines"))
