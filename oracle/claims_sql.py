@@ -206,8 +206,8 @@ SQL = {
         "round(age_s / 86400, 4) AS age_days, "
         + ", ".join(f"round({s}_s / 86400, 4) AS days_{s}" for s in STAGE_ORDER) + " FROM claims"),
     "theme_dim": with_claims(
-        "SELECT theme, theme_ord, theme_name, stage, stage_name, theme_code, addressability, effort_level, theme_denial, owner, "
-        "plain, why, intervention FROM theme_dim"),
+        "SELECT d.theme, d.theme_ord, d.theme_name, d.stage, d.stage_name, d.theme_code, d.addressability, d.effort_level, d.theme_denial, d.owner, "
+        "d.plain, d.why, d.intervention, count(p.claim_id) AS claims FROM theme_dim d LEFT JOIN pended p ON p.theme = d.theme GROUP BY ALL", PENDED),
     "scope_filter": with_claims(
         f"SELECT claim_id, {day_text('received_date')} AS received_date, lob, platform, pended FROM claims "
         "WHERE received_date >= DATE '1998-01-01' AND received_date <= DATE '1999-12-31' AND lob = 'BUILDING' AND platform = 'EUROPE'"),

@@ -91,6 +91,12 @@ def rank_themes(claims: DataFrame, metric: str = "pend_days") -> DataFrame:
     return figures.withColumn("position", F.row_number().over(ordered)).orderBy("position")
 
 
+def theme_catalogue(claims: DataFrame) -> DataFrame:
+    """All catalogue themes with their playbook and their number of pended claims."""
+    counts = exclude_null(claims.filter("pended"), "theme").groupBy("theme").agg(F.count("*").alias("claims"))
+    return theme_dim(claims.sparkSession).join(F.broadcast(counts), "theme", "left").fillna(0, ["claims"])
+
+
 def theme_playbook(claims: DataFrame) -> DataFrame:
     """Advice for the themes present in the scope."""
     present = exclude_null(claims.filter("pended"), "theme").select("theme").distinct()

@@ -26,7 +26,7 @@ from pendscope.session import cut_lineage
 from pendscope.sources.claims import CLAIMS_SCHEMA, write_claims
 from pendscope.sources.playbook import THEMES, playbook
 
-DEFAULT_SEED = 20261009
+DEFAULT_SEED = 1
 
 
 @dataclass(frozen=True)

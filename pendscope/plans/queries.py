@@ -14,7 +14,6 @@ from pendscope.operators import browse, emerging, findings, interventions, journ
 from pendscope.operators.scope import Scope, scope
 from pendscope.plans.text_queries import TEXT_QUERIES
 from pendscope.sources.adapter import claims_from_orders
-from pendscope.sources.playbook import theme_dim
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,10 +47,10 @@ def _scoped(claims: DataFrame) -> DataFrame:
         "claim_id", F.date_format("received_date", "yyyy-MM-dd").alias("received_date"), "lob", "platform", "pended")
 
 
-def _theme_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return theme_dim(spark).select(
+def _theme_dim(claims: DataFrame) -> DataFrame:
+    return themes.theme_catalogue(claims).select(
         "theme", "theme_ord", "theme_name", "stage", "stage_name", "theme_code", "addressability", "effort_level",
-        "theme_denial", "owner", "plain", "why", "intervention")
+        "theme_denial", "owner", "plain", "why", "intervention", "claims")
 
 
 def _rise_scores(claims: DataFrame) -> DataFrame:
@@ -61,6 +60,7 @@ def _rise_scores(claims: DataFrame) -> DataFrame:
 
 CLAIM_QUERIES: dict[str, Query] = {
     "claim_measures": _over_claims(_measures),
+    "theme_dim": _over_claims(_theme_dim),
     "scope_filter": _over_claims(_scoped),
     "kpis": _over_claims(kpis.kpis),
     "theme_table": _over_claims(themes.theme_table),
@@ -99,4 +99,4 @@ CLAIM_QUERIES: dict[str, Query] = {
     "claim_stage_days": _over_claims(browse.claim_stage_days),
 }
 
-QUERIES: dict[str, Query] = {"theme_dim": _theme_dim, **CLAIM_QUERIES, **TEXT_QUERIES}
+QUERIES: dict[str, Query] = {**CLAIM_QUERIES, **TEXT_QUERIES}

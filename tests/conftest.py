@@ -25,8 +25,8 @@ QUIET_DAY = FIRST + timedelta(days=10)  # no claim at all
 
 def make_claims() -> list[dict]:
     """A rise of provider_match on platform NORTH from RISE_FROM on; duplicate is
-    frequent and quick, medical_records rare and slow; cob has a flat baseline; pricing
-    is absent from the baseline; one claim is still held, one has neither note nor code."""
+    frequent and quick, medical_records rare and slow; pricing and cob are absent from
+    the baseline; one claim is still held, one has neither note nor code."""
     rows: list[dict] = []
 
     def add(day: date, theme: str | None, hold_days: float = 0.0, stage: str | None = None, released: bool = True, **more) -> None:

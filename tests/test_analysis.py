@@ -110,16 +110,17 @@ def test_rise_is_found_with_driver_and_onset(claims):
     assert row["base_to"] == (RISE_FROM - timedelta(days=1)).isoformat()
 
 
-def test_themes_without_or_with_flat_baseline_do_not_rise(claims):
-    scores = {r["theme"]: r for r in emerging.rise_scores(claims).collect()}
-    assert "pricing" not in scores and "cob" not in scores
-    flat = claims.filter("theme = 'duplicate' OR NOT pended")
-    flat = flat.filter(F.datediff(F.lit(LAST), "received_date") % 1 == 0)
-    one_a_day = flat.filter("NOT pended").withColumns({"pended": F.lit(True), "theme": F.lit("duplicate")}).dropDuplicates(["received_date"])
-    row = emerging.rise_scores(one_a_day.filter(F.col("received_date") > F.lit(QUIET_DAY))).collect()
-    assert not row  # too short a scope
-    full = one_a_day.unionByName(one_a_day.limit(1).withColumn("received_date", F.lit(QUIET_DAY)))
-    assert emerging.rise_scores(full).first()["z"] == 0
+def test_themes_without_baseline_are_left_out(claims):
+    scores = {r["theme"] for r in emerging.rise_scores(claims).collect()}
+    assert "provider_match" in scores and "pricing" not in scores and "cob" not in scores
+
+
+def test_a_flat_baseline_never_rises(claims):
+    daily = claims.filter("NOT pended").dropDuplicates(["received_date"])
+    daily = daily.unionByName(daily.limit(1).withColumn("received_date", F.lit(QUIET_DAY)))
+    flat = daily.withColumns({"pended": F.lit(True), "theme": F.lit("duplicate")})
+    row = emerging.rise_scores(flat).first()
+    assert row["base_sum"] == 42 and row["z"] == 0 and emerging.emerging(flat).count() == 0
 
 
 def test_scope_below_63_days_is_not_checked(claims):

@@ -115,6 +115,14 @@ def test_clusters_recover_planted_groups(spark):
         assert not any(a <= b or b <= a for i, a in enumerate(chosen) for b in chosen[i + 1:])
 
 
+def test_small_themes_stay_whole(spark):
+    claims = spark.createDataFrame([("a", "cob", "one note"), ("b", "cob", None)], "claim_id string, theme string, adjuster_note string")
+    found = cluster(claims)
+    assert {r["cluster_id"] for r in assign(claims, found).collect()} == {"cob:1"}
+    row = found.catalogue.first()
+    assert (row["claims"], row["key_phrases"], row["silhouette"]) == (2, [], None)
+
+
 def silhouette_by_hand(x: np.ndarray, label: np.ndarray) -> float:
     scores = []
     for i in range(len(x)):
