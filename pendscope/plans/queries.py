@@ -13,22 +13,11 @@ from pendscope.config import RANK_METRICS, STAGE_ORDER
 from pendscope.operators import browse, emerging, findings, interventions, journey, kpis, segments, themes, trends
 from pendscope.operators.scope import Scope, scope
 from pendscope.plans.text_queries import TEXT_QUERIES
-from pendscope.sources.adapter import claims_from_orders
+from pendscope.sources.adapter import claims_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_PLANS: dict[tuple[str, str, bool], DataFrame] = {}
-
-
-def claims_of(spark: SparkSession, sf_dir: str, claim_type: bool = False) -> DataFrame:
-    """The claims of a folder. The plan is made once per application; no rows are kept."""
-    key = (spark.sparkContext.applicationId, sf_dir, claim_type)
-    if key not in _PLANS:
-        _PLANS[key] = claims_from_orders(spark, sf_dir, claim_type)
-    return _PLANS[key]
-
-
 def _over_claims(operator: Callable[..., DataFrame], *args, claim_type: bool = False, **kwargs) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return operator(claims_of(spark, sf_dir, claim_type), *args, **kwargs)

@@ -18,14 +18,14 @@ from pendscope.operators.scope import Scope, confidence_floor, scope
 from pendscope.operators.terms import doc_text, term_counts, tfidf, tokenise, vocabulary
 from pendscope.plans.build import analyse, enrich_claims
 from pendscope.plans.reconcile import reconcile
-from pendscope.sources.adapter import claims_from_orders
+from pendscope.sources.adapter import claims_of
 from pendscope.sources.playbook import THEMES, playbook
 from pendscope.sources.tables import table
 from pendscope.streaming.feed import daily_counts
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims_from_orders(spark, sf_dir, claim_type=False).filter("pended")
+    return claims_of(spark, sf_dir).filter("pended")
 
 
 # a short list for the token query, stated here so that its SQL twin can use it too
@@ -74,11 +74,11 @@ def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.review_shares(claims_from_orders(spark, sf_dir, claim_type=False))
+    return scoring.review_shares(claims_of(spark, sf_dir))
 
 
 def code_only_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.code_only_accuracy(claims_from_orders(spark, sf_dir, claim_type=False))
+    return scoring.code_only_accuracy(claims_of(spark, sf_dir))
 
 
 def floored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def floored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrich_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = claims_from_orders(spark, sf_dir, claim_type=False)
+    claims = claims_of(spark, sf_dir)
     predictions = claims.filter("pended").select("claim_id", "theme", "confidence", "cluster_id")
     return enrich_claims(claims.select("claim_id", "status", "pended"), predictions)
 
@@ -125,11 +125,11 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_text(claims_from_orders(spark, sf_dir, claim_type=False))
+    return doc_text(claims_of(spark, sf_dir))
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile(claims_from_orders(spark, sf_dir, claim_type=False))
+    return reconcile(claims_of(spark, sf_dir))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def cluster_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rebuilt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest year classified and clustered again: claims with new themes and clusters."""
-    claims = claims_from_orders(spark, sf_dir)
+    claims = claims_of(spark, sf_dir, claim_type=True)
     last = claims.agg(F.max("received_date")).first()[0]
     window = scope(claims, Scope(last - timedelta(days=365), last))
     return analyse(window).enriched.select("claim_id", "status", "pended", "theme", "confidence", "cluster_id")
