@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pendscope.llm import mixing, quality_rules
+from pendscope.llm import license_scan, mixing, quality_rules, secrets, url_filter
 from pendscope.llm.common import table
 
 
@@ -15,6 +15,9 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 
 QUERIES = {
+    "op1_license_scan": _over("documents", license_scan.license_scan),
     "op2_source_mix": _over("documents", mixing.source_mix),
     "op3_quality_rules": _over("documents", quality_rules.quality_rules),
+    "op5_url_filter": _over("pages", url_filter.url_filter),
+    "op10_secrets": _over("documents", secrets.secret_scan),
 }
