@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pendscope.llm import license_scan, mixing, quality_rules, secrets, url_filter
+from pendscope.llm import fingerprints, license_scan, mixing, quality_rules, secrets, url_filter
 from pendscope.llm.common import table
 
 
@@ -19,5 +19,6 @@ QUERIES = {
     "op2_source_mix": _over("documents", mixing.source_mix),
     "op3_quality_rules": _over("documents", quality_rules.quality_rules),
     "op5_url_filter": _over("pages", url_filter.url_filter),
+    "op6_fingerprints": _over("documents", fingerprints.document_fingerprints),
     "op10_secrets": _over("documents", secrets.secret_scan),
 }

@@ -22,16 +22,16 @@ RULES = (  # fixed values: host, path, verdict
 BUCKETS = 4096
 GRAMS = (3, 4)
 UNWANTED = ("casino-win", "casino-slots", "free-bets", "online-bets", "bets-tips", "poker-room", "cheap-pills", "pills-shop", "cheap-loans",
-            "payday-loans", "ads-track", "track-ads", "adserver", "click-track", "banner-ads", "popup-ads", "lottery-win", "jackpot-win",
-            "win-prize", "free-gifts", "adult-cams", "hot-dates", "replica-watch", "miracle-diet", "free-spins", "bonus-casino")
+            "payday-loans", "ads-track", "track-ads", "adserver", "click-track", "banner-ads", "popup-ads", "spam-farm", "link-farm", "jackpot-win",
+            "win-prize", "free-gifts", "adult-x", "adult-cams", "hot-dates", "replica-watch", "miracle-diet", "free-spins", "bonus-casino")
 WANTED = ("library", "university", "museum", "gardens", "weather", "recipes", "science", "history", "theatre", "orchestra", "railway", "harbour",
-          "village", "mountains", "teaching", "medicine", "chemistry", "biology", "economics", "literature", "gazette", "herald", "council",
-          "parliament", "archive", "mathematics")
+          "village", "mountains", "teaching", "medicine", "thinker", "northern", "nation", "station", "gazette", "another", "reading",
+          "gathering", "athens", "mathematics", "things", "thread", "lantern", "question")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table: every name under several hosts and paths, so that only the name tells the label."""
-    shapes = ("https://www.{}.example.org/en/1234/", "http://m.{}.example.net/de/567.html", "https://{}.example.org/fr/89")
+    """The labelled table: every name with the same subdomains and paths, so that only the name tells the label."""
+    shapes = [f"https://{sub}{{}}.example{rest}" for sub in ("", "www.", "m.", "blog.") for rest in (".org/en/1234/", ".net/de/567.html")]
     return [(shape.format(name), label) for label, names in ((1, UNWANTED), (0, WANTED)) for name in names for shape in shapes]
 
 
@@ -66,7 +66,7 @@ def fit_url_model(spark: SparkSession, labelled: list[tuple[str, int]] | None =
     rows = table.selectExpr("double(label) AS label", f"{host} AS host", f"{path} AS path").selectExpr(
         "label", f"{gram_buckets('host', 'path')} AS buckets").collect()
     vectors = [(row["label"], Vectors.sparse(BUCKETS, dict(Counter(row["buckets"])))) for row in rows]
-    model = LogisticRegression(regParam=0.01, maxIter=100, standardization=False).fit(
+    model = LogisticRegression(regParam=0.002, maxIter=100, standardization=False).fit(
         spark.createDataFrame(vectors, ["label", "features"]).coalesce(1))
     return float(model.intercept), [round(float(w), 9) for w in model.coefficients.toArray()]
 
