@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pendscope.llm import bpe, fingerprints, license_scan, mixing, quality_rules, secrets, url_filter
+from pendscope.llm import bpe, fingerprints, license_scan, mixing, ngram_join, quality_rules, secrets, url_filter
 from pendscope.llm.common import table
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op3_quality_rules": _over("documents", quality_rules.quality_rules),
     "op5_url_filter": _over("pages", url_filter.url_filter),
     "op6_fingerprints": _over("documents", fingerprints.document_fingerprints),
+    "op7_ngram_jaccard": _over("documents", ngram_join.ngram_jaccard),
     "op8_bpe": _over("documents", bpe.encode_digests),
     "op10_secrets": _over("documents", secrets.secret_scan),
 }
