@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pendscope.llm import mixing, quality_rules
-from pendscope.llm.common import shared_folder, table
+from pendscope.llm.common import shared_folder, short_batches, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    short_batches(spark)
     return quality_rules.kept_documents(docs)
 
 

@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> SparkSession:
+    """Few rows in an Arrow batch: texts can be long, and a task holds a whole batch in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later steps start
     from the files, whatever executor is lost."""

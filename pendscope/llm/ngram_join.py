@@ -34,6 +34,7 @@ DENSE = 16
 BLOCK_NODES = 1024
 BLOCK_GRAMS = 1_000_000
 BROADCAST_IDS = 1_000_000
+KEPT_WORDS = 200_000  # bound on the word hashes a task remembers
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +71,7 @@ _KNOWN = _Hashes()
 def gram_set(text: str | None, n: int = GRAM) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of a text's words (letters and digits, lower case). Fewer words than
     ``n`` are one gram; a text without words is one gram of its characters; a blank or null text has none."""
-    if len(_KNOWN) > 500_000:
+    if len(_KNOWN) > KEPT_WORDS:
         _KNOWN.clear()
     words = _WORD.findall((text or "").lower())
     if not words:

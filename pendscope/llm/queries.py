@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pendscope.llm import bpe, fingerprints, license_scan, mixing, ngram_join, quality_rules, secrets, url_filter
-from pendscope.llm.common import table
+from pendscope.llm.common import short_batches, table
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+    return lambda spark, sf_dir: operator(table(short_batches(spark), sf_dir, name))
 
 
 QUERIES = {
