@@ -14,6 +14,7 @@ SCHEMAS = {
     "pages": "page_id bigint, url string, html string",
 }
 SMALL_ROWS = 50_000  # tables of narrow rows up to this many may be broadcast
+BROADCAST_IDS = 1_000_000  # and single ids up to this many
 SPACE = r"\x20\x09-\x0D"
 
 

@@ -8,7 +8,7 @@ taken or left by comparing their hash with the threshold, without a sort."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pendscope.llm.common import SPACE, broadcast_if_small, stored, text_key
@@ -59,18 +59,18 @@ def _passing(sums: DataFrame, bucket: str, budget: str) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
-    """One row per row of ``docs``: key, size, source, source_size, target, copies, taken.
+def _hash(key: str, seed: str) -> Column:
+    """32 bits, uniform and the same in every run."""
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
-    ``copies`` is the number of whole texts the mix holds, ``taken`` the number of words. The one row at
-    a source's threshold gives as many words as are left of the target (``taken``); it counts as a whole
-    copy where that is half of it or more. Rows without text have size 0 and are never at a threshold. Equal
-    rows share a hash; among them the order is by size, and equal rows in all are taken in any order, which
-    gives the same rows. Null sources are a source of their own. An empty table gives no rows."""
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10)
+
+def _levels(docs: DataFrame, key: str, text: str, source: str, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and hashes of all rows; per source the whole copies and the bucket of the threshold; and the rows in that
+    bucket with the words they add (``more``)."""
     rows = stored(docs.select(
         F.col(key).alias("key"), F.col(source).alias("source"), F.expr(words_in(f"`{text}`")).cast("long").alias("size"),
-        hashed.cast("long").alias("hash")).withColumn("source_key", text_key("source")), "mix-sizes")
+        _hash(key, seed).alias("hash")).withColumn("source_key", text_key("source")), "mix-sizes")
 
     sums = stored(rows.withColumn("coarse", F.expr(f"hash div {COARSE}")).groupBy("source_key", "coarse").agg(
         F.first("source").alias("source"), F.sum("size").alias("words")), "mix-sums")
@@ -92,22 +92,46 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     levels = stored(levels.join(fine, "source_key", "left"), "mix-levels").select(
         "source_key", "source_size", "target", "whole", "fine", F.col("left_fine").alias("room"))
 
-    placed = rows.join(broadcast_if_small(levels), "source_key").withColumn("at", F.expr(f"hash div {FINE}"))
+
+    at_threshold = rows.withColumn("at", F.expr(f"hash div {FINE}")).join(
+        broadcast_if_small(levels.filter("fine IS NOT NULL")), "source_key").filter("at = fine")
     running = Window.partitionBy("source_key").orderBy("hash", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = placed.filter("at = fine").withColumn("more", F.greatest(F.lit(0), F.least(
+    last = at_threshold.withColumn("more", F.greatest(F.lit(0), F.least(
         F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(running), F.lit(0)))))
+    return rows, levels, last
+
+
+_ADDED = "int(more > 0 AND 2 * more >= size)"  # the row at the threshold counts as a copy where half of it or more is taken
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
+    """One row per row of ``docs``: key, size, source, source_size, target, copies, taken.
+
+    ``copies`` is the number of whole texts the mix holds, ``taken`` the number of words. The one row at
+    a source's threshold gives as many words as are left of the target (``taken``); it counts as a whole
+    copy where that is half of it or more. Rows without text have size 0 and are never at a threshold. Equal
+    rows share a hash; among them the order is by size, and equal rows in all are taken in any order, which
+    gives the same rows. Null sources are a source of their own. An empty table gives no rows."""
+    rows, levels, last = _levels(docs, key, text, source, seed)
+    placed = rows.withColumn("at", F.expr(f"hash div {FINE}")).join(broadcast_if_small(levels), "source_key")
     rest = placed.filter("fine IS NULL OR at <> fine").withColumn("more", F.expr("if(at < fine, size, 0)"))
-    return last.unionByName(rest).selectExpr(
+    return rest.unionByName(last).selectExpr(
         f"key AS `{key}`", "size", "source AS `source`", "source_size", "target",
-        "whole + if(more > 0 AND 2 * more >= size, 1, 0) AS copies", "whole * size + coalesce(more, 0) AS taken")
+        f"whole + coalesce({_ADDED}, 0) AS copies", "whole * size + coalesce(more, 0) AS taken")
 
 
 def source_mix(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as its ``copies`` say, with the columns of ``docs``."""
-    plan = mix(docs).groupBy("doc_id").agg(F.first("copies").alias("copies"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(
-        docs["*"], F.explode(F.expr("array_repeat(0, int(copies))")).alias("copy")).drop("copy")
+def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself: every document as often as its ``copies`` say, with the columns of ``docs``. Texts are not shuffled: a
+    row's hash is compared with the level of its source, and only rows at a threshold are looked up by id."""
+    _, levels, last = _levels(docs, "doc_id", "text", "source", seed)
+    last = stored(last.groupBy("key").agg(F.max(F.expr(_ADDED)).alias("added")).withColumnRenamed("key", "_key"), "mix-last")
+    placed = docs.withColumns({"_hash": _hash("doc_id", seed), "_source": text_key("source")})
+    levels = levels.selectExpr("source_key AS _source", "whole AS _whole", "fine AS _fine")
+    placed = placed.join(broadcast_if_small(levels), "_source").join(
+        broadcast_if_small(last), F.expr(f"_hash div {FINE} = _fine") & F.col("doc_id").eqNullSafe(F.col("_key")), "left")
+    copies = f"int(_whole + coalesce(if(_hash div {FINE} = _fine, added, int(_hash div {FINE} < _fine)), 0))"
+    return placed.withColumn("_copy", F.explode(F.expr(f"array_repeat(0, {copies})"))).select(*(docs[c] for c in docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pendscope.llm.common import broadcast_if_small, stored
+from pendscope.llm.common import BROADCAST_IDS, broadcast_if_small, stored
 from pendscope.llm.components import components
 
 GRAM = 5
@@ -33,7 +33,6 @@ HASHES = 128  # most hashes of a signature
 DENSE = 16
 BLOCK_NODES = 1024
 BLOCK_GRAMS = 1_000_000
-BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 200_000  # bound on the word hashes a task remembers
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -254,7 +253,8 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document of least id of every class, with the columns of ``docs``; of repeated rows one stays."""
     classes = stored(near_duplicates(docs), "join-classes")
-    kept = classes.filter("doc_id <=> class_id").select("doc_id").distinct()
-    chosen = docs.join(broadcast_if_small(kept, BROADCAST_IDS), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    judged = classes.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> class_id")).alias("kept"))
+    gone = stored(judged.filter("NOT kept").select("doc_id"), "join-gone")
+    chosen = docs.join(broadcast_if_small(gone, BROADCAST_IDS), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     counted = classes.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("d")).first()
     return chosen if counted["n"] == counted["d"] else chosen.dropDuplicates(["doc_id", "text"])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pendscope.llm.common import broadcast_if_small, stored, text_key
+from pendscope.llm.common import BROADCAST_IDS, broadcast_if_small, stored, text_key
 
 RULES = {  # a document fails where the condition holds
     "symbols": "10 * n_symbols > n_words",
@@ -98,6 +98,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
-    kept = quality(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The documents that the rules keep, with the columns of ``docs``. Of rows that share an id all stay if one is kept."""
+    judged = quality(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stored(judged.filter("NOT kept").select("doc_id"), "quality-gone")
+    return docs.join(broadcast_if_small(gone, BROADCAST_IDS), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pendscope.llm import bpe, fingerprints, license_scan, mixing, ngram_join, quality_rules, secrets, url_filter
+from pendscope.llm import bpe, fingerprints, license_scan, mixing, ngram_join, pii, quality_rules, secrets, toxicity, url_filter
 from pendscope.llm.common import short_batches, table
 
 
@@ -14,13 +14,19 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
     return lambda spark, sf_dir: operator(table(short_batches(spark), sf_dir, name))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(short_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scan": _over("documents", license_scan.license_scan),
     "op2_source_mix": _over("documents", mixing.source_mix),
     "op3_quality_rules": _over("documents", quality_rules.quality_rules),
+    "op4_pii_pseudonyms": _over("documents", pii.pii_pseudonyms),
     "op5_url_filter": _over("pages", url_filter.url_filter),
     "op6_fingerprints": _over("documents", fingerprints.document_fingerprints),
     "op7_ngram_jaccard": _over("documents", ngram_join.ngram_jaccard),
     "op8_bpe": _over("documents", bpe.encode_digests),
+    "op9_toxicity": _toxicity,
     "op10_secrets": _over("documents", secrets.secret_scan),
 }
