@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
 import tempfile
 from itertools import chain
@@ -256,17 +255,14 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec_of(block: bytes, name: str) -> Codec:
-    """The codec of a packed file, one per process. The file lies in the task's own temporary folder, is named by its
-    content and written anew wherever it is missing."""
+    """The codec of a packed file, one per process. The file is unnamed as soon as it is mapped, so nothing is left behind
+    and nobody else depends on it."""
     if name not in _CODECS:
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}")
-        if not os.path.exists(path):
-            handle, draft = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(handle, "wb") as file:
-                file.write(block)
-            os.replace(draft, path)
         _CODECS.clear()
-        _CODECS[name] = Codec(lexicon.mapped(path))
+        with tempfile.NamedTemporaryFile() as file:
+            file.write(block)
+            file.flush()
+            _CODECS[name] = Codec(lexicon.mapped(file.name))
     return _CODECS[name]
 
 
