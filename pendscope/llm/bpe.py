@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pendscope.llm import lexicon
+from pendscope.llm.common import stored
 
 TOKENIZER = "byte_bpe_50k.json"
 LEXICON_WORDS = 131_072  # bound on what is compiled on the driver and broadcast (some ten MB)
+LEAST_COUNT = 2  # a word seen once is not frequent
 GROUP_CHARS = 200_000  # texts are worked on together up to this many characters
 KEPT_CHUNKS = 400_000  # bound on the distinct chunks a task remembers
 
@@ -267,11 +269,19 @@ def codec_of(block: bytes, name: str) -> Codec:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words (letters with the blank before them) of the whole table, ties by code point; at most
-    ``words`` of them reach the driver."""
+    """Up to ``words`` most frequent words (letters with the blank before them) of the whole table. Words are binned by count, an
+    eighth of a doubling wide; the bins from the top that hold no more than ``words`` are taken whole, so nothing is
+    sorted and only that many words reach the driver."""
     each = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r" ?\p{L}+"), F.lit(0))).alias("word"))
-    top = each.groupBy("word").count().filter("length(word) <= 64").orderBy(F.desc("count"), "word").limit(words)
-    return [row["word"] for row in top.select("word").collect()]
+    counted = each.groupBy("word").count().filter(f"count >= {LEAST_COUNT} AND length(word) <= {Merger.LONG}")
+    counted = stored(counted.select("word", F.expr("int(floor(log2(count) * 8))").alias("bin")), "lexicon-words")
+    bins = sorted(((row["bin"], row["count"]) for row in counted.groupBy("bin").count().collect()), reverse=True)
+    held, lowest = 0, None
+    for at, n in bins:
+        if (held := held + n) > words:
+            break
+        lowest = at
+    return [] if lowest is None else [row["word"] for row in counted.filter(F.col("bin") >= lowest).select("word").collect()]
 
 
 def compiled(words: list[str], path: str) -> bytes:
