@@ -92,7 +92,6 @@ def _levels(docs: DataFrame, key: str, text: str, source: str, seed: str) -> tup
     levels = stored(levels.join(fine, "source_key", "left"), "mix-levels").select(
         "source_key", "source_size", "target", "whole", "fine", F.col("left_fine").alias("room"))
 
-
     at_threshold = rows.withColumn("at", F.expr(f"hash div {FINE}")).join(
         broadcast_if_small(levels.filter("fine IS NOT NULL")), "source_key").filter("at = fine")
     running = Window.partitionBy("source_key").orderBy("hash", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +116,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rest = placed.filter("fine IS NULL OR at <> fine").withColumn("more", F.expr("if(at < fine, size, 0)"))
     return rest.unionByName(last).selectExpr(
         f"key AS `{key}`", "size", "source AS `source`", "source_size", "target",
-        f"whole + coalesce({_ADDED}, 0) AS copies", "whole * size + coalesce(more, 0) AS taken")
+        f"whole + coalesce(if(at = fine, {_ADDED}, int(at < fine)), 0) AS copies", "whole * size + coalesce(more, 0) AS taken")
 
 
 def source_mix(docs: DataFrame) -> DataFrame:
@@ -128,10 +127,10 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: every document as often as its ``copies`` say, with the columns of ``docs``. Texts are not shuffled: a
     row's hash is compared with the level of its source, and only rows at a threshold are looked up by id."""
     _, levels, last = _levels(docs, "doc_id", "text", "source", seed)
-    last = stored(last.groupBy("key").agg(F.max(F.expr(_ADDED)).alias("added")).withColumnRenamed("key", "_key"), "mix-last")
-    placed = docs.withColumns({"_hash": _hash("doc_id", seed), "_source": text_key("source")})
-    levels = levels.selectExpr("source_key AS _source", "whole AS _whole", "fine AS _fine")
-    placed = placed.join(broadcast_if_small(levels), "_source").join(
-        broadcast_if_small(last), F.expr(f"_hash div {FINE} = _fine") & F.col("doc_id").eqNullSafe(F.col("_key")), "left")
-    copies = f"int(_whole + coalesce(if(_hash div {FINE} = _fine, added, int(_hash div {FINE} < _fine)), 0))"
-    return placed.withColumn("_copy", F.explode(F.expr(f"array_repeat(0, {copies})"))).select(*(docs[c] for c in docs.columns))
+    last = stored(last.groupBy("key").agg(F.max(F.expr(_ADDED)).alias("added")).withColumnRenamed("key", "last_key"), "mix-last")
+    placed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("key"), _hash("doc_id", seed).alias("hash"), text_key("source").alias("source_key"))
+    levels = levels.select("source_key", "whole", "fine")
+    placed = placed.join(broadcast_if_small(levels), "source_key").join(
+        broadcast_if_small(last), F.expr(f"hash div {FINE} = fine") & F.col("key").eqNullSafe(F.col("last_key")), "left")
+    copies = f"int(whole + coalesce(if(hash div {FINE} = fine, added, int(hash div {FINE} < fine)), 0))"
+    return placed.select("doc", F.explode(F.expr(f"array_repeat(0, {copies})"))).select("doc.*")

@@ -210,8 +210,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     wanted = pairs.selectExpr("a AS node").unionByName(pairs.selectExpr("b AS node")).unionByName(dense.select("node")).distinct()
     wanted = stored(nodes.join(wanted, "node").select("node", "set_key", "least", "copies"), "join-wanted")
-    texts = docs.select(F.col(key).alias("least"), F.col(text).alias("body")).join(
-        broadcast_if_small(wanted.select("least").distinct(), BROADCAST_IDS), "least", "left_semi")
+    ids = wanted.select(F.col("least").alias("wanted")).distinct()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("body")).join(
+        broadcast_if_small(ids, BROADCAST_IDS), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = texts.select(_gram_sets(n)(F.col("body")).alias("s")).select("s.*").join(wanted.drop("least"), "set_key").drop("set_key").dropDuplicates(["node"])
     in_dense = dense.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("dense"))  # one bucket per band at most
     sets = stored(sets.join(in_dense, "node", "left").withColumn("dense", F.coalesce("dense", F.array().cast("array<bigint>"))), "join-sets")

@@ -208,8 +208,9 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
                              "pii": [",".join(f"{k}:{a}:{b}" for a, b, k in spots) for _, spots in done]})
 
     kept = [c for c in docs.columns if c.lower() != "pii"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), change(F.col(text)).alias("_changed"))
-    return rows.select(*(F.coalesce("_changed.text", f"`{c}`").alias(c) if c == text else F.col(f"`{c}`") for c in kept), F.col("_changed.pii").alias("pii"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), change(F.col(text)).alias("changed"))
+    return rows.select(*(F.coalesce("changed.text", f"doc.`{c}`").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in kept),
+                       F.col("changed.pii").alias("pii"))
 
 
 def pii_pseudonyms(docs: DataFrame) -> DataFrame:
@@ -219,5 +220,7 @@ def pii_pseudonyms(docs: DataFrame) -> DataFrame:
 
 def pseudonymised_documents(docs: DataFrame) -> DataFrame:
     """Pseudonyms in all texts, with the columns of ``docs``; ``n_chars`` counts the new text."""
-    changed = pseudonymise(docs).drop("pii") if "pii" not in docs.columns else pseudonymise(docs.drop("pii"))
-    return changed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else changed
+    changed = pseudonymise(docs.withColumnRenamed("pii", "pii ")).drop("pii").withColumnRenamed("pii ", "pii")
+    if "n_chars" not in docs.columns:
+        return changed
+    return changed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
