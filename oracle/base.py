@@ -6,10 +6,8 @@ import re
 
 from pendscope.config import STAGE_ORDER
 from pendscope.functions.columns import values_sql
-from pendscope.sources.adapter import NOTE_COLUMNS, NOTES, VAGUE_NOTE
-from pendscope.sources.playbook import (
-    DENIAL_COLUMNS, DENIALS, EFFORT_COLUMNS, EFFORTS, REVIEW, STAGE_COLUMNS, STAGES, THEME_COLUMNS, THEMES,
-)
+from pendscope.sources.adapter import SUB_CAUSES, VAGUE_NOTE
+from pendscope.sources.playbook import EFFORT_COLUMNS, EFFORTS, REVIEW, STAGE_COLUMNS, STAGES, THEME_COLUMNS, THEMES
 
 
 def _values(rows, columns) -> str:
@@ -19,12 +17,10 @@ def _values(rows, columns) -> str:
 DIMS = f"""
 stage_dim AS ({_values(STAGES, STAGE_COLUMNS)}),
 effort_dim AS ({_values(EFFORTS, EFFORT_COLUMNS)}),
-denial_dim AS ({_values(DENIALS, DENIAL_COLUMNS)}),
 playbook AS ({_values(THEMES, THEME_COLUMNS)}),
 theme_dim AS (
-  SELECT t.*, s.stage_ord, s.stage_name, s.stage_does
-  FROM ({_values(THEMES + (REVIEW,), THEME_COLUMNS)}) t LEFT JOIN stage_dim s ON t.stage = s.stage),
-notes AS ({_values(NOTES, NOTE_COLUMNS)})"""
+  SELECT t.*, s.stage_ord, s.stage_name
+  FROM ({_values(THEMES + (REVIEW,), THEME_COLUMNS)}) t LEFT JOIN stage_dim s ON t.stage = s.stage)"""
 
 CLAIMS = f"""{DIMS},
 edge AS (SELECT CAST(max(o_orderdate) AS DATE) AS last_day FROM orders),
@@ -42,10 +38,11 @@ c0 AS (
   JOIN nation n ON cu.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
   LEFT JOIN line_counts l ON l.l_orderkey = o.o_orderkey CROSS JOIN edge e),
 c1 AS (
-  SELECT c0.*, t.theme AS ttheme, t.stage AS tstage, s.stage_ord AS so, t.theme_code, t.theme_denial, t.sub_causes,
-    CASE WHEN held THEN (t.mean_tenths * (25 + (17 * c + 5 * k) % 150) * 864) // 10 ELSE 0 END AS hold,
+  SELECT c0.*, t.theme AS ttheme, t.stage AS tstage, s.stage_ord AS so, t.theme_code, t.theme_denial,
+    {SUB_CAUSES} + CASE WHEN true_ord % 3 = 0 THEN 1 ELSE 0 END AS sub_causes,
+    CASE WHEN held THEN (CAST(billed_amount * 100 AS BIGINT) % 345600 + 7200) * (1 + true_ord * 5 % 13) ELSE 0 END AS hold,
     (received_date - DATE '1970-01-01') * 86400 + (k * 37 % 1440) * 60 AS t0,
-    (k // 3) % t.sub_causes AS sub_cause
+    (k // 3) % ({SUB_CAUSES} + CASE WHEN true_ord % 3 = 0 THEN 1 ELSE 0 END) AS sub_cause
   FROM c0 JOIN playbook t ON t.theme_ord = true_ord JOIN stage_dim s ON s.stage = t.stage),
 c2 AS (SELECT *, t0 + (k % 10 + 2 + CASE WHEN channel = '5-LOW' THEN 26 ELSE 0 END) * 3600
   + CASE WHEN so = 0 THEN hold ELSE 0 END AS t1 FROM c1),
@@ -66,7 +63,6 @@ c7 AS (
     CASE WHEN pended THEN k % 4 + 1 ELSE 0 END AS touches,
     CASE WHEN pended THEN ttheme END AS true_theme,
     CASE WHEN pended THEN ttheme || ':' || sub_cause END AS true_sub_cause,
-    CASE WHEN sub_causes = 2 THEN sub_cause + 2 * (k % 2) ELSE sub_cause END AS phrase_no,
     CASE WHEN pended THEN CASE WHEN k % 23 = 0 THEN (true_ord + 1) % 13 ELSE true_ord END END AS guess_ord,
     CASE WHEN pended THEN (k * 13 % 50 + 50) / 100 END AS confidence
   FROM c6),
@@ -75,11 +71,11 @@ c8 AS (
     CASE WHEN pended AND released_at IS NULL THEN 'Pended' WHEN finalized_at IS NULL THEN 'In process'
          WHEN pended AND c7.theme_denial IS NOT NULL AND k % 4 = 0 THEN 'Denied' ELSE 'Paid' END AS status,
     CASE WHEN pended AND k % 101 <> 0 THEN CASE WHEN k % 20 = 0 THEN '{VAGUE_NOTE}'
-         ELSE n.phrase || ', item ' || (k % 17) || ', desk ' || (c % 7) END END AS adjuster_note,
+         ELSE string_split(n.text, chr(10))[CAST(k // 7 % len(string_split(n.text, chr(10))) AS INTEGER) + 1] END END AS adjuster_note,
     CASE WHEN confidence >= 0.55 THEN g.theme WHEN pended THEN 'needs_review' END AS theme,
     CASE WHEN k % 10 < 8 THEN sub_cause ELSE (sub_cause + 1) % c7.sub_causes END + 1 AS cluster_rank
   FROM c7 LEFT JOIN playbook g ON g.theme_ord = c7.guess_ord
-  LEFT JOIN notes n ON c7.pended AND n.theme = c7.ttheme AND n.phrase_no = c7.phrase_no),
+  LEFT JOIN documents n ON c7.pended AND n.doc_id = c7.k % (SELECT count(*) FROM documents)),
 claims AS (
   SELECT *, CASE WHEN status = 'Denied' THEN theme_denial END AS denial_code,
     CASE WHEN theme <> 'needs_review' THEN theme || ':' || cluster_rank END AS cluster_id,

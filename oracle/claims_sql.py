@@ -27,13 +27,17 @@ FIGURES = f"""figures AS (
 THEME_COLUMNS = ("key, name, stage, stage_name, claims, claims_share, avg_pend_days, median_pend_days, pend_days, "
                  "pend_days_share, billed, touches, over_target, open, denied_share")
 
-PLAN = """plan AS (
-  SELECT f.*, b.addressability, e.effort, b.effort_level, b.intervention, b.owner, b.why,
+ADVICE = """advice AS (SELECT theme, n_name AS owner, 'plain ' || n_nationkey AS plain, 'why ' || n_regionkey AS why, lower(n_name) AS intervention
+  FROM nation JOIN playbook ON theme_ord = n_nationkey)"""
+
+PLAN = ADVICE + """,
+plan AS (
+  SELECT f.*, b.addressability, e.effort, b.effort_level, a.intervention, a.owner, a.why,
     round(f.pend_days * b.addressability, 0) AS recoverable_days,
     CAST(round(f.claims * b.addressability) AS BIGINT) AS recoverable_claims,
     CAST(round(f.touches * b.addressability) AS BIGINT) AS recoverable_touches,
     round(f.pend_days * b.addressability / e.effort_weight, 0) AS priority_score
-  FROM figures f JOIN playbook b ON b.theme = f.key JOIN effort_dim e ON e.effort_level = b.effort_level),
+  FROM figures f JOIN playbook b ON b.theme = f.key JOIN effort_dim e ON e.effort_level = b.effort_level LEFT JOIN advice a ON a.theme = f.key),
 ranked AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, pend_days DESC, key) AS rank FROM plan)"""
 
 BASIS = """basis AS (
@@ -94,7 +98,7 @@ driver AS (
   FROM gains g JOIN {scores} s ON s.theme = g.theme WHERE now_n > 0
   QUALIFY row_number() OVER (PARTITION BY g.theme ORDER BY now_n * 42 - before_n * 21 DESC, dim_ord, value) = 1),
 driver_text AS (
-  SELECT *, CASE WHEN share_of_rise >= 0.95 THEN 'Almost all' WHEN share_of_rise >= 0.6 THEN 'Most'
+  SELECT *, CASE WHEN share_of_rise >= 0.95 THEN 'nearly all' WHEN share_of_rise >= 0.6 THEN 'majority'
     ELSE CAST(round(share_of_rise * 100) AS BIGINT) || '%' END AS share_text FROM driver)"""
 
 ONSET = """nexts AS (
@@ -133,7 +137,7 @@ def _journey() -> str:
         for s in STAGE_ORDER)
     return f"""stage_rows AS ({rows}),
 journey AS (
-  SELECT r.stage, d.stage_name, d.stage_does, r.pended, round(r.pended / nullif(t.all_claims, 0), 4) AS pended_share,
+  SELECT r.stage, d.stage_name, r.pended, round(r.pended / nullif(t.all_claims, 0), 4) AS pended_share,
     round(r.s / 86400, 0) AS pend_days, round(r.s / t.all_s, 4) AS pend_days_share,
     avg_days_clean, avg_days_when_pended_here, avg_days_all_pended
   FROM stage_rows r JOIN stage_dim d ON d.stage = r.stage CROSS JOIN totals t)"""
@@ -177,28 +181,14 @@ d AS (SELECT * FROM named ORDER BY pend_days DESC, key LIMIT 1),
 c AS (SELECT * FROM named ORDER BY claims DESC, pend_days DESC, key LIMIT 1),
 q AS (SELECT * FROM named ORDER BY avg_pend_days, pend_days DESC, key LIMIT 1),
 findings AS (
-  SELECT 1 AS seq, 'impact' AS kind, key AS theme, name || ' loses the most days' AS title,
-    CAST(round(pend_days_share * 100) AS BIGINT) || '% of the days lost come from this theme: ' || format('{:,}', claims)
-    || ' claims held ' || avg_pend_days || ' days each.' AS text FROM d
-  UNION ALL
-  SELECT 2, 'contrast', q.key, 'Many claims need not mean many days',
-    q.name || ' holds ' || CAST(round(q.claims_share * 100) AS BIGINT) || '% of pended claims and only '
-    || CAST(round(q.pend_days_share * 100) AS BIGINT) || '% of days lost, as each clears in about ' || q.avg_pend_days || ' days.'
-  FROM q WHERE q.claims_share > q.pend_days_share * 2
-  UNION ALL
-  SELECT 2, 'contrast', c.key, 'The most common theme is not the most expensive',
-    c.name || ' has most pended claims (' || format('{:,}', c.claims) || ') but not the most days lost.'
-  FROM c, d, q WHERE NOT (q.claims_share > q.pend_days_share * 2) AND c.key <> d.key
-  UNION ALL
-  SELECT 3, 'emerging', key, name || ' is on the rise',
-    'From ' || per_day_before || ' to ' || per_day_now || ' claims a day'
-    || CASE WHEN onset IS NULL THEN '' ELSE ' since ' || strftime(CAST(onset AS DATE), '%-d %b') END
-    || '. ' || share_text || ' of it is ' || driver_dimension || ' ' || driver_value || '.'
-  FROM (SELECT * FROM emerging ORDER BY lift DESC, key LIMIT 1)
-  UNION ALL
-  SELECT 4, 'visibility', NULL, 'Codes alone show only part',
-    CAST(round(generic_share * 100) AS BIGINT) || '% of pended claims carry just the general code; the reason is in the note.'
-  FROM d)"""
+  SELECT 1 AS seq, 'impact' AS kind, key AS theme, claims, claims_share, avg_pend_days AS avg_days, pend_days AS days, pend_days_share AS days_share, NULL::DOUBLE AS per_day_before, NULL::DOUBLE AS per_day_now, NULL::VARCHAR AS onset, NULL::VARCHAR AS driver_dimension, NULL::VARCHAR AS driver_value, NULL::DOUBLE AS driver_share, NULL::DOUBLE AS generic_share FROM d
+  UNION ALL SELECT 2, 'frequent_but_quick', key AS theme, claims, claims_share, avg_pend_days AS avg_days, pend_days AS days, pend_days_share AS days_share, NULL::DOUBLE AS per_day_before, NULL::DOUBLE AS per_day_now, NULL::VARCHAR AS onset, NULL::VARCHAR AS driver_dimension, NULL::VARCHAR AS driver_value, NULL::DOUBLE AS driver_share, NULL::DOUBLE AS generic_share FROM q WHERE q.claims_share > q.pend_days_share * 2
+  UNION ALL SELECT 2, 'frequent_not_costly', key AS theme, claims, claims_share, avg_pend_days AS avg_days, pend_days AS days, pend_days_share AS days_share, NULL::DOUBLE AS per_day_before, NULL::DOUBLE AS per_day_now, NULL::VARCHAR AS onset, NULL::VARCHAR AS driver_dimension, NULL::VARCHAR AS driver_value, NULL::DOUBLE AS driver_share, NULL::DOUBLE AS generic_share FROM c
+    WHERE NOT (SELECT claims_share > pend_days_share * 2 FROM q) AND key <> (SELECT key FROM d)
+  UNION ALL SELECT 3, 'emerging', key, NULL, NULL, NULL, NULL, NULL, per_day_before, per_day_now, onset, driver_dimension, driver_value,
+    share_of_rise, NULL FROM (SELECT * FROM emerging ORDER BY lift DESC, key LIMIT 1) WHERE EXISTS (SELECT 1 FROM named)
+  UNION ALL SELECT 4, 'visibility', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, (SELECT max(generic_share) FROM figures)
+    FROM d)"""
 
 SQL = {
     "claim_measures": with_claims(
@@ -206,8 +196,8 @@ SQL = {
         "round(age_s / 86400, 4) AS age_days, "
         + ", ".join(f"round({s}_s / 86400, 4) AS days_{s}" for s in STAGE_ORDER) + " FROM claims"),
     "theme_dim": with_claims(
-        "SELECT d.theme, d.theme_ord, d.theme_name, d.stage, d.stage_name, d.theme_code, d.addressability, d.effort_level, d.theme_denial, d.owner, "
-        "d.plain, d.why, d.intervention, count(p.claim_id) AS claims FROM theme_dim d LEFT JOIN pended p ON p.theme = d.theme GROUP BY ALL", PENDED),
+        "SELECT d.theme, d.theme_ord, d.theme_name, d.stage, d.stage_name, d.theme_code, d.addressability, d.effort_level, d.theme_denial, "
+        "count(p.claim_id) AS claims FROM theme_dim d LEFT JOIN pended p ON p.theme = d.theme GROUP BY ALL", PENDED),
     "scope_filter": with_claims(
         f"SELECT claim_id, {day_text('received_date')} AS received_date, lob, platform, pended FROM claims "
         "WHERE received_date >= DATE '1998-01-01' AND received_date <= DATE '1999-12-31' AND lob = 'BUILDING' AND platform = 'EUROPE'"),
@@ -291,32 +281,33 @@ SQL = {
         "SELECT theme, CAST(row_number() OVER (PARTITION BY theme ORDER BY pend_s DESC, claim_id) AS INTEGER) AS position, claim_id, "
         "adjuster_note, pend_code, round_even(pend_s / 86400, 1) AS pend_days, confidence FROM pended WHERE theme IS NOT NULL "
         "QUALIFY position <= 6", PENDED),
+    "claim_list_filtered": with_claims(
+        LIST_SELECT + " WHERE p.theme = 'fwa_review' AND status = 'Paid' AND over_target ORDER BY pend_s DESC, claim_id LIMIT 50", PENDED),
     "claim_list": with_claims(LIST_SELECT + " ORDER BY pend_s DESC, claim_id LIMIT 25 OFFSET 25", PENDED),
     "claim_search": with_claims(
-        LIST_SELECT + " WHERE contains(lower(claim_id), 'baby') OR contains(lower(coalesce(adjuster_note, '')), 'baby') "
-        "OR contains(lower(provider_id), 'baby')", PENDED),
+        LIST_SELECT + " WHERE contains(lower(claim_id), 'idiot') OR contains(lower(coalesce(adjuster_note, '')), 'idiot') "
+        "OR contains(lower(provider_id), 'idiot')", PENDED),
     "claim_detail": with_claims(
         "SELECT claim_id, status, lob, platform, channel, claim_type, specialty, network_status, provider_id, "
         "CAST(billed_amount AS DOUBLE) AS billed_amount, round(age_s / 86400, 1) AS age_days, over_target, 30 AS target_days, pended, "
         "CASE WHEN pended THEN s.stage_name END AS stage_name, pend_code, adjuster_note AS note, round(pend_s / 86400, 1) AS pend_days, "
         "CAST(CASE WHEN pended THEN touches END AS INTEGER) AS touches, c.theme, t.theme_name, round(confidence, 2) AS confidence, "
-        "CASE WHEN pended THEN released_at IS NULL END AS still_pended, c.denial_code, d.denial_text FROM claims c "
-        "LEFT JOIN theme_dim t ON t.theme = c.theme LEFT JOIN stage_dim s ON s.stage = c.pend_stage "
-        "LEFT JOIN denial_dim d ON d.denial_code = c.denial_code"),
+        "CASE WHEN pended THEN released_at IS NULL END AS still_pended, c.denial_code, NULL::VARCHAR AS denial_text FROM claims c "
+        "LEFT JOIN theme_dim t ON t.theme = c.theme LEFT JOIN stage_dim s ON s.stage = c.pend_stage"),
     "claim_timeline": with_claims(
         "SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY at, ord) AS INTEGER) AS seq, event, "
-        "strftime(make_timestamp(at * 1000000), '%Y-%m-%d %H:%M') AS at, stage FROM events_long WHERE at IS NOT NULL".replace(
+        "strftime(make_timestamp(at * 1000000), '%Y-%m-%d %H:%M') AS at, (SELECT stage_name FROM stage_dim s WHERE s.stage = e0.stage) AS stage "
+        "FROM events_long WHERE at IS NOT NULL".replace(
             "strftime(make_timestamp(at", "strftime(make_timestamp(e0.at").replace("FROM events_long WHERE at", "FROM events_long e0 WHERE e0.at").replace(
             "ORDER BY at, ord", "ORDER BY e0.at, ord"),
         """events_long AS (
-  SELECT claim_id, 0 AS ord, 'Received' AS event, received_at AS at, 'intake' AS stage FROM claims
-  UNION ALL SELECT claim_id, 1, 'Intake complete', intake_done_at, 'intake' FROM claims
-  UNION ALL SELECT claim_id, 2, 'Pre-adjudication complete', preadj_done_at, 'pre_adjudication' FROM claims
-  UNION ALL SELECT claim_id, 3, 'Adjudicated', adjudicated_at, 'adjudication' FROM claims
-  UNION ALL SELECT claim_id, 4, CASE WHEN is_open THEN 'Finalized' ELSE 'Finalized (' || status || ')' END, finalized_at,
-    'post_adjudication' FROM claims
-  UNION ALL SELECT claim_id, 5, 'Pended in ' || stage_name, pended_at, pend_stage FROM claims JOIN stage_dim ON stage = pend_stage WHERE pended
-  UNION ALL SELECT claim_id, 6, 'Pend released', released_at, pend_stage FROM claims WHERE pended)"""),
+  SELECT claim_id, 0 AS ord, 'received' AS event, received_at AS at, 'intake' AS stage FROM claims
+  UNION ALL SELECT claim_id, 1, 'left_intake', intake_done_at, 'intake' FROM claims
+  UNION ALL SELECT claim_id, 2, 'left_pre_adjudication', preadj_done_at, 'pre_adjudication' FROM claims
+  UNION ALL SELECT claim_id, 3, 'left_adjudication', adjudicated_at, 'adjudication' FROM claims
+  UNION ALL SELECT claim_id, 4, 'left_post_adjudication', finalized_at, 'post_adjudication' FROM claims
+  UNION ALL SELECT claim_id, 5, 'hold_began', pended_at, pend_stage FROM claims WHERE pended
+  UNION ALL SELECT claim_id, 6, 'hold_ended', released_at, pend_stage FROM claims WHERE pended)"""),
     "claim_stage_days": with_claims(" UNION ALL ".join(
         f"SELECT claim_id, '{s}' AS stage, round({s}_s / 86400, 2) AS days FROM claims" for s in STAGE_ORDER)),
     "cluster_profile": with_claims(
@@ -325,3 +316,8 @@ SQL = {
         "JOIN (SELECT theme, count(*) AS n FROM pended GROUP BY theme) t ON t.theme = p.theme "
         "WHERE cluster_id IS NOT NULL GROUP BY p.theme, cluster_id", PENDED),
 }
+SQL["claim_lookup"] = SQL["claim_detail"] + " WHERE claim_id = 'C2600000007'"
+SQL["interventions_top"] = SQL["interventions"] + " WHERE rank <= 4"
+SQL["theme_playbook"] = with_claims(
+    "SELECT DISTINCT p.theme, d.theme_name, d.stage_name, a.plain, a.why, a.intervention, a.owner FROM pended p LEFT JOIN theme_dim d ON d.theme = p.theme "
+    "LEFT JOIN advice a ON a.theme = p.theme WHERE p.theme IS NOT NULL", PENDED, ADVICE)

@@ -22,15 +22,15 @@ SCORES = """classes AS (
 
 
 def _pairs(label: str) -> str:
-    return f"""sample AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {label} FROM embeddings ORDER BY md5(vec_id || ':1'), vec_id LIMIT 1500),
-gaps AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM sample a JOIN sample b ON a.vec_id <> b.vec_id)"""
+    return f"points AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {label} FROM embeddings)"
 
 
 def _mean_silhouette(label: str) -> str:
+    """Every point against every other one."""
     return f"""(SELECT avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM (
   SELECT i, max(m) FILTER (WHERE same) AS a, min(m) FILTER (WHERE NOT same) AS b FROM (
-    SELECT g.i, x.{label} = y.{label} AS same, y.{label} AS other, avg(g.d) AS m
-    FROM gaps g JOIN sample x ON x.vec_id = g.i JOIN sample y ON y.vec_id = g.j GROUP BY g.i, x.{label} = y.{label}, y.{label})
+    SELECT x.vec_id AS i, x.{label} = y.{label} AS same, y.{label} AS other, avg(pow(list_distance(x.e, y.e), 2)) AS m
+    FROM points x JOIN points y ON x.vec_id <> y.vec_id GROUP BY x.vec_id, x.{label} = y.{label}, y.{label})
   GROUP BY i))"""
 
 
@@ -42,10 +42,17 @@ def _first(catalogue) -> str:
     return "CASE " + " ".join(f"WHEN {_any(words)} THEN '{key}'" for key, words in catalogue.items()) + " END"
 
 
-ROUTE = rf"""WITH asked AS (
+PLATFORM = "contains(q, 'system')"
+PLATFORMS = " OR EXISTS (SELECT 1 FROM region WHERE contains(q, lower(r_name)))"
+
+# half of the questions carry a claim id made from their own number
+ROUTE = rf"""WITH conversations AS (
+  SELECT conv_id, turn, role, CASE WHEN conv_id % 4 = 0 THEN text || ' (c26' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || ')'
+    WHEN conv_id % 4 = 1 THEN text || ' in asia' ELSE text END AS text FROM main.conversations),
+asked AS (
   SELECT conv_id, turn, text, ' ' || trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || ' ' AS q,
     nullif(regexp_extract(upper(text), '\bC26\d{{8}}\b'), '') AS claim FROM conversations WHERE role = 'user'),
-found AS (SELECT *, {_first(routing.THEME_WORDS)} AS t, {_first(routing.DIMENSION_WORDS)} AS d FROM asked),
+found AS (SELECT *, {_first(routing.THEME_WORDS)} AS t, {_first(routing.DIMENSION_WORDS).replace(PLATFORM, PLATFORM + PLATFORMS)} AS d FROM asked),
 routed AS (SELECT *, CASE WHEN claim IS NOT NULL THEN 'claim' WHEN {_any(routing.INTERVENE_WORDS)} THEN 'intervene'
   WHEN {_any(routing.EMERGING_WORDS)} THEN 'emerging' WHEN t IS NOT NULL AND d IS NULL THEN 'theme' WHEN d IS NOT NULL THEN 'dimension'
   WHEN {_any(routing.STAGE_WORDS)} THEN 'stage' WHEN {_any(routing.RANKING_WORDS)} THEN 'ranking' ELSE 'summary' END AS intent FROM found)
@@ -55,7 +62,14 @@ SELECT conv_id, turn, length(text) BETWEEN 1 AND 1000 AS accepted, intent,
   CASE WHEN intent = 'dimension' THEN d END AS dimension,
   CASE WHEN intent <> 'ranking' THEN NULL WHEN {_any(routing.VOLUME_WORDS)} THEN 'claims'
     WHEN {_any(routing.LENGTH_WORDS)} THEN 'avg_pend_days' ELSE 'pend_days' END AS metric,
-  CASE WHEN intent = 'intervene' THEN 3 END AS top_n FROM routed"""
+  CASE WHEN intent = 'intervene' THEN 3 END AS top_n,
+  '{{' || array_to_string(list_filter([
+    CASE WHEN intent = 'claim' THEN '"claim_id":"' || claim || '"' END,
+    CASE WHEN intent IN ('theme', 'dimension') AND t IS NOT NULL THEN '"theme":"' || t || '"' END,
+    CASE WHEN intent = 'dimension' THEN '"dimension":"' || d || '"' END,
+    CASE WHEN intent <> 'ranking' THEN NULL WHEN {_any(routing.VOLUME_WORDS)} THEN '"metric":"claims"'
+      WHEN {_any(routing.LENGTH_WORDS)} THEN '"metric":"avg_pend_days"' ELSE '"metric":"pend_days"' END,
+    CASE WHEN intent = 'intervene' THEN '"top_n":3' END], lambda x: x IS NOT NULL), ',') || '}}' AS evidence_args FROM routed"""
 
 _CHECKS = " UNION ALL ".join((
     "SELECT 'daily received' AS name, (SELECT sum(received) FROM overview) AS l, claims AS r, 0 AS allowed FROM kpis",
@@ -113,7 +127,7 @@ SELECT d.doc_id, d.lang, coalesce(s.split, 'unlabelled') AS split FROM documents
         "FROM labelled GROUP BY ALL) GROUP BY theme)",
         "known AS (SELECT theme, sum(n * (n - 1) / 2) AS s1, count(*) AS known FROM (SELECT theme, true_sub_cause, count(*) AS n FROM labelled GROUP BY ALL) GROUP BY theme)",
         "found AS (SELECT theme, sum(n * (n - 1) / 2) AS s2, count(*) AS clusters FROM (SELECT theme, cluster_id, count(*) AS n FROM labelled GROUP BY ALL) GROUP BY theme)"),
-    "silhouette": f"WITH {_pairs('label')} SELECT 'label' AS labelling, (SELECT count(*) FROM sample) AS points, "
+    "silhouette": f"WITH {_pairs('label')} SELECT 'label' AS labelling, (SELECT count(*) FROM points) AS points, "
                   f"round({_mean_silhouette('label')}, 5) AS silhouette",
     "choose_k": f"WITH {_pairs(', '.join(f'{rule} AS {name}' for name, rule in K_RULES.items()))}, scores AS ("
                 + " UNION ALL ".join(f"SELECT {name[1:]} AS k, {_mean_silhouette(name)} AS s" for name in K_RULES)

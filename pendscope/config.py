@@ -7,7 +7,6 @@ from datetime import date
 # ---- fixed values: they decide the results and must stay as they are --------
 AS_OF_LAG_DAYS = 2
 MIN_WINDOW_DAYS = 63
-MAX_WINDOW_DAYS = 366
 SLA_DAYS = 30
 MIN_CONFIDENCE = 0.55
 LABELLED_SAMPLE = 1200
@@ -18,7 +17,6 @@ EMERGING_MIN_Z = 3.0
 MIN_ROWS_TO_SPLIT = 60
 CLUSTER_COUNTS = (2, 3, 4, 5)
 SIMPLER_SPLIT_TOLERANCE = 0.03
-SILHOUETTE_SAMPLE = 1500
 KEY_PHRASES = 4
 GENERIC_PEND_CODE = "PND-000"
 NEEDS_REVIEW = "needs_review"
@@ -38,10 +36,8 @@ DIMENSION_LABELS = {
 
 
 def check_window(start: date, end: date) -> int:
-    """Days in an inclusive window; ValueError when too short or too long to analyse."""
+    """Days in an inclusive window; ValueError when too short to analyse."""
     days = (end - start).days + 1
-    if days < MIN_WINDOW_DAYS or days > MAX_WINDOW_DAYS:
-        raise ValueError(
-            f"a window needs {MIN_WINDOW_DAYS} to {MAX_WINDOW_DAYS} days, {start} to {end} has {days}"
-        )
+    if days < MIN_WINDOW_DAYS:
+        raise ValueError(f"a window needs at least {MIN_WINDOW_DAYS} days, {start} to {end} has {days}")
     return days

@@ -126,7 +126,7 @@ def _with_driver(df: DataFrame, rule: RiseRule) -> DataFrame:
         f"{share_sql('driver.gain', f'(recent_sum * {b} - base_sum * {r})')} AS share_of_rise",
     ), {"driver_before": 1, "driver_now": 1, "share_of_rise": 2})
     return shown.selectExpr(
-        "*", "CASE WHEN share_of_rise >= 0.95 THEN 'Almost all' WHEN share_of_rise >= 0.6 THEN 'Most' "
+        "*", "CASE WHEN share_of_rise >= 0.95 THEN 'nearly all' WHEN share_of_rise >= 0.6 THEN 'majority' "
         f"ELSE {percent_sql('share_of_rise')} END AS share_text")
 
 

@@ -32,7 +32,7 @@ def journey_stages(claims: DataFrame) -> DataFrame:
         "(stage, pended, pend_s, avg_days_clean, avg_days_when_pended_here, avg_days_all_pended)")
     named = rows.join(F.broadcast(stage_dim(claims.sparkSession)), "stage").orderBy("stage_ord")
     table = named.selectExpr(
-        "stage", "stage_name", "stage_does", "pended", f"{share_sql('pended', 'all_pended')} AS pended_share",
+        "stage", "stage_name", "pended", f"{share_sql('pended', 'all_pended')} AS pended_share",
         "pend_s / 86400D AS pend_days", f"{share_sql('pend_s', 'all_pend_s')} AS pend_days_share",
         "avg_days_clean", "avg_days_when_pended_here", "avg_days_all_pended")
     averages = dict.fromkeys(("avg_days_clean", "avg_days_when_pended_here", "avg_days_all_pended"), 2)

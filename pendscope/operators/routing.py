@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ THEME_WORDS = {
     NEEDS_REVIEW: ("needs review", "human review", "unclassified", "low confidence"),
 }
 DIMENSION_WORDS = {
-    "platform": ("platform", "cosmos", "tops", "csp", "usp", "system"),
+    "platform": ("platform", "system"),
     "lob": ("line of business", "lob", "commercial", "medicare", "medicaid"),
     "specialty": ("specialty", "specialties", "radiology", "orthop", "cardio"),
     "channel": ("channel", "clearinghouse", "portal", "mail"),
@@ -54,15 +56,20 @@ TOOLS = {
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains(q, '{word}')" for word in words) + ")"
+    return "(" + " OR ".join("contains(q, '" + word.replace("\\", "\\\\").replace("'", "\\'") + "')" for word in words) + ")"
+
+
+def with_platforms(platforms: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The dimension words together with the names of the user's platforms."""
+    return DIMENSION_WORDS | {"platform": (*DIMENSION_WORDS["platform"], *(name.lower() for name in platforms))}
 
 
 def _first_key(catalogue: dict[str, tuple[str, ...]]) -> str:
     return "CASE " + " ".join(f"WHEN {_any(words)} THEN '{key}'" for key, words in catalogue.items()) + " END"
 
 
-def route_questions(questions: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the tool a question leads to and its arguments.
+def route_questions(questions: DataFrame, text: str = "text", platforms: Sequence[str] = ()) -> DataFrame:
+    """Adds the tool a question leads to and its arguments. ``platforms`` are the platform names a question may hold.
 
     ``accepted`` is false for an empty or overlong question; it is still routed, so
     that no row is lost. The rules are one chain of conditions, evaluated in the JVM."""
@@ -72,7 +79,7 @@ def route_questions(questions: DataFrame, text: str = "text") -> DataFrame:
         "claim_id": F.expr(f"nullif(regexp_extract(upper({text}), r'{CLAIM_ID_PATTERN}', 0), '')"),
         "accepted": F.expr(f"length({text}) BETWEEN 1 AND {MAX_QUESTION}"),
     })
-    found = words.withColumns({"theme": F.expr(_first_key(THEME_WORDS)), "dimension": F.expr(_first_key(DIMENSION_WORDS))})
+    found = words.withColumns({"theme": F.expr(_first_key(THEME_WORDS)), "dimension": F.expr(_first_key(with_platforms(platforms)))})
     intent = (
         "CASE WHEN claim_id IS NOT NULL THEN 'claim' "
         f"WHEN {_any(INTERVENE_WORDS)} THEN 'intervene' "

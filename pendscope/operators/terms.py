@@ -21,17 +21,21 @@ def tokenise(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = ()
     return with_words.withColumn("pairs", F.expr(pairs_sql("words")))
 
 
-def term_counts(docs: DataFrame, key: Sequence[str], text: str = "text", stop_words: Sequence[str] = (),
-                extra: Sequence[str] = (), always: str | None = None) -> DataFrame:
+def runs_sql(sorted_terms: str) -> str:
+    """SQL for the (term, tf) structs of a sorted array: runs of equal entries and their lengths."""
+    pairs = "transform(s, (i, j) -> named_struct('term', t[i], 'tf', bigint(if(j + 1 < size(s), s[j + 1], size(t)) - i)))"
+    starts = "filter(sequence(0, size(t) - 1), i -> i = 0 OR t[i] <> t[i - 1])"
+    body = f"if(size(t) = 0, cast(array() AS array<struct<term:string,tf:bigint>>), transform(array({starts}), s -> {pairs})[0])"
+    return f"transform(array({sorted_terms}), t -> {body})[0]"
+
+
+def term_counts(docs: DataFrame, key: Sequence[str], text: str = "text", stop_words: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
     """(key, extra, term, tf) for the words and word pairs of each document.
 
-    The documents are spread by key before they are taken apart, so that counting a
-    term, and any later sum per document, needs no further shuffle. ``extra`` columns
-    must be constant per key. ``always`` is a term every document gets."""
-    spread = docs.select(*key, *extra, text).repartition(*key)
-    parts = "words, pairs" if always is None else f"words, pairs, array('{always}')"
-    terms = tokenise(spread, text, stop_words).selectExpr(*key, *extra, f"explode(concat({parts})) AS term")
-    return terms.groupBy(*key, *extra, "term").agg(F.count("*").alias("tf"))
+    A document is one row and its terms are sorted and counted inside it, so no text is shuffled and a sum per
+    document that follows sends one row per document."""
+    terms = tokenise(docs.select(*key, *extra, text), text, stop_words).selectExpr(*key, *extra, "array_sort(concat(words, pairs)) AS terms")
+    return terms.selectExpr(*key, *extra, f"inline({runs_sql('terms')})")
 
 
 def vocabulary(counts: DataFrame, min_df: int, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

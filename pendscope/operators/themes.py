@@ -11,7 +11,7 @@ from pendscope.functions.columns import (
     aggregates, days, exclude_null, over_all, round_to, rounded, rounded_by_product, share_sql,
 )
 from pendscope.functions.exact_median import exact_quantile
-from pendscope.sources.playbook import theme_dim
+from pendscope.sources.playbook import theme_dim, with_advice
 
 
 def theme_totals(claims: DataFrame) -> DataFrame:
@@ -91,17 +91,17 @@ def rank_themes(claims: DataFrame, metric: str = "pend_days") -> DataFrame:
     return figures.withColumn("position", F.row_number().over(ordered)).orderBy("position")
 
 
-def theme_catalogue(claims: DataFrame) -> DataFrame:
+def theme_catalogue(claims: DataFrame, advice: DataFrame | None = None) -> DataFrame:
     """All catalogue themes with their playbook and their number of pended claims."""
     counts = exclude_null(claims.filter("pended"), "theme").groupBy("theme").agg(F.count("*").alias("claims"))
-    return theme_dim(claims.sparkSession).join(F.broadcast(counts), "theme", "left").fillna(0, ["claims"])
+    return with_advice(theme_dim(claims.sparkSession), advice).join(F.broadcast(counts), "theme", "left").fillna(0, ["claims"])
 
 
-def theme_playbook(claims: DataFrame) -> DataFrame:
-    """Advice for the themes present in the scope."""
+def theme_playbook(claims: DataFrame, advice: DataFrame | None = None) -> DataFrame:
+    """What the user's ``advice`` says about the themes present in the scope."""
     present = exclude_null(claims.filter("pended"), "theme").select("theme").distinct()
-    advice = theme_dim(claims.sparkSession).select("theme", "theme_name", "plain", "why", "intervention", "owner", "stage_does")
-    return present.join(F.broadcast(advice), "theme", "left")
+    told = with_advice(theme_dim(claims.sparkSession), advice).select("theme", "theme_name", "stage_name", "plain", "why", "intervention", "owner")
+    return present.join(F.broadcast(told), "theme", "left")
 
 
 def cluster_profile(claims: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:

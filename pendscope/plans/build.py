@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pendscope.config import AS_OF_LAG_DAYS, LABELLED_SAMPLE, MIN_CONFIDENCE, check_window
 from pendscope.functions.text import doc_text_sql
 from pendscope.operators.classify import classify, fit_classifier
-from pendscope.operators.cluster import Clusters, assign, cluster
+from pendscope.operators.cluster import RESTARTS, Clusters, assign, cluster
 from pendscope.operators.sampling import labelled_sample
 from pendscope.operators.scope import Scope, require_rows, scope
 from pendscope.operators.scoring import (
@@ -43,7 +43,7 @@ def enrich_claims(claims: DataFrame, predictions: DataFrame, cluster_ids: DataFr
 
 
 def analyse(claims: DataFrame, sample_size: int = LABELLED_SAMPLE, floor: float = MIN_CONFIDENCE, seed: int = DEFAULT_SEED,
-            restarts: int = 3) -> Built:
+            restarts: int = RESTARTS) -> Built:
     """Themes, clusters and their quality for the claims of one window."""
     raw = claims.select(*[c for c in claims.columns if c not in ("theme", "confidence", "cluster_id")])
     held = cut_lineage(raw.filter("pended").select(
@@ -84,7 +84,7 @@ def analyse(claims: DataFrame, sample_size: int = LABELLED_SAMPLE, floor: float
 
 
 def build(spark: SparkSession, claims: DataFrame, out: str, start: date, end: date, seed: int = DEFAULT_SEED,
-          restarts: int = 3) -> str:
+          restarts: int = RESTARTS) -> str:
     """Builds one window of 63 to 366 days and makes it current. Returns its folder."""
     check_window(start, end)
     began = time.monotonic()

@@ -14,17 +14,29 @@ from pendscope.operators import browse, emerging, findings, interventions, journ
 from pendscope.operators.scope import Scope, scope
 from pendscope.plans.text_queries import TEXT_QUERIES
 from pendscope.sources.adapter import claims_of
+from pendscope.sources.playbook import playbook
+from pendscope.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _over_claims(operator: Callable[..., DataFrame], *args, claim_type: bool = False, **kwargs) -> Query:
+def _over_claims(operator: Callable[..., DataFrame], *args, claim_type: bool = False, notes: bool = False, **kwargs) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(claims_of(spark, sf_dir, claim_type), *args, **kwargs)
+        return operator(claims_of(spark, sf_dir, claim_type, notes), *args, **kwargs)
 
     return query
 
 
+def advice_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for the user's advice table: one nation per theme."""
+    return table(spark, sf_dir, "nation").join(F.broadcast(playbook(spark)), F.expr("theme_ord = n_nationkey")).selectExpr(
+        "theme", "n_name AS owner", "concat('plain ', n_nationkey) AS plain", "concat('why ', n_regionkey) AS why", "lower(n_name) AS intervention")
+
+
+def _advised(operator: Callable[..., DataFrame], **kwargs) -> Query:
+    return lambda spark, sf_dir: operator(claims_of(spark, sf_dir), advice=advice_of(spark, sf_dir), **kwargs)
+
+
 def _measures(claims: DataFrame) -> DataFrame:
     names = ("pend_days", "tat_days", "age_days", *(f"days_{stage}" for stage in STAGE_ORDER))
     return claims.select("claim_id", "is_open", "over_target", *(rounded(name, 4).alias(name) for name in names))
@@ -39,7 +51,7 @@ def _scoped(claims: DataFrame) -> DataFrame:
 def _theme_dim(claims: DataFrame) -> DataFrame:
     return themes.theme_catalogue(claims).select(
         "theme", "theme_ord", "theme_name", "stage", "stage_name", "theme_code", "addressability", "effort_level",
-        "theme_denial", "owner", "plain", "why", "intervention", "claims")
+        "theme_denial", "claims")
 
 
 def _rise_scores(claims: DataFrame) -> DataFrame:
@@ -75,15 +87,19 @@ CLAIM_QUERIES: dict[str, Query] = {
     "volume_basis": _over_claims(kpis.volume_basis),
     "generic_code_share": _over_claims(kpis.generic_code_share),
     "meta": _over_claims(kpis.meta),
-    "interventions": _over_claims(interventions.interventions),
+    "interventions": _advised(interventions.interventions),
+    "interventions_top": _advised(interventions.interventions, top_n=4),
+    "theme_playbook": _advised(themes.theme_playbook),
     "business_case": _over_claims(interventions.business_case),
     "key_findings": _over_claims(findings.key_findings, claim_type=True),
     "cluster_profile": _over_claims(themes.cluster_profile),
     "top_providers": _over_claims(themes.top_providers),
-    "sample_notes": _over_claims(themes.sample_notes),
+    "sample_notes": _over_claims(themes.sample_notes, notes=True),
     "claim_list": _over_claims(browse.claim_list, page=2),
-    "claim_search": _over_claims(lambda claims: browse.list_view(browse.find_claims(claims, query=" Baby "))),
-    "claim_detail": _over_claims(browse.claim_detail, claim_type=True),
+    "claim_list_filtered": _over_claims(browse.claim_list, theme="fwa_review", status="Paid", over_target=True, size=50),
+    "claim_search": _over_claims(lambda claims: browse.list_view(browse.find_claims(claims, query=" Idiot ")), notes=True),
+    "claim_detail": _over_claims(browse.claim_detail, claim_type=True, notes=True),
+    "claim_lookup": _over_claims(browse.claim_detail, " c2600000007\t", claim_type=True, notes=True),
     "claim_timeline": _over_claims(browse.claim_timeline),
     "claim_stage_days": _over_claims(browse.claim_stage_days),
 }

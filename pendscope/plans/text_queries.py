@@ -101,13 +101,13 @@ K_RULES = {f"k{k}": f"label % {k}" for k in (2, 3, 4, 5)}
 
 
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.silhouette(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
+    found = scoring.silhouette(table(spark, sf_dir, "embeddings"), "embedding", ["label"])
     return found.selectExpr("labelling", "points", "round(silhouette, 5) AS silhouette")
 
 
 def _k_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", *(f"{rule} AS {name}" for name, rule in K_RULES.items()))
-    found = scoring.silhouette(points, "vec_id", "embedding", list(K_RULES))
+    found = scoring.silhouette(points, "embedding", list(K_RULES))
     return found.selectExpr("part", "int(substr(labelling, 2)) AS k", "silhouette")
 
 
@@ -116,8 +116,12 @@ def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
-    return route_questions(asked).drop("text", "evidence_args")
+    """A quarter of the questions get a claim id made from their own number, another the name of a platform."""
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").selectExpr(
+        "conv_id", "turn", "CASE conv_id % 4 WHEN 0 THEN concat(text, ' (c26', lpad(cast(conv_id AS string), 8, '0'), ')') "
+        "WHEN 1 THEN concat(text, ' in asia') ELSE text END AS text")
+    platforms = [row["r_name"] for row in table(spark, sf_dir, "region").select("r_name").distinct().collect()]  # a catalogue of 5 rows
+    return route_questions(asked, platforms=platforms).drop("text")
 
 
 def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +129,7 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_text(claims_of(spark, sf_dir))
+    return doc_text(claims_of(spark, sf_dir, notes=True))
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:

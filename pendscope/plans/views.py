@@ -64,14 +64,15 @@ def journey_view(claims: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def theme_detail(claims: DataFrame, theme: str, catalogue: DataFrame | None = None) -> dict[str, DataFrame] | None:
+def theme_detail(claims: DataFrame, theme: str, catalogue: DataFrame | None = None,
+                 advice: DataFrame | None = None) -> dict[str, DataFrame] | None:
     """All there is to say about one theme; None when no claim of the scope has it."""
     if claims.filter("pended").filter(F.col("theme") == theme).isEmpty():
         return None
     only = lambda df, column="theme": df.filter(F.col(column) == theme)
     return {
         "figures": only(themes.theme_table(claims), "key"),
-        "playbook": only(themes.theme_playbook(claims)),
+        "playbook": only(themes.theme_playbook(claims, advice)),
         "clusters": only(themes.cluster_profile(claims, catalogue)),
         "daily": only(trends.daily_by_theme(claims), "key"),
         "segments": segments.theme_segments(claims, SEGMENT_DIMENSIONS, theme),

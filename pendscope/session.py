@@ -27,9 +27,13 @@ def local_session(cpus: int | None = None, app: str = "pendscope") -> SparkSessi
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``, so that a lost executor never replays the
     steps before it. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (tests) a new one is made."""
+    ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pendscope-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="pendscope-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

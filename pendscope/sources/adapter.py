@@ -16,41 +16,8 @@ from pendscope.operators.measures import add_measures
 from pendscope.sources.playbook import STAGES, THEME_COLUMNS, THEMES
 from pendscope.sources.tables import table
 
-NOTE_COLUMNS = {"theme": "string", "phrase_no": "int", "phrase": "string"}
-# Two or three wordings per sub-cause are enough to give the text jobs something to find.
-NOTES = tuple(
-    (theme, number, phrase)
-    for theme, phrases in (
-        ("edi_validation", ("scanned form unreadable, retyped from picture", "electronic file lacks a required element",
-                            "typing slip on mailed form, amended by hand", "element failed validation on arrival, sender told")),
-        ("intake_routing", ("landed with the wrong team, passed on", "bundle holds several claims, separated",
-                            "queue rule chose the wrong team, moved by hand", "long form covers many visits, cut up by visit")),
-        ("member_match", ("birth date disagrees with enrolment, member linked by hand", "new baby is not enrolled yet, waiting for the parent plan",
-                          "surname changed after wedding, member found by address", "baby billed with parent number, enrolment asked for")),
-        ("provider_match", ("billing number unknown after file update, record requested", "treating doctor not tied to the group, linked by hand",
-                            "several offices share one number, picked by street")),
-        ("duplicate", ("identical claim came earlier, sender tried again", "charges changed but no correction mark, both under review",
-                       "repeat of a claim still open, closed", "looks like a fix of an older claim without the mark")),
-        ("fwa_review", ("units above any plausible day, sent to investigators", "sender is on the watch list, sign off needed",
-                        "same top level visit every time, investigators asked", "watch flag active, itemised invoice requested")),
-        ("eligibility", ("cover ended but reinstatement is under way", "cover had stopped before the visit, end date checked",
-                         "late enrolment file pending, retry after load", "employer left the plan, no active cover")),
-        ("prior_auth", ("approval exists under another clinic, joined by hand", "no approval for this service, letter sent",
-                        "approval ran out before the visit, extension asked for")),
-        ("clinical_edit", ("parts billed next to the full procedure, coder to check", "procedure does not suit the patient age, coder to check",
-                           "incidental item billed apart, modifier reviewed", "diagnosis does not support the procedure")),
-        ("medical_records", ("chart requested from hospital, nothing received", "chart arrived, nurse queue",
-                             "second reminder for clinical notes", "clinical notes attached, doctor to decide")),
-        ("cob", ("survey about other cover mailed, no reply", "other payer statement missing, provider asked",
-                 "two parents insured, letter to subscriber", "second payer here, waiting for first payer statement")),
-        ("pricing", ("no rate table for this agreement, priced by hand", "no agreement with provider, rate to negotiate",
-                     "new agreement not entered yet, contracts asked", "charges over limit without agreement, vendor asked")),
-        ("payment_hold", ("transfer refused by bank, new form needed", "money owed by provider, finance decides on offset",
-                          "account closed, transfer came back", "open recovery on provider, payout stopped")),
-    )
-    for number, phrase in enumerate(phrases)
-)
-VAGUE_NOTE = "on hold, see file"
+SUB_CAUSES = 2  # groups planted in every theme, and one more in every third
+VAGUE_NOTE = "see file"
 
 
 def _by_theme(number: str, values, kind: str) -> str:
@@ -60,18 +27,13 @@ def _by_theme(number: str, values, kind: str) -> str:
 
 _T = [dict(zip(THEME_COLUMNS, row)) for row in THEMES]
 _STAGE_NO = {row[0]: row[1] for row in STAGES}
-_PHRASES = [[phrase for theme, _, phrase in NOTES if theme == t["theme"]] for t in _T]
-_WIDEST = max(map(len, _PHRASES))
-_ALL_PHRASES = [p for row in _PHRASES for p in row + [None] * (_WIDEST - len(row))]
-
 _STAGE_OF = _by_theme("theme_no", [_STAGE_NO[t["stage"]] for t in _T], "int")
-_TENTHS_OF = _by_theme("theme_no", [t["mean_tenths"] for t in _T], "bigint")
 THEME_FACTS = (
     _by_theme("theme_no", [t["theme"] for t in _T], "string") + " AS theme_key",
     _by_theme("theme_no", [t["stage"] for t in _T], "string") + " AS theme_stage",
     _by_theme("theme_no", [t["theme_code"] for t in _T], "string") + " AS theme_code",
     _by_theme("theme_no", [t["theme_denial"] for t in _T], "string") + " AS theme_denial",
-    _by_theme("theme_no", [t["sub_causes"] for t in _T], "bigint") + " AS sub_causes",
+    f"{SUB_CAUSES} + int(theme_no % 3 = 0) AS sub_causes",
     _by_theme("if(k % 23 = 0, (theme_no + 1) % 13, theme_no)", [t["theme"] for t in _T], "string") + " AS guess",
 )
 
@@ -112,9 +74,7 @@ COLUMNS = (
     "if(pended AND hold_from + hold <= as_of_s, timestamp_seconds(hold_from + hold), NULL) AS released_ts",
     "if(pended, theme_stage, NULL) AS pend_stage",
     f"if(pended AND k % 97 <> 0, if(k % 11 < 3, '{GENERIC_PEND_CODE}', theme_code), NULL) AS pend_code",
-    # Wordings of a theme alternate between its sub-causes; the tail varies by claim.
-    f"if(pended AND k % 101 <> 0, if(k % 20 = 0, '{VAGUE_NOTE}', "
-    "concat(phrase, ', item ', k % 17, ', desk ', c % 7)), NULL) AS adjuster_note",
+    f"if(pended AND k % 101 <> 0, if(k % 20 = 0, '{VAGUE_NOTE}', note), NULL) AS adjuster_note",
     "if(pended, cast(k % 4 + 1 AS int), 0) AS touches",
     "if(pended, theme_key, NULL) AS true_theme",
     "if(pended, concat(theme_key, ':', sub_cause), NULL) AS true_sub_cause",
@@ -126,9 +86,27 @@ COLUMNS = (
 )
 
 
-def claims_from_orders(spark: SparkSession, sf_dir: str, claim_type: bool = True) -> DataFrame:
-    """Enriched claims with measures. ``claim_type`` costs a pass over the line
-    items; leave it out where the operator does not read it."""
+# A hold lasts up to four days by the cents of the order, times one to thirteen by theme.
+HOLD = "(cast(billed_amount * 100 AS bigint) % 345600 + 7200) * (1 + theme_no * 5 % 13)"
+
+
+def with_notes(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds ``note``: a line of a document, both chosen by the order's key. Only held orders look one up; of the
+    documents only numbered lines travel, so a claim fetches its line and not a text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs = docs.agg(F.count("*").alias("n")).scalar()
+    lines = docs.filter("text IS NOT NULL").selectExpr("doc_id", "split(text, '\\n') AS lines").selectExpr(
+        "doc_id", "size(lines) AS n_lines", "posexplode(lines) AS (line_no, note)")
+    sizes = docs.filter("text IS NOT NULL").selectExpr("doc_id", "size(split(text, '\\n')) AS n_lines")
+    # other orders ask for a document that is not there, each for another one, so that no key is hot
+    asked = df.withColumn("n_docs", n_docs).withColumn("doc_id", F.expr("if(held, k % n_docs, -1 - k)")).drop("n_docs")
+    asked = asked.join(sizes, "doc_id", "left").withColumn("line_no", F.expr("int(k div 7 % n_lines)")).drop("n_lines")
+    return asked.join(lines.drop("n_lines"), ["doc_id", "line_no"], "left").drop("doc_id", "line_no")
+
+
+def claims_from_orders(spark: SparkSession, sf_dir: str, claim_type: bool = True, notes: bool = True) -> DataFrame:
+    """Enriched claims with measures. ``claim_type`` costs a pass over the line items and ``notes`` one over the
+    documents; leave them out where the operator does not read them (the note is then null)."""
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS k", "o_custkey AS c", "cast(o_orderdate AS date) AS received_date", "o_orderstatus = 'P' AS held",
         "cast(o_totalprice AS decimal(12,2)) AS billed_amount", "o_orderpriority AS channel",
@@ -142,13 +120,13 @@ def claims_from_orders(spark: SparkSession, sf_dir: str, claim_type: bool = True
         "c_custkey AS c", "c_mktsegment AS lob", "specialty", "platform",
         "if(c_acctbal >= 0, 'in network', 'out of network') AS network_status",
     )
-    # customers grow with the orders: a shuffle at scale, and a hot customer is split by
-    # adaptive skew handling
-    df = orders.join(customers.hint("shuffle_hash"), "c")
+    # customers grow with the orders; adaptive execution broadcasts a small table and splits a hot customer
+    df = orders.join(customers, "c")
     if claim_type:
         lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n_lines"))
         df = df.join(lines, "k", "left").selectExpr(
-            "*", "if(coalesce(n_lines, 0) >= 4, 'long form', 'short form') AS claim_type")
+            "*", "if(coalesce(n_lines, 0) >= 4, 'long form', 'short form') AS claim_type").drop("n_lines")
+    df = with_notes(df, spark, sf_dir) if notes else df.withColumn("note", F.lit(None).cast("string"))
 
     last = orders.agg(F.max("received_date").alias("last_day")).scalar()
     as_of = F.date_add(last, AS_OF_LAG_DAYS)
@@ -161,30 +139,17 @@ def claims_from_orders(spark: SparkSession, sf_dir: str, claim_type: bool = True
         "k * 13 % 50 + 50 AS certainty",
         f"certainty >= {round(MIN_CONFIDENCE * 100)} AS confident",
     )
-    df = df.selectExpr("*", f"{_STAGE_OF} AS stage_no", f"{_TENTHS_OF} AS mean_tenths").selectExpr(
-        "*", "if(held, (mean_tenths * (25 + (17 * c + 5 * k) % 150) * 864) div 10, 0) AS hold")
+    df = df.selectExpr("*", f"{_STAGE_OF} AS stage_no", f"if(held, {HOLD}, 0) AS hold")
     # The times leave as the output of a generator, so that a filter on a derived
     # column is not rewritten into these formulas over and over.
-    kept = [column for column in df.columns if column not in (*_TIME_COLUMNS, "stage_no", "mean_tenths", "as_of")]
+    kept = [column for column in df.columns if column not in (*_TIME_COLUMNS, "stage_no", "as_of")]
     times = ", ".join(f"'{name}', {formula}" for name, formula in TIMES.items())
     df = df.selectExpr(*kept, f"inline(array(named_struct({times})))")
     df = df.selectExpr("*", *THEME_FACTS).selectExpr(
-        "*",
-        "held AND hold_from <= as_of_s AS pended",
-        "(k div 3) % sub_causes AS sub_cause",
-        f"theme_no * {_WIDEST} + if(sub_causes = 2, sub_cause + 2 * (k % 2), sub_cause) AS phrase_no",
-        _by_theme("phrase_no", _ALL_PHRASES, "string") + " AS phrase",
-    )
+        "*", "held AND hold_from <= as_of_s AS pended", "(k div 3) % sub_causes AS sub_cause")
     columns = [column for column in COLUMNS if claim_type or column != "claim_type"]
     return add_measures(df.selectExpr(*columns), as_of)
 
 
-_PLANS: dict[tuple[str, str, bool], DataFrame] = {}
-
-
-def claims_of(spark: SparkSession, sf_dir: str, claim_type: bool = False) -> DataFrame:
-    """The claims of a folder. The plan is made once per application; no rows are kept."""
-    key = (spark.sparkContext.applicationId, sf_dir, claim_type)
-    if key not in _PLANS:
-        _PLANS[key] = claims_from_orders(spark, sf_dir, claim_type)
-    return _PLANS[key]
+def claims_of(spark: SparkSession, sf_dir: str, claim_type: bool = False, notes: bool = False) -> DataFrame:
+    return claims_from_orders(spark, sf_dir, claim_type, notes)

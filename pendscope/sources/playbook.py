@@ -1,110 +1,56 @@
 """Small catalogues: stages, delay themes, effort levels and denial codes.
 
-They are fixed in size (14 themes, 4 stages, 3 efforts, 9 codes), so joining
-them by broadcast is safe at any data volume. Labels and advice are this
-project's own wording.
-"""
+They are fixed in size (14 themes, 4 stages, 3 efforts, 9 codes), so joining them by broadcast is safe at any data
+volume. They hold keys and numbers only; names follow from the keys. What a theme means, who owns it and what to do
+about it is the user's knowledge: an ``advice`` table (theme, owner, plain, why, intervention), empty by default, and a
+``texts`` table for denial codes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pendscope.config import NEEDS_REVIEW
+from pendscope.config import NEEDS_REVIEW, STAGE_ORDER
 from pendscope.functions.columns import inline_table
 
-STAGE_COLUMNS = {"stage": "string", "stage_ord": "int", "stage_name": "string", "stage_does": "string"}
-STAGES = (
-    ("intake", 0, "Intake", "Takes the claim in, checks its format and sends it to a work queue."),
-    ("pre_adjudication", 1, "Pre-Adjudication", "Finds the member and provider records and screens for repeats and abuse."),
-    ("adjudication", 2, "Adjudication", "Works out whether the claim is payable and at what amount."),
-    ("post_adjudication", 3, "Post-Adjudication", "Pays out and sends the statements."),
-)
+
+def shown_name(key: str) -> str:
+    """A readable name made from a key."""
+    return key.replace("_", " ").capitalize()
+
+
+STAGE_COLUMNS = {"stage": "string", "stage_ord": "int", "stage_name": "string"}
+STAGES = tuple((stage, number, shown_name(stage)) for number, stage in enumerate(STAGE_ORDER))
 
 EFFORT_COLUMNS = {"effort_level": "int", "effort": "string", "effort_weight": "double"}
 # fixed values: effort weights
 EFFORTS = ((1, "Low", 1.0), (2, "Medium", 2.0), (3, "High", 3.5))
 
-DENIAL_COLUMNS = {"denial_code": "string", "denial_text": "string"}
-# Standard claim adjustment reason codes; fixed values on the left.
-DENIALS = (
-    ("16", "Information missing or wrong on the claim"),
-    ("18", "Same claim or service already sent"),
-    ("22", "Another payer may be responsible"),
-    ("27", "Service after cover had ended"),
-    ("31", "Patient not found as a member"),
-    ("50", "Service judged not medically necessary"),
-    ("96", "Service not covered"),
-    ("97", "Paid as part of another service"),
-    ("197", "No advance approval or notice"),
-)
-
 THEME_COLUMNS = {
     "theme": "string", "theme_ord": "int", "theme_name": "string", "stage": "string", "theme_code": "string",
-    "addressability": "double", "effort_level": "int", "theme_denial": "string", "mean_tenths": "int",
-    "sub_causes": "int", "owner": "string", "plain": "string", "why": "string", "intervention": "string",
+    "addressability": "double", "effort_level": "int", "theme_denial": "string",
 }
-# Key, order, stage, code, addressability, effort, denial code,
-# mean hold in tenths of a day, number of sub-causes. Names, owners and texts are our own.
-THEMES = (
-    ("edi_validation", 0, "Unreadable or invalid submission data", "intake", "PND-110", 0.55, 1, "16", 14, 2,
-     "Front-end data team", "Data on the claim is missing or fails validation.",
-     "Senders skip required elements, and paper forms are keyed with mistakes.",
-     "Bounce bad submissions straight back with the exact error and work with the senders behind most of them."),
-    ("intake_routing", 1, "Wrong queue or needs splitting", "intake", "PND-120", 0.60, 1, None, 26, 2,
-     "Front-end data team", "The claim sits in a queue that cannot work it, or it bundles several claims.",
-     "Queue rules are out of date and combined submissions cannot be worked as one.",
-     "Refresh the queue rules from claim data and separate combined submissions on arrival."),
-    ("member_match", 2, "Patient not matched to a member", "pre_adjudication", "PND-210", 0.50, 2, "31", 40, 2,
-     "Membership data team", "No single member record fits the patient named on the claim.",
-     "Identity details differ from enrolment, or a new baby has not been added yet.",
-     "Match on similar names and birth dates, and tie new babies to the parent for their first weeks."),
-    ("provider_match", 3, "Provider record not found", "pre_adjudication", "PND-220", 0.70, 1, None, 60, 3,
-     "Provider records team", "No single provider record fits the identifiers on the claim.",
-     "Identifiers on claims and in the provider file drift apart after updates.",
-     "Check the provider file after each update before work starts, and match on both identifiers."),
-    ("duplicate", 4, "Suspected repeat submission", "pre_adjudication", "PND-230", 0.65, 1, "18", 30, 2,
-     "Claims desk", "The claim resembles one that was already received.",
-     "Senders try again when they hear nothing, or correct a claim without saying so.",
-     "Show senders the state of their claims and close exact repeats without manual work."),
-    ("fwa_review", 5, "Payment integrity investigation", "pre_adjudication", "PND-240", 0.25, 3, "16", 160, 2,
-     "Integrity team", "Billing looks unusual and is being checked.",
-     "Volumes are implausible or the sender is under watch.",
-     "Calibrate the screens to raise fewer false alarms and agree a response time for checks."),
-    ("eligibility", 6, "Cover on the service date unclear", "adjudication", "PND-310", 0.55, 2, "27", 70, 2,
-     "Enrolment team", "It is open whether cover was active when the service took place.",
-     "Cover changes reach the system late or reach back in time.",
-     "Load cover changes more often and retry held claims as soon as they land."),
-    ("prior_auth", 7, "Advance approval missing", "adjudication", "PND-320", 0.60, 2, "197", 110, 3,
-     "Care approval team", "The service needed approval beforehand and none fits the claim.",
-     "Approval was not asked for, ran out, or is filed under other details.",
-     "Match approvals by member, service and dates, and let senders see them before billing."),
-    ("clinical_edit", 8, "Coding conflict to resolve", "adjudication", "PND-330", 0.45, 2, "97", 50, 2,
-     "Coding team", "Codes on the claim contradict each other or the patient data.",
-     "Combined services are billed one by one, or codes do not go together.",
-     "Tell senders about the most common conflicts and automate the checks that always stand."),
-    ("medical_records", 9, "Waiting for clinical records", "adjudication", "PND-340", 0.40, 3, "50", 190, 2,
-     "Clinical team", "A clinician has to read the records before a decision.",
-     "Records are asked for late and arrive slowly.",
-     "Ask for records when care is approved and take them in electronically."),
-    ("cob", 10, "Other insurer to be confirmed", "adjudication", "PND-350", 0.50, 2, "22", 150, 2,
-     "Shared cover team", "A second insurer may have to pay before this plan.",
-     "Details of other cover are old or absent, so people have to be asked.",
-     "Look other cover up electronically rather than by letter."),
-    ("pricing", 11, "Allowed amount priced by hand", "adjudication", "PND-360", 0.60, 2, None, 90, 2,
-     "Contracts team", "No price could be set without manual work.",
-     "A contract is not in the system yet, or there is none with this provider.",
-     "Enter contracts ahead of their start and agree a default price where there is none."),
-    ("payment_hold", 12, "Payout blocked", "post_adjudication", "PND-410", 0.60, 1, None, 60, 2,
-     "Finance desk", "The amount is agreed but could not be paid out.",
-     "Account data is wrong, or money is owed the other way.",
-     "Check account data when a provider signs up instead of on pay day."),
-)
-REVIEW = (
-    NEEDS_REVIEW, 13, "Left for a person to read", None, None, None, None, None, None, None,
-    "Claims desk", "The note was too vague to name a cause with confidence.",
-    "The note gives no reason and the code is the general one.",
-    "Ask for a reason whenever a claim is held.",
+# Key, stage, code, addressability, effort, denial code; their order is the order of the themes.
+_THEMES = (
+    ("edi_validation", "intake", "PND-110", 0.55, 1, "16"),
+    ("intake_routing", "intake", "PND-120", 0.60, 1, None),
+    ("member_match", "pre_adjudication", "PND-210", 0.50, 2, "31"),
+    ("provider_match", "pre_adjudication", "PND-220", 0.70, 1, None),
+    ("duplicate", "pre_adjudication", "PND-230", 0.65, 1, "18"),
+    ("fwa_review", "pre_adjudication", "PND-240", 0.25, 3, "16"),
+    ("eligibility", "adjudication", "PND-310", 0.55, 2, "27"),
+    ("prior_auth", "adjudication", "PND-320", 0.60, 2, "197"),
+    ("clinical_edit", "adjudication", "PND-330", 0.45, 2, "97"),
+    ("medical_records", "adjudication", "PND-340", 0.40, 3, "50"),
+    ("cob", "adjudication", "PND-350", 0.50, 2, "22"),
+    ("pricing", "adjudication", "PND-360", 0.60, 2, None),
+    ("payment_hold", "post_adjudication", "PND-410", 0.60, 1, None),
 )
+# Denial codes that a user may want texts for.
+DENIALS = (("16",), ("18",), ("22",), ("27",), ("31",), ("50",), ("96",), ("97",), ("197",))
+THEMES = tuple((key, number, shown_name(key), *rest) for number, (key, *rest) in enumerate(_THEMES))
+REVIEW = (NEEDS_REVIEW, len(THEMES), shown_name(NEEDS_REVIEW), None, None, None, None, None)
+ADVICE = ("owner", "plain", "why", "intervention")
 
 
 def stage_dim(spark: SparkSession) -> DataFrame:
@@ -115,12 +61,23 @@ def effort_dim(spark: SparkSession) -> DataFrame:
     return inline_table(spark, EFFORTS, EFFORT_COLUMNS)
 
 
-def denial_dim(spark: SparkSession) -> DataFrame:
-    return inline_table(spark, DENIALS, DENIAL_COLUMNS)
+def denial_dim(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """Denial codes with the text that ``texts`` (denial_code, denial_text) has for them, else null."""
+    codes = inline_table(spark, DENIALS, {"denial_code": "string"})
+    if texts is None:
+        return codes.withColumn("denial_text", F.lit(None).cast("string"))
+    return codes.join(texts.select("denial_code", "denial_text"), "denial_code", "left")
+
+
+def with_advice(themes: DataFrame, advice: DataFrame | None = None) -> DataFrame:
+    """``themes`` with the columns of ``advice``; null where it says nothing. It is read as one row per theme."""
+    if advice is None:
+        return themes.withColumns({name: F.lit(None).cast("string") for name in ADVICE})
+    return themes.join(F.broadcast(advice.select("theme", *ADVICE).dropDuplicates(["theme"])), "theme", "left")
 
 
 def playbook(spark: SparkSession) -> DataFrame:
-    """The 13 themes that have advice; ``needs_review`` is not one of them."""
+    """The 13 themes that can be acted on; ``needs_review`` is not one of them."""
     return inline_table(spark, THEMES, THEME_COLUMNS)
 
 

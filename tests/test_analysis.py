@@ -105,7 +105,7 @@ def test_rise_is_found_with_driver_and_onset(claims):
     assert [r["key"] for r in found] == ["provider_match"]
     row = found[0]
     assert (row["driver_dimension"], row["driver_value"]) == ("platform", "NORTH")
-    assert row["onset"] == RISE_FROM.isoformat() and row["share_text"] == "Almost all"
+    assert row["onset"] == RISE_FROM.isoformat() and row["share_text"] == "nearly all"
     assert (row["recent_from"], row["recent_to"]) == (RISE_FROM.isoformat(), LAST.isoformat())
     assert row["base_to"] == (RISE_FROM - timedelta(days=1)).isoformat()
 
@@ -188,8 +188,10 @@ def test_interventions_and_business_case(claims, rows):
 
 def test_findings(claims):
     told = findings.key_findings(claims).collect()
-    assert [f["kind"] for f in told] == ["impact", "contrast", "emerging", "visibility"]
-    assert told[1]["theme"] == "duplicate" and "NORTH" in told[2]["text"]
+    assert [f["kind"] for f in told] == ["impact", "frequent_but_quick", "emerging", "visibility"]
+    assert told[1]["theme"] == "duplicate" and told[2]["driver_value"] == "NORTH" and told[2]["onset"] == RISE_FROM.isoformat()
+    only_review = claims.withColumn("theme", F.expr("if(pended, 'needs_review', NULL)"))
+    assert findings.key_findings(only_review).count() == 0
     assert findings.key_findings(claims.filter("NOT pended")).count() == 0
     same = claims.filter("theme = 'duplicate' OR NOT pended")
     assert [f["kind"] for f in findings.key_findings(same).collect()] == ["impact", "visibility"]
@@ -197,13 +199,13 @@ def test_findings(claims):
 
 def test_other_contrast_when_the_quickest_theme_is_not_frequent(claims):
     mixed = claims.filter("NOT pended OR theme IN ('medical_records', 'provider_match')")
-    kinds = {f["kind"]: f for f in findings.key_findings(mixed).collect()}
+    kinds = {f["kind"].split("_")[0]: f for f in findings.key_findings(mixed).collect()}
     table = {r["key"]: r for r in themes.theme_table(mixed).collect()}
     quick = min(table.values(), key=lambda r: r["avg_pend_days"])
     if quick["claims_share"] > 2 * quick["pend_days_share"]:
-        assert kinds["contrast"]["theme"] == quick["key"]
+        assert kinds["frequent"]["theme"] == quick["key"]
     else:
-        assert "contrast" not in kinds or kinds["contrast"]["theme"] == max(table.values(), key=lambda r: r["claims"])["key"]
+        assert "contrast" not in kinds or kinds["frequent"]["theme"] == max(table.values(), key=lambda r: r["claims"])["key"]
 
 
 def test_search_is_literal_and_case_blind(claims):
@@ -263,6 +265,7 @@ def test_results_do_not_depend_on_partitioning(claims):
 
 def test_window_limits():
     assert check_window(FIRST, FIRST + timedelta(days=62)) == 63
-    for days in (19, 61, 366):
+    for days in (19, 61):
         with pytest.raises(ValueError, match="63"):
             check_window(FIRST, FIRST + timedelta(days=days))
+    assert check_window(FIRST, FIRST + timedelta(days=999)) == 1000

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from conftest import SF_DIR
 from pendscope.functions.text import doc_text_sql, english_stop_words
+from pendscope.operators import cluster as clusters
 from pendscope.operators import scoring
 from pendscope.operators.classify import TextModel, classify, fit_classifier
 from pendscope.operators.cluster import assign, cluster, pick_k
-from pendscope.operators.sampling import first_by_hash, label_split, labelled_sample
+from pendscope.operators.sampling import label_split, labelled_sample
 from pendscope.operators.terms import tfidf, tokenise
-from pendscope.sources.adapter import claims_from_orders
+from pendscope.sources.tables import table
 
 TEXTS = ["The café café closed, item_3 a b", "closed again: the café", "", "Über 22 items, items items", "closed the item_3"]
 
@@ -59,14 +60,14 @@ def test_document_text_of_missing_parts(spark):
 
 @pytest.fixture(scope="module")
 def held(spark):
-    df = claims_from_orders(spark, SF_DIR, claim_type=False).filter("pended")
-    return df.select("claim_id", "theme", "true_theme", "true_sub_cause", "adjuster_note", F.expr(doc_text_sql()).alias("text")).persist()
+    docs = table(spark, SF_DIR, "documents").filter("length(text) > 200")
+    return docs.selectExpr("cast(doc_id AS string) AS claim_id", "lang AS true_theme", "text").persist()
 
 
 def test_classifier_beats_the_floor_and_survives_saving(spark, held, tmp_path):
-    sample = labelled_sample(held, "claim_id", "true_theme", size=300)
+    sample = labelled_sample(held, "claim_id", "true_theme", size=100)
     model = fit_classifier(sample.filter("split = 'train'"), "claim_id", "text", "true_theme")
-    split = label_split(held, "claim_id", "true_theme", size=300)
+    split = label_split(held, "claim_id", "true_theme", size=100)
     scored = classify(held, "claim_id", "text", model).withColumnRenamed("theme", "predicted").join(split, "claim_id").persist()
     assert scored.count() == held.count()
     right = scored.filter("split <> 'train' AND predicted <> 'needs_review'").agg(F.avg(F.expr("if(predicted = true_theme, 1, 0)"))).first()[0]
@@ -88,19 +89,14 @@ def test_labelled_sample_is_repeatable_and_stratified(held):
     assert all(tests[t] == int(n * 0.25) for t, n in sizes.items())
 
 
-def test_first_by_hash_keeps_small_groups_whole(spark):
-    df = spark.range(3000).selectExpr("id", "if(id < 2900, 'big', 'small') AS part")
-    got = {r["part"]: r["count"] for r in first_by_hash(df, "part", "id", 1500).groupBy("part").count().collect()}
-    assert got == {"big": 1500, "small": 100}
-
-
 def test_clusters_recover_planted_groups(spark):
     texts = {"left": "letter mailed to member about other cover", "right": "contract rate missing, vendor asked for price"}
     rows = [(f"c{i}", "cob", f"{texts[side]} {i % 4}", side) for i, side in enumerate(["left", "right"] * 60)]
     rows += [(f"s{i}", "pricing", "too few claims to split", "only") for i in range(10)]
     rows += [("n0", "needs_review", "vague", "none")]
     claims = spark.createDataFrame(rows, "claim_id string, theme string, adjuster_note string, truth string")
-    found = cluster(claims, restarts=1)
+    found = cluster(claims, restarts=3)
+    assert found.rounds < 50
     ids = assign(claims, found)
     joined = ids.join(claims, "claim_id")
     assert ids.count() == 130
@@ -124,9 +120,10 @@ def test_small_themes_stay_whole(spark):
 
 
 def silhouette_by_hand(x: np.ndarray, label: np.ndarray) -> float:
+    """Squared Euclidean, every point against every other."""
     scores = []
     for i in range(len(x)):
-        gap = np.linalg.norm(x - x[i], axis=1)
+        gap = ((x - x[i]) ** 2).sum(axis=1)
         own = (label == label[i]) & (np.arange(len(x)) != i)
         if not own.any():
             scores.append(0.0)
@@ -143,7 +140,7 @@ def test_silhouette_and_choice_of_k(spark):
     three, two = np.repeat([0, 1, 2], 20), np.repeat([0, 1, 1], 20)
     three[0] = 9  # a cluster of one
     df = spark.createDataFrame([(i, x[i].tolist(), int(three[i]), int(two[i])) for i in range(60)], "id int, v array<double>, k3 int, k2 int")
-    got = {r["labelling"]: r["silhouette"] for r in scoring.silhouette(df, "id", "v", ["k3", "k2"]).collect()}
+    got = {r["labelling"]: r["silhouette"] for r in scoring.silhouette(df, "v", ["k3", "k2"]).collect()}
     assert got["k3"] == pytest.approx(silhouette_by_hand(x, three)) and got["k2"] == pytest.approx(silhouette_by_hand(x, two))
     scores = spark.createDataFrame([("a", 2, 0.50), ("a", 3, 0.52), ("a", 4, 0.53), ("a", 5, 0.2), ("b", 2, 0.1), ("b", 3, 0.3)], "part string, k int, silhouette double")
     assert {r["part"]: r["k"] for r in scoring.choose_k(scores).collect()} == {"a": 2, "b": 3}
@@ -159,3 +156,34 @@ def test_scores_of_known_predictions(spark):
     cells = {(r["label"], r["predicted"]): r["n"] for r in scoring.confusion_matrix(df, "truth", "guess", ["a", "b", "c"]).collect()}
     assert len(cells) == 9 and cells["a", "b"] == 2 and cells["c", "c"] == 0
     assert scoring.holdout_summary(df, "truth", "guess").first()["accuracy"] == round(8 / 11, 4)
+
+
+def test_labels_keep_their_apostrophes(spark):
+    docs = spark.createDataFrame([(k, "red green" if k % 2 else "blue black", "it's" if k % 2 else "a\\b") for k in range(20)], "id int, text string, label string")
+    model = fit_classifier(docs, "id", "text", "label")
+    assert {r["id"]: r["theme"] for r in classify(docs, "id", "text", model, floor=0.0).collect()} == {r["id"]: r["label"] for r in docs.collect()}
+
+
+def test_run_scores_against_all_pairs(spark):
+    """Silhouettes and costs of the set-based fit, from the same assignment, by brute force."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"{side}{j}" for j in range(6)], 4)) for side in ("a", "b", "c") for _ in range(12)]
+    claims = spark.createDataFrame([("t", text) for text in texts], "theme string, adjuster_note string")
+    notes = clusters.distinct_notes(claims, "theme", "adjuster_note").persist()
+    weights, runs = clusters.weigh(notes, 1, ()).persist(), clusters.Runs.of((2, 3), 2)
+    centres, rounds = clusters.k_means(notes, weights, runs)
+    assigned = clusters.assign_notes(notes, weights, centres, runs).orderBy("note_id").collect()
+    assert rounds < 50
+    terms = {term: i for i, term in enumerate(sorted({r["term"] for r in weights.collect()}))}
+    x = {r["note_id"]: np.zeros(len(terms)) for r in assigned}
+    for r in weights.collect():
+        x[r["note_id"]][terms[r["term"]]] = r["weight"]
+    scores = {r["run"]: r for r in clusters.run_scores(clusters.assign_notes(notes, weights, centres, runs), runs).collect()}
+    copies = [r["claims"] for r in assigned]
+    points = np.repeat(np.stack([x[r["note_id"]] for r in assigned]), copies, axis=0)
+    for run in range(4):
+        label = np.repeat([r["labels"][run] for r in assigned], copies)
+        if len(set(label)) > 1:
+            means = np.stack([points[label == c].mean(axis=0) for c in label])
+            assert scores[run]["cost"] == pytest.approx(((points - means) ** 2).sum(), abs=1e-2)
+            assert scores[run]["silhouette"] == pytest.approx(silhouette_by_hand(points, label), abs=1e-2)

@@ -23,14 +23,16 @@ def test_overview_reconciles_over_one_kept_scope(claims):
             pass
 
 
-def test_theme_detail(claims):
-    parts = views.theme_detail(claims, "provider_match")
+def test_theme_detail(spark, claims):
+    advice = spark.createDataFrame([("provider_match", "desk", "p", "w", "act")], "theme string, owner string, plain string, why string, intervention string")
+    parts = views.theme_detail(claims, "provider_match", advice=advice)
     figures = parts["figures"].first()
     assert sum(r["pended"] for r in parts["daily"].collect()) == figures["claims"]
     assert {r["dimension"] for r in parts["segments"].collect()} == {"platform", "lob", "specialty", "channel", "network_status", "claim_type"}
-    assert parts["playbook"].first()["intervention"]
+    assert parts["playbook"].first()["intervention"] == "act"
+    assert views.theme_detail(claims, "duplicate", advice=advice)["playbook"].first()["intervention"] is None
     assert views.theme_detail(claims, "fwa_review") is None
-    assert views.theme_detail(claims, "needs_review")["playbook"].first()["stage_does"] is None
+    assert views.theme_detail(claims, "needs_review")["playbook"].first()["stage_name"] is None
 
 
 def test_compare_and_sql_views(spark, claims):
