@@ -120,7 +120,7 @@ def _gram_sets(n: int):
         found = [gram_set(text, n) for text in texts]
         return pd.DataFrame({"set_key": [xxhash.xxh3_128_digest(g.tobytes()) for g in found], "grams": [g.view(np.int64) for g in found]})
 
-    return sets
+    return sets.asNondeterministic()  # else a filter on its result runs it before the rows are chosen
 
 
 def _shared_columns(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
