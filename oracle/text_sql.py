@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle.base import day_text, with_claims
 from oracle.claims_sql import FIGURES, KPIS, OVERVIEW, PENDED, SPINE, TOTALS, _daily, _journey
 from pendscope.operators import routing
-from pendscope.plans.text_queries import COMMON_WORDS, K_RULES
+from pendscope.plans.text_queries import COMMON_WORDS, K_RULES, SPLIT_SAMPLE, STATED_BIAS, STATED_LABELS, stated_term
 
 WORDS = r"""words AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS words FROM documents),
 pairs AS (SELECT *, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS pairs FROM words)"""
@@ -80,6 +80,51 @@ _CHECKS = " UNION ALL ".join((
     "SELECT 'theme series', (SELECT sum(pended) FROM series), (SELECT sum(claims) FROM figures), 0",
 ))
 
+def _literal(value) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else f"{value!r}::DOUBLE"
+
+
+_TERMS = [stated_term(i) for i in range(len(COMMON_WORDS))]
+_SCORES = range(len(STATED_LABELS))
+SCORED = f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
+model(term, idf, {", ".join(f"c{j}" for j in _SCORES)}) AS (VALUES {", ".join("(" + ", ".join(map(_literal, (t, idf, *coefs))) + ")" for t, idf, coefs in _TERMS)}),
+weights AS (SELECT doc_id, {", ".join(f"c{j}" for j in _SCORES)}, (1 + ln(count(*))) * idf AS w FROM words JOIN model USING (term) GROUP BY doc_id, term, idf, {", ".join(f"c{j}" for j in _SCORES)}),
+sums AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, {", ".join(f"sum(w * c{j}) AS s{j}" for j in _SCORES)} FROM weights GROUP BY doc_id),
+margins AS (SELECT doc_id, [{", ".join(f"{STATED_BIAS[j]!r}::DOUBLE + coalesce(s{j} / norm, 0)" for j in _SCORES)}] AS m FROM documents LEFT JOIN sums USING (doc_id)),
+best AS (SELECT doc_id, [{", ".join(map(_literal, STATED_LABELS))}][list_position(m, list_max(m))] AS label,
+  1 / list_sum(list_transform(m, lambda x: exp(x - list_max(m)))) AS confidence FROM margins)
+SELECT doc_id, CASE WHEN confidence >= 0.55 THEN label ELSE 'needs_review' END AS label, round(confidence, 6) AS confidence FROM best"""
+
+STEP = """WITH notes AS (SELECT lang AS theme, coalesce(text, '') AS note, sha1(coalesce(text, '')) AS note_id, count(*) AS claims FROM documents
+  WHERE lang IS NOT NULL AND lang <> 'needs_review' GROUP BY ALL),
+words AS (SELECT *, regexp_extract_all(lower(note), '[\\p{L}\\p{N}_]{2,}') AS words FROM notes),
+pairs AS (SELECT *, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS pairs FROM words),
+counts AS (SELECT theme, note_id, claims, term, count(*) AS tf FROM (
+  SELECT theme, note_id, claims, unnest(list_concat(words, pairs)) AS term FROM pairs) GROUP BY ALL),
+common AS (SELECT theme, term, sum(claims) AS df FROM counts GROUP BY ALL HAVING sum(claims) >= 3),
+sizes AS (SELECT theme, sum(claims) AS n_docs FROM notes GROUP BY theme),
+raw AS (SELECT theme, note_id, claims, term, (1 + ln(tf)) * (ln((1 + n_docs) / (1 + df)) + 1) AS raw
+  FROM counts JOIN common USING (theme, term) JOIN sizes USING (theme)),
+weights AS (SELECT theme, note_id, claims, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY theme, note_id)) AS weight FROM raw),
+picks AS (SELECT theme, c, arg_min(note_id, md5(note_id || ':1:' || c)) AS note_id FROM notes, (SELECT unnest([0, 1]) AS c) GROUP BY ALL),
+centres AS (SELECT p.theme, p.c, w.term, w.weight AS v FROM picks p JOIN weights w USING (theme, note_id)),
+norms AS (SELECT p.theme, p.c, coalesce(sum(v * v), 0) AS norm FROM picks p LEFT JOIN centres USING (theme, c) GROUP BY ALL),
+dots AS (SELECT w.theme, w.note_id, c, sum(w.weight * v) AS dot FROM weights w JOIN centres USING (theme, term) GROUP BY ALL),
+square AS (SELECT theme, note_id, sum(weight * weight) AS square FROM weights GROUP BY ALL),
+gaps AS (SELECT n.theme, n.note_id, n.claims, m.c, greatest(0, coalesce(square, 0) + norm - 2 * coalesce(dot, 0)) AS gap FROM notes n JOIN norms m USING (theme)
+  LEFT JOIN dots d ON d.theme = n.theme AND d.note_id = n.note_id AND d.c = m.c LEFT JOIN square s ON s.theme = n.theme AND s.note_id = n.note_id),
+labels AS (SELECT theme, note_id, claims, CASE WHEN max(gap) FILTER (WHERE c = 0) <= max(gap) FILTER (WHERE c = 1) THEN 0 ELSE 1 END AS c FROM gaps GROUP BY ALL),
+filled AS (SELECT theme, c, sum(claims) AS size FROM labels GROUP BY ALL),
+means AS (SELECT l.theme, l.c, w.term, sum(w.claims * weight) / any_value(size) AS v FROM weights w JOIN labels l USING (theme, note_id)
+  JOIN filled f ON f.theme = l.theme AND f.c = l.c GROUP BY ALL),
+lengths AS (SELECT theme, c, sum(v * v) AS length FROM means GROUP BY ALL)
+SELECT p.theme, p.c AS cluster, CAST(coalesce(size, 0) AS BIGINT) AS size, round(coalesce(length, CASE WHEN size IS NULL THEN norm ELSE 0 END), 6) AS length
+FROM norms p LEFT JOIN filled f USING (theme, c) LEFT JOIN lengths l USING (theme, c)"""
+
+MEMBERS = """WITH stated AS (SELECT lang AS theme, doc_id % 7 % 4 AS label, 1 + doc_id % 3 AS claims, text AS note, doc_id * 37 % 101 / 8 AS distance FROM documents),
+ranks AS (SELECT theme, label, CAST(sum(claims) AS BIGINT) AS claims, theme || ':' || row_number() OVER (PARTITION BY theme ORDER BY sum(claims) DESC, label) AS cluster_id
+  FROM stated GROUP BY theme, label)"""
+
 _STOP = ", ".join(f"'{w}'" for w in COMMON_WORDS)
 
 SQL = {
@@ -91,7 +136,7 @@ SQL = {
     "tfidf_weights": f"""WITH {COUNTS},
 raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM counts JOIN vocabulary USING (term))
 SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw""",
-    "label_split": """WITH drawn AS (SELECT doc_id, lang, md5(doc_id || ':1') AS draw FROM documents ORDER BY draw, doc_id LIMIT 1200),
+    "label_split": f"""WITH drawn AS (SELECT doc_id, lang, md5(doc_id || ':1') AS draw FROM documents ORDER BY draw, doc_id LIMIT {SPLIT_SAMPLE}),
 split AS (SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) <= 0.25 * count(*) OVER (PARTITION BY lang)
   THEN 'test' ELSE 'train' END AS split FROM drawn)
 SELECT d.doc_id, d.lang, coalesce(s.split, 'unlabelled') AS split FROM documents d LEFT JOIN split s ON s.doc_id = d.doc_id""",
@@ -133,6 +178,11 @@ SELECT d.doc_id, d.lang, coalesce(s.split, 'unlabelled') AS split FROM documents
                 + " UNION ALL ".join(f"SELECT {name[1:]} AS k, {_mean_silhouette(name)} AS s" for name in K_RULES)
                 + ") SELECT CAST(min(k) AS INTEGER) AS k, round(arg_min(s, k), 5) AS silhouette FROM scores WHERE s >= (SELECT max(s) FROM scores) - 0.03",
     "route_questions": ROUTE,
+    "score_documents": SCORED,
+    "cluster_step": STEP,
+    "cluster_relabel": MEMBERS + " SELECT theme, CAST(label AS INTEGER) AS label, cluster_id, claims FROM ranks",
+    "cluster_examples": MEMBERS + """ SELECT cluster_id, r.theme, r.claims, (SELECT md5(arg_min(s.note, struct_pack(d := s.distance, n := s.note)))
+  FROM stated s WHERE s.theme = r.theme AND s.label = r.label) AS example_md5 FROM ranks r""",
     "events_daily": f"SELECT {day_text('ts')} AS day, event_type AS key, count(*) AS n FROM events GROUP BY ALL",
     "reconcile": with_claims(
         "SELECT name, CAST(l AS DOUBLE) AS left_side, CAST(r AS DOUBLE) AS right_side, abs(CAST(l AS DOUBLE) - CAST(r AS DOUBLE)) <= allowed AS passed "

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pendscope.config import MIN_CONFIDENCE, NEEDS_REVIEW
 from pendscope.functions.text import doc_text_sql
 from pendscope.operators import scoring
-from pendscope.operators.classify import classify, fit_classifier
-from pendscope.operators.cluster import cluster
+from pendscope.operators import cluster as clusters
+from pendscope.operators.classify import TextModel, class_probabilities, classify, fit_classifier
 from pendscope.operators.routing import route_questions
 from pendscope.operators.sampling import label_split, labelled_sample
 from pendscope.operators.scope import Scope, confidence_floor, scope
@@ -52,8 +53,11 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.selectExpr("doc_id", "term", "round(weight, 6) AS weight")
 
 
+SPLIT_SAMPLE = 150  # smaller than any table, so that rows stay unlabelled
+
+
 def document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_split(table(spark, sf_dir, "documents"), "doc_id", "lang")
+    return label_split(table(spark, sf_dir, "documents"), "doc_id", "lang", SPLIT_SAMPLE)
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,31 +141,80 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Themes read from note and code by a model learned from the labelled sample."""
-    docs = _held(spark, sf_dir).select("claim_id", "true_theme", F.expr(f"{doc_text_sql()} AS text"))
-    model = fit_classifier(labelled_sample(docs, "claim_id", "true_theme"), "claim_id", "text", "true_theme")
-    return classify(docs, "claim_id", "text", model)
+    """Quality of every document, learned from a sample of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "concat('quality ', quality) AS quality")
+    sample = labelled_sample(docs.join(labels, "doc_id"), "doc_id", "quality")
+    return classify(docs, "doc_id", "text", fit_classifier(sample, "doc_id", "text", "quality")).withColumnRenamed("theme", "quality")
 
 
 def classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on whole documents, with their language as the label."""
+    """The language of every document, learned from a sample."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_classifier(labelled_sample(docs, "doc_id", "lang"), "doc_id", "text", "lang")
     return classify(docs, "doc_id", "text", model).withColumnRenamed("theme", "lang")
 
 
+# a model stated by formula over COMMON_WORDS, so that scoring alone can be checked
+STATED_LABELS = ("it's", "b", "c")
+STATED_BIAS = (0.25, -0.5, 0.125)
+
+
+def stated_term(i: int) -> tuple[str, float, list[float]]:
+    return COMMON_WORDS[i], 1 + i / 8, [((i * 7 + j * 3) % 11 - 5) / 2 for j in range(len(STATED_LABELS))]
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeliest label and its probability, left for review below the floor, under a stated model."""
+    words, idf, coefs = zip(*map(stated_term, range(len(COMMON_WORDS))))
+    model = TextModel(STATED_LABELS, STATED_BIAS, pa.table({"term": list(words), "idf": list(idf), "coefs": list(coefs)}))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = confidence_floor(class_probabilities(docs, "doc_id", "text", model), MIN_CONFIDENCE, NEEDS_REVIEW)
+    return found.selectExpr("doc_id", "theme AS label", "round(confidence, 6) AS confidence")
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as notes, their language as the theme."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS theme", "text AS adjuster_note")
+
+
 def _clusters(spark: SparkSession, sf_dir: str):
-    return cluster(_held(spark, sf_dir).select("claim_id", "theme", "adjuster_note"))
+    return clusters.cluster(_notes(spark, sf_dir))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).members.select("theme", "note", "claims", "cluster_id", "distance")
+    return _clusters(spark, sf_dir).members.select("theme", "note_id", "claims", "cluster_id", "distance")
 
 
 def cluster_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir).catalogue
 
 
+def cluster_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of the fit from its start: sizes and squared lengths of two clusters per theme."""
+    notes = clusters.distinct_notes(_notes(spark, sf_dir), "theme", "adjuster_note")
+    weights, runs = clusters.weigh(notes, stop_words=()), clusters.Runs.of((2,), 1)
+    start = clusters.start_centres(notes, weights, runs, 1)
+    assigned = clusters.assign_notes(notes, weights, start, runs)
+    moved = clusters.average(weights, assigned, start, runs).groupBy("theme").agg(F.expr("array(sum(v[0] * v[0]), sum(v[1] * v[1])) AS lengths"))
+    rows = clusters.slot_sizes(assigned, runs).join(moved, "theme").selectExpr("theme", "lengths", "posexplode(sizes) AS (cluster, size)")
+    return rows.selectExpr("theme", "cluster", "size", "round(lengths[cluster], 6) AS length")
+
+
+def _stated_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a cluster and a distance stated by formula."""
+    return clusters.relabel(table(spark, sf_dir, "documents").selectExpr(
+        "lang AS theme", "int(doc_id % 7 % 4) AS label", "1L + doc_id % 3 AS claims", "text AS note", "doc_id * 37 % 101 / 8D AS distance"))
+
+
+def cluster_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stated_members(spark, sf_dir).groupBy("theme", "label", "cluster_id").agg(F.sum("claims").alias("claims"))
+
+
+def cluster_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.examples(_stated_members(spark, sf_dir)).selectExpr("cluster_id", "theme", "claims", "md5(example_note) AS example_md5")
+
+
 def rebuilt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest year classified and clustered again: claims with new themes and clusters."""
     claims = claims_of(spark, sf_dir, claim_type=True)
@@ -193,6 +246,10 @@ TEXT_QUERIES = {
     "classify_documents": classified_documents,
     "cluster": clustered,
     "cluster_catalogue": cluster_catalogue,
+    "cluster_step": cluster_step,
+    "cluster_relabel": cluster_relabel,
+    "cluster_examples": cluster_examples,
+    "score_documents": scored_documents,
     "rebuild_window": rebuilt_window,
 }
 
