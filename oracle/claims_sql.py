@@ -260,7 +260,9 @@ SQL = {
         "UNION ALL SELECT DISTINCT 'status', status FROM claims WHERE pended "
         f"UNION ALL SELECT 'date_min', {day_text('min(received_date)')} FROM claims "
         f"UNION ALL SELECT 'date_max', {day_text('max(received_date)')} FROM claims "
-        f"UNION ALL SELECT 'as_of', {day_text('max(received_date) + 2')} FROM claims"),
+        f"UNION ALL SELECT 'as_of', {day_text('max(received_date) + 2')} FROM claims "
+        "UNION ALL SELECT 'theme', theme FROM theme_dim UNION ALL SELECT 'stage', stage FROM stage_dim UNION ALL SELECT 'needs_days', '63' "
+        "UNION ALL SELECT 'dimension', unnest(['platform', 'lob', 'specialty', 'channel', 'network_status', 'claim_type'])"),
     "interventions": with_claims(
         f"SELECT CAST(rank AS INTEGER) AS rank, {THEME_COLUMNS}, intervention, owner, why, addressability, effort, effort_level, "
         "recoverable_days, recoverable_claims, recoverable_touches, priority_score FROM ranked",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle.base import day_text, with_claims
 from oracle.claims_sql import FIGURES, KPIS, OVERVIEW, PENDED, SPINE, TOTALS, _daily, _journey
 from pendscope.operators import routing
-from pendscope.plans.text_queries import COMMON_WORDS, K_RULES, SPLIT_SAMPLE, STATED_BIAS, STATED_LABELS, stated_term
+from pendscope.plans.text_queries import COMMON_WORDS, K_RULES, REBUILT_DAYS, SPLIT_SAMPLE, STATED_BIAS, STATED_LABELS, stated_term
 
 WORDS = r"""words AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS words FROM documents),
 pairs AS (SELECT *, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS pairs FROM words)"""
@@ -179,6 +179,9 @@ SELECT d.doc_id, d.lang, coalesce(s.split, 'unlabelled') AS split FROM documents
                 + ") SELECT CAST(min(k) AS INTEGER) AS k, round(arg_min(s, k), 5) AS silhouette FROM scores WHERE s >= (SELECT max(s) FROM scores) - 0.03",
     "route_questions": ROUTE,
     "score_documents": SCORED,
+    "rebuild_window": with_claims(
+        "SELECT claim_id, status, pended, pend_code, CAST(billed_amount AS DOUBLE) AS billed_amount, pended AS has_theme, "
+        f"(SELECT {day_text('last_day + 2')} FROM edge) AS as_of FROM claims WHERE received_date > last_day - {REBUILT_DAYS}"),
     "cluster_step": STEP,
     "cluster_relabel": MEMBERS + " SELECT theme, CAST(label AS INTEGER) AS label, cluster_id, claims FROM ranks",
     "cluster_examples": MEMBERS + """ SELECT cluster_id, r.theme, r.claims, (SELECT md5(arg_min(s.note, struct_pack(d := s.distance, n := s.note)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pendscope.config import GENERIC_PEND_CODE, SLA_DAYS
-from pendscope.functions.columns import aggregates, mean_days_sql, round_to, share_sql
+from pendscope.config import GENERIC_PEND_CODE, MIN_WINDOW_DAYS, SEGMENT_DIMENSIONS, SLA_DAYS, STAGE_ORDER
+from pendscope.functions.columns import aggregates, inline_table, mean_days_sql, round_to, share_sql
+from pendscope.sources.playbook import REVIEW, THEMES
 
 
 def kpis(claims: DataFrame, sla_days: int = SLA_DAYS) -> DataFrame:
@@ -49,8 +50,14 @@ def generic_code_share(claims: DataFrame) -> DataFrame:
     return round_to(row, {"generic_code_share": 4})
 
 
+META = (
+    *(("theme", theme[0]) for theme in (*THEMES, REVIEW)), *(("stage", stage) for stage in STAGE_ORDER),
+    *(("dimension", dimension) for dimension in SEGMENT_DIMENSIONS), ("needs_days", str(MIN_WINDOW_DAYS)),
+)
+
+
 def meta(claims: DataFrame, as_of_lag: int = 2) -> DataFrame:
-    """Filter values and data limits as (kind, value) rows.
+    """Filter values, data limits and what can be asked for (themes, stages, dimensions, days of a window) as (kind, value) rows.
 
     Values are made distinct together in one pass before they are laid out, so the
     shuffle carries one row per combination, not one per claim."""
@@ -59,8 +66,9 @@ def meta(claims: DataFrame, as_of_lag: int = 2) -> DataFrame:
     values = combos.selectExpr("stack(3, 'lob', lob, 'platform', platform, 'status', status) AS (kind, value)")
     limits = combos.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).selectExpr(
         f"stack(3, 'date_min', lo, 'date_max', hi, 'as_of', date_add(hi, {as_of_lag})) AS (kind, day)")
+    fixed = inline_table(claims.sparkSession, META, {"kind": "string", "value": "string"})
     return (
         values.filter("value IS NOT NULL").distinct()
-        .unionByName(limits.selectExpr("kind", "date_format(day, 'yyyy-MM-dd') AS value"))
+        .unionByName(limits.selectExpr("kind", "date_format(day, 'yyyy-MM-dd') AS value")).unionByName(fixed)
         .orderBy("kind", "value")
     )

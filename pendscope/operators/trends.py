@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pendscope.config import STAGE_ORDER
 from pendscope.functions.columns import exclude_null, rounded, share_sql
 
 
-def _every_day(counts: DataFrame):
-    """Array of all days from the first to the last receipt in the scope."""
-    first = counts.agg(F.min("received_date").alias("first")).scalar()
-    last = counts.agg(F.max("received_date").alias("last")).scalar()
-    return F.sequence(first, last)
-
-
 def _day_text(name: str = "received_date"):
     return F.date_format(name, "yyyy-MM-dd").alias("day")
 
@@ -36,22 +30,27 @@ def _day_counts(claims: DataFrame, key: str) -> DataFrame:
     return exclude_null(claims, "received_date").groupBy("received_date", held).agg(F.count("*").alias("n"))
 
 
-def _fill(keys: DataFrame, counts: DataFrame) -> DataFrame:
-    spine = keys.withColumn("received_date", F.explode(_every_day(counts)))
-    filled = spine.join(exclude_null(counts, "key"), ["key", "received_date"], "left")
+def _fill(counts: DataFrame) -> DataFrame:
+    """Every key on every day between the first and the last day of all rows, in one pass over the counts. They are one row per
+    day and key, so a key's days are a map in one row."""
+    everywhere = Window.partitionBy()
+    bounded = counts.select("key", "received_date", "n", F.min("received_date").over(everywhere).alias("lo"), F.max("received_date").over(everywhere).alias("hi"))
+    by_key = exclude_null(bounded, "key").groupBy("key", "lo", "hi").agg(
+        F.expr("map_from_entries(array_compact(collect_list(if(received_date IS NULL, NULL, struct(received_date, n)))))").alias("days"))
+    filled = by_key.withColumn("received_date", F.explode(F.sequence("lo", "hi")))
     return (
-        filled.select("key", "received_date", F.coalesce("n", F.lit(0)).alias("pended"))
+        filled.select("key", "received_date", F.expr("coalesce(days[received_date], 0L)").alias("pended"))
         .orderBy("key", "received_date").select(_day_text(), "key", "pended")
     )
 
 
 def daily_by_theme(claims: DataFrame) -> DataFrame:
     """Pended claims per day for every theme seen in the scope."""
-    counts = _day_counts(claims, "theme")
-    return _fill(exclude_null(counts, "key").select("key").distinct(), counts)
+    return _fill(_day_counts(claims, "theme"))
 
 
 def daily_by_stage(claims: DataFrame) -> DataFrame:
-    """Pended claims per day for each of the four stages."""
-    stages = F.explode(F.array(*map(F.lit, STAGE_ORDER))).alias("key")
-    return _fill(claims.sparkSession.range(1).select(stages), _day_counts(claims, "pend_stage"))
+    """Pended claims per day for each of the four stages, also for one without any."""
+    stages = claims.sparkSession.range(1).select(
+        F.lit(None).cast("date").alias("received_date"), F.explode(F.array(*map(F.lit, STAGE_ORDER))).alias("key"), F.lit(0).cast("long").alias("n"))
+    return _fill(_day_counts(claims, "pend_stage").unionByName(stages))

@@ -1,7 +1,7 @@
 """The build: classify held claims, cluster their notes, write everything.
 
 Each build goes to a folder of its own; a small pointer table names the current one
-and is replaced last, so readers never see a half-written build."""
+and gets its row last, so readers never see a half-written build."""
 
 from __future__ import annotations
 
@@ -27,6 +27,7 @@ from pendscope.sources.claims import CLAIMS_SCHEMA, write_claims
 from pendscope.sources.playbook import THEMES, playbook
 
 DEFAULT_SEED = 1
+POINTER = "folder string, built_at long"
 
 
 @dataclass(frozen=True)
@@ -63,13 +64,13 @@ def analyse(claims: DataFrame, sample_size: int = LABELLED_SAMPLE, floor: float
     ids = assign(scored, found)
     enriched = enrich_claims(raw, predicted, ids)
 
-    themes = playbook(claims.sparkSession).selectExpr("theme", "theme_name AS name", "sub_causes")
+    themes = playbook(claims.sparkSession).selectExpr("theme", "theme_name AS name")
     rows = scored.withColumn("pended", F.lit(True))
     split = sample.select("claim_id", F.lit("labelled").alias("split"))
     shares = rows.join(F.broadcast(split), "claim_id", "left").withColumn("split", F.coalesce("split", F.lit("unlabelled")))
     labelled = ids.join(scored.select("claim_id", "theme", "true_sub_cause"), "claim_id")
     quality = adjusted_rand(labelled, "theme", "true_sub_cause", "cluster_id").join(F.broadcast(themes), "theme").selectExpr(
-        "theme", "name", "clusters", "sub_causes AS planted_sub_causes", "adjusted_rand_index")
+        "theme", "name", "clusters", "known AS planted_sub_causes", "adjusted_rand_index")
     reports = {
         "classifier_metrics": classifier_metrics(tested, "true_theme", "predicted", themes.select("theme", "name")),
         "confusion": confusion_matrix(tested, "true_theme", "predicted", [t[0] for t in THEMES]),
@@ -85,7 +86,7 @@ def analyse(claims: DataFrame, sample_size: int = LABELLED_SAMPLE, floor: float
 
 def build(spark: SparkSession, claims: DataFrame, out: str, start: date, end: date, seed: int = DEFAULT_SEED,
           restarts: int = RESTARTS) -> str:
-    """Builds one window of 63 to 366 days and makes it current. Returns its folder."""
+    """Builds one window of 63 days or more and makes it current. Returns its folder."""
     check_window(start, end)
     began = time.monotonic()
     window = require_rows(scope(claims, Scope(start, end)))
@@ -101,12 +102,13 @@ def build(spark: SparkSession, claims: DataFrame, out: str, start: date, end: da
     seconds = round(time.monotonic() - began, 1)
     spark.createDataFrame([(start, end, as_of, seed, seconds)], "start date, end date, as_of date, seed long, build_seconds double"
                           ).write.mode("overwrite").parquet(f"{folder}/report/window")
-    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("overwrite").json(f"{out.rstrip('/')}/current")
+    # a pointer is added and none is replaced, so a reader always finds a complete one
+    spark.createDataFrame([(folder, time.time_ns())], POINTER).coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
     return folder
 
 
 def current_build(spark: SparkSession, out: str) -> str:
     """Folder of the build that readers should use."""
-    return spark.read.schema("folder string").json(f"{out.rstrip('/')}/current").first()["folder"]
+    return spark.read.schema(POINTER).json(f"{out.rstrip('/')}/current").agg(F.max_by("folder", "built_at")).first()[0]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 import pyarrow as pa
@@ -15,11 +16,13 @@ from pendscope.operators import cluster as clusters
 from pendscope.operators.classify import TextModel, class_probabilities, classify, fit_classifier
 from pendscope.operators.routing import route_questions
 from pendscope.operators.sampling import label_split, labelled_sample
-from pendscope.operators.scope import Scope, confidence_floor, scope
+from pendscope.operators.scope import confidence_floor
 from pendscope.operators.terms import doc_text, term_counts, tfidf, tokenise, vocabulary
-from pendscope.plans.build import analyse, enrich_claims
+from pendscope.plans.build import build, current_build, enrich_claims
 from pendscope.plans.reconcile import reconcile
+from pendscope.session import shared_folder
 from pendscope.sources.adapter import claims_of
+from pendscope.sources.claims import read_claims
 from pendscope.sources.playbook import THEMES, playbook
 from pendscope.sources.tables import table
 from pendscope.streaming.feed import daily_counts
@@ -215,12 +218,20 @@ def cluster_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.examples(_stated_members(spark, sf_dir)).selectExpr("cluster_id", "theme", "claims", "md5(example_note) AS example_md5")
 
 
+REBUILT_DAYS = 90
+
+
 def rebuilt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest year classified and clustered again: claims with new themes and clusters."""
-    claims = claims_of(spark, sf_dir, claim_type=True)
-    last = claims.agg(F.max("received_date")).first()[0]
-    window = scope(claims, Scope(last - timedelta(days=365), last))
-    return analyse(window).enriched.select("claim_id", "status", "pended", "theme", "confidence", "cluster_id")
+    """The latest days through the whole build, read back from the files of the build that is current then."""
+    claims = claims_of(spark, sf_dir, claim_type=True, notes=True)
+    last = table(spark, sf_dir, "orders").agg(F.max(F.expr("cast(o_orderdate AS date)"))).first()[0]
+    out = f"{shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
+    build(spark, claims, out, last - timedelta(days=REBUILT_DAYS - 1), last)
+    folder = current_build(spark, out)
+    raw = read_claims(spark, f"{folder}/claims", enriched=False).select("claim_id", "status", "pended", "pend_code", "billed_amount")
+    found = read_claims(spark, f"{folder}/claims_enriched").selectExpr("claim_id", "theme IS NOT NULL AS has_theme")
+    window = spark.read.parquet(f"{folder}/report/window").selectExpr("date_format(as_of, 'yyyy-MM-dd') AS as_of")
+    return raw.join(found, "claim_id").withColumn("billed_amount", F.col("billed_amount").cast("double")).withColumn("as_of", window.scalar())
 
 
 TEXT_QUERIES = {

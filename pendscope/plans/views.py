@@ -17,12 +17,12 @@ TOP_INTERVENTIONS = 3
 
 
 @contextmanager
-def scoped(claims: DataFrame, wanted: Scope = Scope(), keep: bool = True) -> Iterator[DataFrame]:
+def scoped(claims: DataFrame, wanted: Scope = Scope(), keep: bool = False) -> Iterator[DataFrame]:
     """The claims of a scope, kept on the executors while several outputs are computed
     from them and released afterwards. An empty scope is an error.
 
-    A lost executor only costs the recomputation of its part. Pass ``keep=False``
-    when the scope is far larger than the executors' memory and disks."""
+    With ``keep`` the claims stay on the executors, which suits a scope that fits their memory and disks; a lost
+    executor only costs the recomputation of its part."""
     chosen = require_rows(scope(claims, wanted))
     if not keep:
         yield chosen

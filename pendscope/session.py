@@ -24,16 +24,21 @@ def local_session(cpus: int | None = None, app: str = "pendscope") -> SparkSessi
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Only a local session without one
+    gets a folder of its own; on a cluster a missing setting is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="pendscope-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``, so that a lost executor never replays the
-    steps before it. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="pendscope-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Reliable checkpoint of ``df`` in the shared folder, so that a lost executor never replays the steps before it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -9,7 +9,7 @@ from pendscope.plans import views
 
 
 def test_overview_reconciles_over_one_kept_scope(claims):
-    with views.scoped(claims, Scope(platform="NORTH")) as north:
+    with views.scoped(claims, Scope(platform="NORTH"), keep=True) as north:
         assert north.storageLevel.useMemory
         parts = views.overview(north)
         head = parts["kpis"].first()
