@@ -18,8 +18,9 @@ from pendscope.llm.common import BROADCAST_IDS, broadcast_if_small, stored, text
 
 RULES = {  # a document fails where the condition holds
     "symbols": "10 * n_symbols > n_words",
-    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
-    "repeats": "5 * n_repeat_words > n_words",
+    "mostly_symbols": "n_symbols > n_words",
+    "dup_lines": "n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines",
+    "repeats": "10 * n_repeat_words > 3 * n_words",
     "word_length": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
 }
 BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"

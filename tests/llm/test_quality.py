@@ -26,11 +26,12 @@ def test_counts(awkward):
 
 def test_verdicts(spark):
     clean = " ".join(f"plain{k}word" for k in range(80))
-    noisy = " ".join(f"plain{k}w###" for k in range(80))
+    noisy = " ".join(f"plain{k}w" + "#" * (k % 4 == 0) for k in range(80))
     rows = [(k, clean, "good") for k in range(30)] + [(100, noisy, "good")] + [(200 + k, noisy, "bad") for k in range(30)] + [(300, clean, "bad"), (301, "short", "good")]
+    rows += [(302, " ".join(f"plain{k}w###" for k in range(80)), "good"), (303, "One line of the page at the top.\n" + clean + "\nOne line of the page at the top.", "good")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     kept = {row["doc_id"] for row in q.quality(docs).collect() if row["kept"]}
-    assert kept == {*range(30), 100, 300}  # one slip in a good host is forgiven, a clean text of a bad host stays
+    assert kept == {*range(30), 100, 300, 303}  # one slip in a good host is forgiven, a clean text of a bad host stays
     assert {row["doc_id"] for row in q.kept_documents(docs).collect()} == kept
 
 
