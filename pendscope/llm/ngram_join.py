@@ -31,7 +31,7 @@ SIMILAR = 0.8
 RECALL = 0.999
 HASHES = 128  # most hashes of a signature
 DENSE = 16
-BLOCK_NODES = 1024
+BLOCK_NODES = 256
 BLOCK_GRAMS = 1_000_000
 KEPT_WORDS = 200_000  # bound on the word hashes a task remembers
 _WORD = re.compile(r"[^\W_]+")
