@@ -20,8 +20,12 @@ def exact_quantile(df: DataFrame, key: str, value: str, q: float = 0.5, width: i
 
     ``key`` is a catalogue column (themes), so the rank table that is broadcast has
     at most two rows per catalogue entry."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("bucket", F.floor(F.col(value) / width))
+    return counted_quantile(df.groupBy(key, value).agg(F.count("*").alias("n")), key, value, q, width)
+
+
+def counted_quantile(counts: DataFrame, key: str, value: str, q: float = 0.5, width: int = DAY_SECONDS) -> DataFrame:
+    """:func:`exact_quantile` of values that are counted already (``key``, ``value``, n)."""
+    counts = counts.filter(F.col(value).isNotNull()).withColumn("bucket", F.floor(F.col(value) / width))
 
     in_order = Window.partitionBy(key).orderBy("bucket")
     ranked = (

@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.functions.columns import aggregates, rounded
-from pendscope.functions.exact_median import exact_quantile
 from pendscope.operators.kpis import volume_basis
-from pendscope.operators.themes import theme_figures
+from pendscope.operators.themes import hold_quantile, per_hold, theme_figures
 from pendscope.sources.playbook import effort_dim, playbook, with_advice
 
-def _plan(claims: DataFrame, advice: DataFrame | None = None) -> DataFrame:
+def _plan(claims: DataFrame, advice: DataFrame | None = None, holds: DataFrame | None = None) -> DataFrame:
     """Themes with advice, ranked. Removable days come from the rounded days lost;
     the score from the removable days before rounding."""
     spark = claims.sparkSession
     rules = with_advice(playbook(spark), advice).join(F.broadcast(effort_dim(spark)), "effort_level").select(
         "theme", "addressability", "effort", "effort_level", "effort_weight", "intervention", "owner", "why")
-    scored = theme_figures(claims).join(F.broadcast(rules), "theme").selectExpr(
+    scored = theme_figures(claims, holds).join(F.broadcast(rules), "theme").selectExpr(
         "*", "rint(pend_days * addressability) AS recoverable_days",
         "cast(rint(claims * addressability) AS bigint) AS recoverable_claims",
         "cast(rint(touches * addressability) AS bigint) AS recoverable_touches",
@@ -38,13 +37,13 @@ PLAN_COLUMNS = (
 
 def interventions(claims: DataFrame, top_n: int | None = None, with_median: bool = True, advice: DataFrame | None = None) -> DataFrame:
     """Themes by removable days per unit of effort; ``top_n`` is at least 1. ``advice`` holds the user's texts."""
-    plan = _plan(claims, advice)
+    holds = per_hold(claims) if with_median else None
+    plan = _plan(claims, advice, holds)
     columns = list(PLAN_COLUMNS)
     if top_n is not None:
         plan = plan.filter(F.col("rank") <= max(1, top_n))
     if with_median:
-        median = exact_quantile(claims.filter("pended AND theme IS NOT NULL"), "theme", "pend_s")
-        plan = plan.join(F.broadcast(median), "theme", "left").withColumn(
+        plan = plan.join(F.broadcast(hold_quantile(holds)), "theme", "left").withColumn(
             "median_pend_days", rounded("quantile / 86400D", 1))
         columns.append("median_pend_days")
     return plan.withColumnRenamed("theme", "key").select(*columns).orderBy("rank")

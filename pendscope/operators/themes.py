@@ -10,25 +10,42 @@ from pendscope.config import GENERIC_PEND_CODE, RANK_METRICS
 from pendscope.functions.columns import (
     aggregates, days, exclude_null, over_all, round_to, rounded, rounded_by_product, share_sql,
 )
-from pendscope.functions.exact_median import exact_quantile
+from pendscope.functions.exact_median import counted_quantile
 from pendscope.sources.playbook import theme_dim, with_advice
 
 
-def theme_totals(claims: DataFrame) -> DataFrame:
+_SUMS = {
+    "claims": "count(*)",
+    "billed": "sum(billed_amount)",
+    "touches": "sum(touches)",
+    "over_target": "count_if(over_target)",
+    "open": "count_if(released_ts IS NULL)",
+    "denied": "count_if(status = 'Denied')",
+    "generic": f"count_if(pend_code = '{GENERIC_PEND_CODE}')",
+}
+
+
+def per_hold(claims: DataFrame) -> DataFrame:
+    """(theme, pend_s, f): sums of the pended claims per theme and length of hold, in one struct. Figures and medians both
+    start here, and as both take the whole struct they share one exchange."""
+    return claims.filter("pended").groupBy("theme", "pend_s").agg(F.struct(*aggregates(_SUMS)).alias("f"))
+
+
+def hold_quantile(holds: DataFrame, q: float = 0.5) -> DataFrame:
+    """(theme, quantile) of the hold in seconds, from :func:`per_hold`."""
+    return counted_quantile(exclude_null(holds, "theme").selectExpr("theme", "pend_s", "f.claims AS n"), "theme", "pend_s", q)
+
+
+def theme_totals(claims: DataFrame, holds: DataFrame | None = None) -> DataFrame:
     """Sums per theme with the scope totals on each row; at most one row per theme.
 
     Claims without a theme count towards the totals but form no group."""
-    grouped = claims.filter("pended").groupBy("theme").agg(*aggregates({
-        "claims": "count(*)",
-        "pend_s": "sum(pend_s)",
-        "timed": "count(pend_s)",
-        "billed": "sum(billed_amount)",
-        "touches": "sum(touches)",
-        "over_target": "count_if(over_target)",
-        "open": "count_if(released_ts IS NULL)",
-        "denied": "count_if(status = 'Denied')",
-        "generic": f"count_if(pend_code = '{GENERIC_PEND_CODE}')",
-    }))
+    if holds is None:
+        grouped = claims.filter("pended").groupBy("theme").agg(*aggregates({"pend_s": "sum(pend_s)", "timed": "count(pend_s)", **_SUMS}))
+    else:
+        grouped = holds.groupBy("theme").agg(*aggregates({
+            "sum_s": "sum(pend_s * f.claims)", "timed": "sum(if(pend_s IS NULL, 0, f.claims))", **{name: f"sum(f.{name})" for name in _SUMS}}))
+        grouped = grouped.withColumnRenamed("sum_s", "pend_s")
     totals = [f"sum({name}) OVER (PARTITION BY 0) AS all_{name}" for name in ("claims", "pend_s", "generic")]
     return exclude_null(grouped.selectExpr("*", *totals), "theme")
 
@@ -40,9 +57,9 @@ def with_names(df: DataFrame, key: str = "theme") -> DataFrame:
     return df.join(F.broadcast(names), key, "left")
 
 
-def theme_figures(claims: DataFrame) -> DataFrame:
-    """Rounded theme figures without the median."""
-    figures = theme_totals(claims).selectExpr(
+def theme_figures(claims: DataFrame, holds: DataFrame | None = None) -> DataFrame:
+    """Rounded theme figures without the median, from the claims or from :func:`per_hold` of them."""
+    figures = theme_totals(claims, holds).selectExpr(
         "theme",
         "claims",
         f"{share_sql('claims', 'all_claims')} AS claims_share",
@@ -68,8 +85,8 @@ THEME_TABLE_COLUMNS = (
 
 def theme_table(claims: DataFrame) -> DataFrame:
     """One row per theme, most days lost first."""
-    median = exact_quantile(exclude_null(claims.filter("pended"), "theme"), "theme", "pend_s")
-    table = theme_figures(claims).join(F.broadcast(median), "theme", "left")
+    holds = per_hold(claims)
+    table = theme_figures(claims, holds).join(F.broadcast(hold_quantile(holds)), "theme", "left")
     return (
         table.withColumns({"key": F.col("theme"), "median_pend_days": rounded("quantile / 86400D", 1)})
         .select(*THEME_TABLE_COLUMNS)
