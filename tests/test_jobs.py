@@ -73,6 +73,35 @@ def test_streamed_days_equal_the_batch(spark, tmp_path):
     assert sorted(spark.table("days").collect()) == sorted(daily_counts(events, "ts", "event_type").collect())
 
 
+def test_closed_days_leave_in_append_mode(spark, tmp_path):
+    """Two days of lateness: a row inside them counts, one beyond them does not, and a day is written once, when it is closed."""
+    def arrive(number, *days):
+        rows = [(f"2026-01-{day:02d} 12:00:00", "a") for day in days]
+        spark.createDataFrame(rows, "ts string, kind string").selectExpr("cast(ts AS timestamp) AS ts", "kind").coalesce(1).write.parquet(str(tmp_path / f"in/batch={number}"))
+
+    written = []
+    for number, days in enumerate(((1, 1, 2), (5, 6), (4, 1, 20), (21,))):
+        arrive(number, *days)
+        feed = spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "in/*"))
+        query = (daily_counts(feed, "ts", "kind").writeStream.outputMode("append").trigger(availableNow=True)
+                 .option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda batch, _: written.extend(batch.collect())).start())
+        assert query.awaitTermination(120)
+    found = {row["day"]: row["n"] for row in written}
+    assert len(found) == len(written)
+    assert found == {"2026-01-01": 2, "2026-01-02": 1, "2026-01-04": 1, "2026-01-05": 1, "2026-01-06": 1}
+
+
+def test_a_reader_during_a_swap_finds_a_complete_build(spark, tmp_path):
+    from pendscope.plans.build import POINTER
+
+    out = str(tmp_path)
+    for number in (1, 3, 2):
+        spark.createDataFrame([(f"build{number}", number)], POINTER).coalesce(1).write.mode("append").json(f"{out}/current")
+        (tmp_path / "current" / "_draft").mkdir(exist_ok=True)  # a writer at work
+        (tmp_path / "current" / "_draft" / "part-00000.json").write_text('{"folder":"half","built_at":9}')
+        assert current_build(spark, out) == f"build{max(1, 3 if number > 1 else 1)}"
+
+
 def test_arriving_claims_are_enriched_like_a_table(spark, claims, tmp_path):
     base = claims.select(*CLAIMS_SCHEMA.fieldNames())
     docs = claims.filter("pended").select("claim_id", "true_theme", F.expr(doc_text_sql()).alias("text"))
