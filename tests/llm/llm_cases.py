@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-sys.path.insert(0, os.path.join(ROOT, "tools"))
-
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"w{k % 700}x{k}" for k in range(20_000))
 STORY = ("The quick brown fox jumps over the lazy dog while seven wizards quietly box five dozen liquor jugs near "
@@ -34,15 +26,6 @@ AWKWARD = [
 ]
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from pendscope.session import local_session
-
-    session = local_session(4)
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
-
 @pytest.fixture(scope="session")
 def awkward(spark):
     return spark.createDataFrame([(*row, None if row[1] is None else len(row[1])) for row in AWKWARD], SCHEMA)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import bpe, lexicon
 
 TEXTS = ["", " ", "  a", "a  ", "\n\n a", "a　b c", "<|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>", "it's we'll I'D 'S don't", "x" * 300 + "yz" * 200,

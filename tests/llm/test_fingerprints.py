@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pendscope.llm import fingerprints as fp
 
-from conftest import STORY
+from llm_cases import STORY, awkward, nothing, wide  # noqa: F401
 
 
 def ordered(rows):

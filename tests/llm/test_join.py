@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import ngram_join as nj
 from pendscope.llm.components import components
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import license_scan as ls
 
 TEXTS = [

@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import mixing
 
 

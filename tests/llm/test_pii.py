@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import pii
 
 VALUES = [

@@ -7,6 +7,7 @@ from pendscope.llm import bpe, ngram_join, pii, quality_rules
 from tokenizers import Tokenizer
 
 from conftest import SF_DIR
+from llm_cases import awkward, nothing  # noqa: F401
 from pendscope.llm.common import table
 
 

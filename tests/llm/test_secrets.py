@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import secrets as s
 
 PLAIN = {

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import toxicity as tox
 from pendscope.llm.common import table
 
