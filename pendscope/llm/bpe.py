@@ -23,10 +23,10 @@ from pendscope.llm import lexicon
 from pendscope.llm.common import stored
 
 TOKENIZER = "byte_bpe_50k.json"
-LEXICON_WORDS = 131_072  # bound on what is compiled on the driver and broadcast (some ten MB)
+LEXICON_WORDS = 65_536  # bound on what is compiled on the driver and broadcast (some five MB)
 LEAST_COUNT = 2  # a word seen once is not frequent
-GROUP_CHARS = 200_000  # texts are worked on together up to this many characters
-KEPT_CHUNKS = 400_000  # bound on the distinct chunks a task remembers
+GROUP_CHARS = 100_000  # texts are worked on together up to this many characters
+KEPT_CHUNKS = 120_000  # bound on the distinct chunks a task remembers
 
 # In texts of these characters ``re`` tells letters, numbers and space as the tokenizer does; the tests check every one.
 _PLAIN = re.compile("[\t-\r -\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ʯΑ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞₠-₿]*")

@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def short_batches(spark: SparkSession, rows: int = 500) -> SparkSession:
+def short_batches(spark: SparkSession, rows: int = 200) -> SparkSession:
     """Few rows in an Arrow batch: texts can be long, and a task holds a whole batch in Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark

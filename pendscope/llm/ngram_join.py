@@ -33,7 +33,7 @@ HASHES = 128  # most hashes of a signature
 DENSE = 16
 BLOCK_NODES = 256
 BLOCK_GRAMS = 1_000_000
-KEPT_WORDS = 200_000  # bound on the word hashes a task remembers
+KEPT_WORDS = 50_000  # bound on the word hashes a task remembers
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
