@@ -182,7 +182,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str):
-    return clusters.cluster(_notes(spark, sf_dir))
+    return clusters.cluster(_notes(spark, sf_dir), min_df=20)  # whole documents have many rare terms
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
