@@ -111,7 +111,7 @@ centres AS (SELECT p.theme, p.c, w.term, w.weight AS v FROM picks p JOIN weights
 norms AS (SELECT p.theme, p.c, coalesce(sum(v * v), 0) AS norm FROM picks p LEFT JOIN centres USING (theme, c) GROUP BY ALL),
 dots AS (SELECT w.theme, w.note_id, c, sum(w.weight * v) AS dot FROM weights w JOIN centres USING (theme, term) GROUP BY ALL),
 square AS (SELECT theme, note_id, sum(weight * weight) AS square FROM weights GROUP BY ALL),
-gaps AS (SELECT n.theme, n.note_id, n.claims, m.c, greatest(0, coalesce(square, 0) + norm - 2 * coalesce(dot, 0)) AS gap FROM notes n JOIN norms m USING (theme)
+gaps AS (SELECT n.theme, n.note_id, n.claims, m.c, greatest(0, round(coalesce(square, 0) + norm - 2 * coalesce(dot, 0), 9)) AS gap FROM notes n JOIN norms m USING (theme)
   LEFT JOIN dots d ON d.theme = n.theme AND d.note_id = n.note_id AND d.c = m.c LEFT JOIN square s ON s.theme = n.theme AND s.note_id = n.note_id),
 labels AS (SELECT theme, note_id, claims, CASE WHEN max(gap) FILTER (WHERE c = 0) <= max(gap) FILTER (WHERE c = 1) THEN 0 ELSE 1 END AS c FROM gaps GROUP BY ALL),
 filled AS (SELECT theme, c, sum(claims) AS size FROM labels GROUP BY ALL),
