@@ -5,7 +5,8 @@ long as a template lies whole in a block. A template T is found where a block ho
 of its words. Words are put in the order of their number of documents, rarest first. A block that holds ``need`` of the
 words of T holds one of the |T| - need + 1 rarest, so blocks are joined on those prefix words alone; the number
 of template words in the block (length) and the places of the shared word on both sides (position) bound the overlap
-before it is counted on the whole sets."""
+before it is counted on the whole sets. The scan then looks at each template so found through windows of about its own
+length, where no word that tells one license from another may be missing."""
 
 from __future__ import annotations
 
@@ -32,6 +33,8 @@ TEMPLATES = (  # opening lines of public licenses
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
 )
 CONTAINED = 0.8
+WHOLE_BELOW = 10  # of templates with fewer words than this none may be missing
+NAMES = ("mit", "apache", "nc", "noncommercial", "gnu", "general", "public", "mozilla", "2", "3")  # of longer ones none of these
 
 
 def _array(words) -> str:
@@ -50,10 +53,37 @@ def _template_words(spark: SparkSession, templates, contained: float) -> DataFra
     return spark.createDataFrame(rows, "template int, label string, word string, size int, need int")
 
 
+def _own_width(text: str) -> int:
+    return len(text.split()) + -(-len(text.split()) // 4)
+
+
+def _in_own_windows(rows: DataFrame, candidates: DataFrame, templates, contained: float) -> DataFrame:
+    """Labels and best share of each row over its candidate templates. A window starts at a template word and is a quarter
+    longer than the template; it proves the label if it holds enough of the words and all of those that may not be missing."""
+    specs = []
+    for number, (label, text) in enumerate(templates):
+        words = sorted(set(text.split()))
+        must = words if len(text.split()) < WHOLE_BELOW else [word for word in words if word in NAMES]
+        specs.append((number, label, words, must, _need(len(words), contained), _own_width(text)))
+    specs = candidates.sparkSession.createDataFrame(specs, "template int, label string, words array<string>, must array<string>, need int, width int")
+    held = "array_distinct(transform(filter(slice(mine, i + 1, width), y -> y.at < x.at + width), y -> y.word))"
+    return (
+        candidates.join(rows.filter("places IS NOT NULL").select("row", "places"), "row").join(F.broadcast(specs), "template")
+        .withColumn("mine", F.expr("filter(places, x -> array_contains(words, x.word))")).drop("places")
+        .withColumn("windows", F.expr(f"transform(mine, (x, i) -> {held})"))
+        .withColumn("proved", F.expr("exists(windows, w -> size(w) >= need AND size(array_except(must, w)) = 0)"))
+        .withColumn("share", F.expr("array_max(transform(windows, w -> size(w))) / double(size(words))"))
+        .groupBy("row").agg(F.collect_set(F.expr("if(proved, label, null)")).alias("labels"), F.max("share").alias("share"))
+    )
+
+
 def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=None,
-                    contained: float = CONTAINED) -> DataFrame:
+                    contained: float = CONTAINED, own_windows: bool = False) -> DataFrame:
     """One row per row of ``docs``: key, n_words, starts (array of (at, label) of the phrases), labels (array of all
-    labels), score (best share of a template found in a block; 0 where no block shares a prefix word).
+    labels), score (best share of a template found in a block; 0 where no block holds enough of any).
+
+    With ``own_windows`` the blocks only name candidates. Labels then come from windows of a template's own length
+    that miss no distinguishing word, and score is the best share of a candidate in such a window, proved or not.
 
     Null and empty texts have no words. Rows are numbered, so repeated rows and keys stay apart; ties between
     words of equal frequency go by the word. The text is read once. Only rows that hold enough template words anywhere
@@ -87,7 +117,7 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
          for at, word in enumerate(words[:len(words) - _need(len(words), contained) + 1])],
         "template int, label string, word int, at_template int, size int, need int, whole array<int>")
 
-    stride = max(len(t.split()) for _, t in templates)
+    stride = max(_own_width(t) if own_windows else len(t.split()) for _, t in templates)
     blocks = (
         rows.filter("places IS NOT NULL").select("row", F.explode("places").alias("x"))
         .select("row", "x.at", F.expr(f"array_position({_array(ranks)}, x.word) - 1").cast("int").alias("word")).filter("word >= 0")
@@ -99,8 +129,11 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
         .join(F.broadcast(prefixes), "word")
         .filter("size(held) >= need AND 1 + least(size(held) - at_block - 1, size - at_template - 1) + least(at_block, at_template) >= need")
         .withColumn("share", F.expr("size(array_intersect(held, whole)) / double(size)")).filter("share * size >= need")
-        .groupBy("row").agg(F.collect_set("label").alias("labels"), F.max("share").alias("share"))
     )
+    if own_windows:
+        found = _in_own_windows(rows, found.select("row", "template").distinct(), templates, contained)
+    else:
+        found = found.groupBy("row").agg(F.collect_set("label").alias("labels"), F.max("share").alias("share"))
     starts = []
     for phrase, label in phrases.items():
         words = phrase.split()
@@ -116,7 +149,7 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    return license_matches(docs).select(
+    return license_matches(docs, own_windows=True).select(
         "doc_id", "n_words", F.expr("bigint(size(starts))").alias("n_base"),
         F.expr("array_min(transform(starts, s -> s.at))").alias("first_word"), F.expr("array_max(transform(starts, s -> s.at))").alias("last_word"),
         F.expr("concat_ws(',', array_sort(array_distinct(transform(starts, s -> s.label))))").alias("base_labels"),
