@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 KEY = b"replace this key"
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ip", "date", "ssn", "phone")  # where two overlap the earlier kind wins
-_MAYBE = re.compile("[0-9]{2}|@")
+_MAYBE = re.compile(r"[0-9]{2}|@|[0-9]\.[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _PATTERNS = {
