@@ -31,6 +31,10 @@ _PATTERNS = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])|(?<![0-9+])\+[0-9]{8,15}(?![0-9])"),
 }
+_IBAN_LENGTHS = dict(re.findall("([A-Z]{2})([0-9]{2})", (
+    "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BR29BY28CH21CR22CY28CZ24DE22DK18DO28EE20EG29ES24FI18FO18FR27GB22GE22GI23GL18GR27GT28HR21HU28IE22IL23"
+    "IQ23IS26IT27JO30KW30KZ20LB28LC32LI21LT20LU20LV21LY25MC27MD24ME22MK19MR27MT31MU30NL18NO15PK24PL28PS29PT25QA29RO24RS22SA24SC31SD18SE24SI19"
+    "SK24SM27ST25SV28TL23TN24TR26UA29VA22VG24XK20")))
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 _LATE = [n for n in range(_DAYS) if (_FIRST_DAY + timedelta(n)).day > 12]  # month first is read only for these
 
@@ -157,6 +161,22 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str
     return text[:lead] + _letters(text[lead:], "phone", key, back)
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Places of valid account numbers. A match may take in words that follow, so it is also read up to each of its blanks:
+    the reading of its country's length first, then the longest. The search goes on behind the reading taken."""
+    found, match = [], _PATTERNS["iban"].search(text)
+    while match:
+        start, stop = match.span()
+        ends = [stop, *(k for k in range(stop - 1, start, -1) if text[k] == " ")]
+        length = int(_IBAN_LENGTHS.get(text[start:start + 2], 0))
+        ends.sort(key=lambda end: end - start - text.count(" ", start, end) != length)
+        end = next((end for end in ends if pseudonym("iban", text[start:end]) is not None), None)
+        if end is not None:
+            found.append((start, end))
+        match = _PATTERNS["iban"].search(text, start + 1 if end is None else end)
+    return found
+
+
 def found_in(text: str) -> list[tuple[int, int, str]]:
     """Places of possible values: (start, stop, kind), in order, without overlaps."""
     if not _MAYBE.search(text):
@@ -169,6 +189,9 @@ def found_in(text: str) -> list[tuple[int, int, str]]:
             spots.append((0, local.start(), domain.end(), "email"))
         at = text.find("@", at + 1)
     for rank, kind in enumerate(KINDS[1:], 1):
+        if kind == "iban":
+            spots += [(rank, start, stop, kind) for start, stop in _ibans(text)]
+            continue
         spots += [(rank, m.start(), m.end(), kind) for m in _PATTERNS[kind].finditer(text) if pseudonym(kind, m[0]) is not None]
     taken: list[tuple[int, int, str]] = []
     if len(spots) < 2:
