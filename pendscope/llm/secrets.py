@@ -1,6 +1,8 @@
 """Secrets in text: fixed patterns, and tokens that no test can tell from random characters.
 
-A run of key characters that holds digits and letters is read as hexadecimal, base 32, base 36 or base 64.
+A run of key characters is cut at each = that is not padding at its end, so that a name and its value stand apart. A
+token that holds digits and letters is read as hexadecimal, base 32, base 36 or base 64; where none fits, its parts
+between / are tokens of their own, and where none fits these, the parts between _ and -.
 Three tests ask whether its characters could be uniform draws from that alphabet: chi-squared on the counts
 (Wilson-Hilferty normal value), the number of runs in the upper and lower half of the alphabet, and the serial
 correlation of neighbours. Fisher's sum makes one p-value of them, uniform for truly random tokens and near 0
@@ -25,7 +27,8 @@ ASSIGN = (f"({'|'.join(map(_any_case, ('password', 'passwd', 'secret', 'token'))
           r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = "AKIA[A-Z0-9]{16,}"  # maximal runs, so the bound on the length can be in the pattern
 HEX = "[0-9a-f]{24,}"
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {  # name: alphabet, what its tokens look like
@@ -50,13 +53,30 @@ def _upper_tail(z: str) -> str:
     return f"if({z} >= 0, {tail}, 1 - {tail})"
 
 
+_FITS = "CASE WHEN NOT (word RLIKE '[0-9]' AND word RLIKE '[A-Za-z]') THEN NULL " + " ".join(
+    f"WHEN {rule} THEN '{name}'" for name, (_, rule) in ALPHABETS.items()) + " END"
+
+
+def parted(tokens: DataFrame, keys: str, all_tokens: bool = False) -> DataFrame:
+    """``tokens`` (start, stop, word, ...) with those that fit no alphabet (or all) replaced by their stretches of ``keys`` of
+    ``LEAST`` characters or more, padding at the end of the token included."""
+    pattern = f"[{keys}]{{{LEAST},}}+(?:=++$)?|[{keys}]++=++$"
+    whole = "array(named_struct('start', start, 'stop', stop, 'word', word))"
+    parts = f"transform(filter(parts, s -> length(s.word) >= {LEAST}), s -> named_struct('start', start + s.start, 'stop', start + s.stop, 'word', s.word))"
+    kept = [c for c in tokens.columns if c not in ("start", "stop", "word")]
+    return (
+        tokens.withColumn("fits", F.lit(False) if all_tokens else F.expr(f"({_FITS}) IS NOT NULL"))
+        .withColumn("parts", F.when(~F.col("fits"), matches("word", pattern)))
+        .select(*kept, F.explode(F.expr(f"if(fits, {whole}, {parts})")).alias("part")).select(*kept, "part.*")
+    )
+
+
 def randomness(spans: DataFrame) -> DataFrame:
     """``spans`` (word, ...) with alphabet name ``code`` and ``p``; both null where no alphabet fits. Needs a
     letter and a digit: digits alone are numbers and letters alone are words."""
-    fits = " ".join(f"WHEN {rule} THEN '{name}'" for name, (_, rule) in ALPHABETS.items())
     letters = " ".join(f"WHEN '{name}' THEN '{alphabet}'" for name, (alphabet, _) in ALPHABETS.items())
     return (
-        spans.withColumn("code", F.expr(f"CASE WHEN NOT (word RLIKE '[0-9]' AND word RLIKE '[A-Za-z]') THEN NULL {fits} END"))
+        spans.withColumn("code", F.expr(_FITS))
         .withColumn("letters", F.expr(f"CASE code {letters} END"))
         .withColumn("v", F.expr("transform(split(rtrim('=', word), ''), c -> instr(letters, c))"))
         .withColumn("n", F.expr("double(size(v))")).withColumn("m", F.expr("double(length(letters))"))
@@ -112,7 +132,10 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     found = stored(found.select("row", "key", "base", F.expr(f"filter(tokens, s -> {digit})").alias("tokens")), "secrets")
 
     apart = "NOT exists(base, b -> b.start < token.stop AND token.start < b.stop)"
-    tokens = found.filter("size(tokens) > 0").select("row", "base", F.explode("tokens").alias("token")).selectExpr(
+    tokens = found.filter("size(tokens) > 0").select("row", "base", F.explode("tokens").alias("token")).select(
+        "row", "base", "token.start", "token.stop", "token.word")
+    tokens = parted(parted(parted(tokens, "A-Za-z0-9+/_-", True), "A-Za-z0-9+_-"), "A-Za-z0-9+")
+    tokens = tokens.select("row", F.struct("start", "stop", "word").alias("token"), "base").selectExpr(
         "row", "token.start AS start", "token.stop AS stop", "token.word AS word", f"{apart} AS apart")
     tokens = stored(randomness(tokens).filter("p IS NOT NULL").withColumn(
         "length_class", F.expr(f"least({LONGEST_CLASS}, int(length(word) / 8))")).drop("word"), "secrets-tokens")
