@@ -12,7 +12,7 @@ are expected to be ordinary: short tokens, on which the tests are weak, get a st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.llm.common import broadcast_if_small, stored
@@ -97,16 +97,15 @@ def randomness(spans: DataFrame) -> DataFrame:
 
 
 def thresholds(tokens: DataFrame) -> DataFrame:
-    """(code, length_class, at_least): bins of p are counted over all tokens, then summed from the top. At most
-    ``BINS`` rows for each of 7 alphabets and 16 classes, whatever the input."""
+    """(code, length_class, at_least): bins of p are counted over all tokens, and every threshold between two bins is tried,
+    whether a token lies there or not. At most ``BINS`` counts for each of 7 alphabets and 16 classes, whatever the input."""
     bins = tokens.groupBy("code", "length_class", F.expr(f"least(int(p * {BINS}), {BINS - 1})").alias("bin")).count()
-    group = Window.partitionBy("code", "length_class")
-    above = group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    above = "aggregate(filter(counts, c -> c.bin >= t), 0L, (s, c) -> s + c.count)"
     return (
-        bins.withColumn("above", F.sum("count").over(above))
-        .withColumn("random", 2 * (F.sum(F.expr(f"if(2 * bin >= {BINS}, count, 0)")).over(group) + 1))
-        .filter(f"bin > 0 AND 1 - (1 - bin / {BINS}D) * random / above <= {FALSE_SHARE}")
-        .groupBy("code", "length_class").agg((F.min("bin") / BINS).alias("at_least"))
+        bins.groupBy("code", "length_class").agg(
+            F.collect_list(F.struct("bin", "count")).alias("counts"), (2 * (F.sum(F.expr(f"if(2 * bin >= {BINS}, count, 0)")) + 1)).alias("random"))
+        .withColumn("at_least", F.expr(f"array_min(filter(sequence(1, {BINS - 1}), t -> 1 - try_divide((1 - t / {BINS}D) * random, {above}) <= {FALSE_SHARE})) / {BINS}"))
+        .filter("at_least IS NOT NULL").select("code", "length_class", "at_least")
     )
 
 
@@ -131,12 +130,13 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     digit = "regexp_like(s.word, '[0-9]') AND regexp_like(s.word, '[A-Za-z]')"
     found = stored(found.select("row", "key", "base", F.expr(f"filter(tokens, s -> {digit})").alias("tokens")), "secrets")
 
-    apart = "NOT exists(base, b -> b.start < token.stop AND token.start < b.stop)"
+    apart = "NOT exists(base, b -> b.start < stop AND start < b.stop)"
     tokens = found.filter("size(tokens) > 0").select("row", "base", F.explode("tokens").alias("token")).select(
         "row", "base", "token.start", "token.stop", "token.word")
-    tokens = parted(parted(parted(tokens, "A-Za-z0-9+/_-", True), "A-Za-z0-9+_-"), "A-Za-z0-9+")
-    tokens = tokens.select("row", F.struct("start", "stop", "word").alias("token"), "base").selectExpr(
-        "row", "token.start AS start", "token.stop AS stop", "token.word AS word", f"{apart} AS apart")
+    tokens = parted(tokens, "A-Za-z0-9+/_-", True)
+    for keys in ("A-Za-z0-9+_-", "A-Za-z0-9+"):  # each step starts from files, which keeps the plans small
+        tokens = parted(stored(tokens, "secrets-parts"), keys)
+    tokens = stored(tokens, "secrets-parts").select("row", "start", "stop", "word", F.expr(apart).alias("apart"))
     tokens = stored(randomness(tokens).filter("p IS NOT NULL").withColumn(
         "length_class", F.expr(f"least({LONGEST_CLASS}, int(length(word) / 8))")).drop("word"), "secrets-tokens")
     random = tokens.filter("apart").join(broadcast_if_small(thresholds(tokens)), ["code", "length_class"]).filter("p >= at_least")
