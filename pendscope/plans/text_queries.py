@@ -221,17 +221,34 @@ def cluster_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 REBUILT_DAYS = 90
 
 
-def rebuilt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest days through the whole build, read back from the files of the build that is current then."""
+def _rebuilt(spark: SparkSession, sf_dir: str, days: int | None) -> tuple[str, DataFrame]:
+    """Folder and raw claims of a build over the latest days (all with None) that is current then."""
     claims = claims_of(spark, sf_dir, claim_type=True, notes=True)
-    last = table(spark, sf_dir, "orders").agg(F.max(F.expr("cast(o_orderdate AS date)"))).first()[0]
+    day = F.expr("cast(o_orderdate AS date)")
+    first, last = table(spark, sf_dir, "orders").agg(F.min(day), F.max(day)).first()
     out = f"{shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
-    build(spark, claims, out, last - timedelta(days=REBUILT_DAYS - 1), last)
+    build(spark, claims, out, first if days is None else last - timedelta(days=days - 1), last)
     folder = current_build(spark, out)
-    raw = read_claims(spark, f"{folder}/claims", enriched=False).select("claim_id", "status", "pended", "pend_code", "billed_amount")
-    found = read_claims(spark, f"{folder}/claims_enriched").selectExpr("claim_id", "theme IS NOT NULL AS has_theme")
+    return folder, read_claims(spark, f"{folder}/claims", enriched=False).select("claim_id", "status", "pended", "pend_code", "billed_amount")
+
+
+def _with_as_of(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     window = spark.read.parquet(f"{folder}/report/window").selectExpr("date_format(as_of, 'yyyy-MM-dd') AS as_of")
-    return raw.join(found, "claim_id").withColumn("billed_amount", F.col("billed_amount").cast("double")).withColumn("as_of", window.scalar())
+    return rows.withColumn("billed_amount", F.col("billed_amount").cast("double")).withColumn("as_of", window.scalar())
+
+
+def rebuilt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest days through the whole build, in the plain columns that SQL can check; ``rebuilt_span`` is the whole."""
+    folder, raw = _rebuilt(spark, sf_dir, REBUILT_DAYS)
+    found = read_claims(spark, f"{folder}/claims_enriched").selectExpr("claim_id", "theme IS NOT NULL AS has_theme")
+    return _with_as_of(spark, folder, raw.join(found, "claim_id"))
+
+
+def rebuilt_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days from first to last receipt through the whole build, with theme, confidence and cluster of every claim."""
+    folder, raw = _rebuilt(spark, sf_dir, None)
+    found = read_claims(spark, f"{folder}/claims_enriched").select("claim_id", "theme", "confidence", "cluster_id")
+    return _with_as_of(spark, folder, raw.join(found, "claim_id"))
 
 
 TEXT_QUERIES = {
@@ -262,5 +279,6 @@ TEXT_QUERIES = {
     "cluster_examples": cluster_examples,
     "score_documents": scored_documents,
     "rebuild_window": rebuilt_window,
+    "rebuild_span": rebuilt_span,
 }
 
