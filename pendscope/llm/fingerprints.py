@@ -4,9 +4,9 @@ A text's units are hashed, runs of ``GRAM`` units give gram hashes, and of every
 grams the smallest is kept, the rightmost one where several are equal, with its place. Two texts that share a passage
 of ``WINDOW + GRAM - 1`` units share a kept hash; nothing shorter than a gram is ever matched.
 
-Units are words (stretches of up to sixteen characters without white space, so that text without spaces has units
-too). Texts shorter than ``SHORT`` characters have few words, so they are also fingerprinted over single characters, and
-two texts that both have that finer fingerprint are compared by it. Everything is SQL functions."""
+Units are words of up to sixteen characters and the single characters of longer runs without white space, so the units
+of a passage do not depend on what stands before it. Texts shorter than ``SHORT`` characters have few words, so they are
+also fingerprinted over single characters, and two texts that both have that finer fingerprint are compared by it. Everything is SQL functions."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ PLACE = 2147483647  # a mark is 32 bits of hash, then PLACE - place: the least m
 SEGMENTS = 64
 BUCKETS_PER_SEGMENT = 512
 ROWS_PER_BUCKET = 256
-_UNIT = f"[^{SPACE}]{{1,16}}".replace("\\", "\\\\")
+_UNIT = f"(?<![^{SPACE}])[^{SPACE}]{{1,16}}(?![^{SPACE}])|[^{SPACE}]".replace("\\", "\\\\")
 
 
 def bound(value: str, name: str, body: str) -> str:
@@ -60,9 +60,9 @@ def likeness(words_a: str, words_b: str, chars_a: str, chars_b: str) -> str:
     return bound(f"named_struct('a', if({both}, {chars_a}, {words_a}), 'b', if({both}, {chars_b}, {words_b}))", "pair", jaccard)
 
 
-def shown(words: str, chars: str) -> str:
-    """SQL for a fingerprint as text: hash@place of the finest marks."""
-    return f"array_join(transform(coalesce({chars}, {words}), m -> concat(hex(shiftright(m, 31)), '@', {PLACE} - (m & {PLACE}))), ' ')"
+def shown(marks_of: str) -> str:
+    """SQL for a fingerprint as text: hash@place of the marks; null where there are none of the kind."""
+    return f"array_join(transform({marks_of}, m -> concat(hex(shiftright(m, 31)), '@', {PLACE} - (m & {PLACE}))), ' ')"
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -116,6 +116,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     return fingerprints(docs).select(
         "doc_id", F.length("body").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.expr(shown("words", "chars")).alias("fingerprint"), F.expr(shown("edited_words", "edited_chars")).alias("edited_fingerprint"),
+        F.expr(shown("words")).alias("fingerprint"), F.expr(shown("edited_words")).alias("edited_fingerprint"),
+        F.expr(shown("chars")).alias("fine_fingerprint"), F.expr(shown("edited_chars")).alias("edited_fine_fingerprint"),
         F.expr(likeness("words", "edited_words", "chars", "edited_chars")).alias("near_edited"),
         F.expr(likeness("words", "next_words", "chars", "next_chars")).alias("near_next"))
