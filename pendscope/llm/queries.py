@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pendscope.llm import bpe, fingerprints, license_scan, mixing, ngram_join, pii, quality_rules, secrets, toxicity, url_filter
+from pendscope.llm import (
+    bpe, chat_format, chat_repair, fingerprints, hard_negatives, license_scan, mixing, ngram_join, pii, quality_rules, secrets, toxicity,
+    url_filter,
+)
 from pendscope.llm.common import short_batches, table
 
 
@@ -29,4 +32,7 @@ QUERIES = {
     "op8_bpe": _over("documents", bpe.encode_digests),
     "op9_toxicity": _toxicity,
     "op10_secrets": _over("documents", secrets.secret_scan),
+    "op11_chat_repair": _over("conversations", chat_repair.repair_digests),
+    "op12_chat_format": _over("conversations", chat_format.chat_digests),
+    "op13_hard_negatives": _over("embeddings", hard_negatives.hard_negatives),
 }
