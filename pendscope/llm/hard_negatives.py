@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pendscope.llm.common import stored
+
 SCALE = 256  # fixed value
 LABELS = 10  # fixed value
 POSITIVES, NEGATIVES = 5, 3
@@ -236,6 +238,6 @@ def hard_negatives(table: DataFrame) -> DataFrame:
     rows = eligible(table)
     anchors = rows.filter("vec_id % 50 = 0").groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("a")).select(F.col("vec_id").alias("anchor_id"), "a.label", "a.v")
     grid = Grid.of(rows, anchors)
-    best = positives(rows, anchors, grid)
+    best = stored(positives(rows, anchors, grid), "positives")  # read twice: by the second scan, and joined to what it finds
     return best.join(negatives(rows, anchors, best, grid), ["anchor_id", "positive_score"]).selectExpr(
         "anchor_id", "positive_id", "int(rank) AS rank", "negative_id", "positive_score", "negative_score")
