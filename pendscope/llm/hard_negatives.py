@@ -152,12 +152,14 @@ def block_negatives(block: Block, label: int, anchor: np.ndarray, positives: lis
         return {}
     k = NEGATIVES + block.spare
 
+    # both ends of the windows rise with the positive, and so does what a row has to reach in them: the lowest window
+    # says what is too low for all, the highest what is too high
+    _, lowest, lowest_top = windows[0]
+    highest = windows[-1][2]
+
     def keep(partial: np.ndarray, low: float, high: float) -> np.ndarray:
-        kept = np.zeros(len(partial), dtype=bool)
-        for _, least, most in windows:
-            inside = partial[(partial >= least - low) & (partial <= most - high)]
-            kept |= (partial >= max(least, _reach(inside, k) + low) - high) & (partial <= most - low)
-        return kept
+        inside = partial[(partial >= lowest - low) & (partial <= lowest_top - high)]
+        return (partial >= max(lowest, _reach(inside, k) + low) - high) & (partial <= highest - low)
 
     places, scores = block.scan(anchor, alive, block.ends, keep)
     ids, found = block.ids[places], {}
