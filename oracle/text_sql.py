@@ -95,7 +95,7 @@ best AS (SELECT doc_id, [{", ".join(map(_literal, STATED_LABELS))}][list_positio
   1 / list_sum(list_transform(m, lambda x: exp(x - list_max(m)))) AS confidence FROM margins)
 SELECT doc_id, CASE WHEN confidence >= 0.55 THEN label ELSE 'needs_review' END AS label, round(confidence, 6) AS confidence FROM best"""
 
-STEP = """WITH notes AS (SELECT lang AS theme, coalesce(text, '') AS note, sha1(coalesce(text, '')) AS note_id, count(*) AS claims FROM documents
+WEIGHED = """notes AS MATERIALIZED (SELECT lang AS theme, coalesce(text, '') AS note, sha1(coalesce(text, '')) AS note_id, count(*) AS claims FROM documents
   WHERE lang IS NOT NULL AND lang <> 'needs_review' GROUP BY ALL),
 words AS (SELECT *, regexp_extract_all(lower(note), '[\\p{L}\\p{N}_]{2,}') AS words FROM notes),
 pairs AS (SELECT *, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS pairs FROM words),
@@ -105,21 +105,57 @@ common AS (SELECT theme, term, sum(claims) AS df FROM counts GROUP BY ALL HAVING
 sizes AS (SELECT theme, sum(claims) AS n_docs FROM notes GROUP BY theme),
 raw AS (SELECT theme, note_id, claims, term, (1 + ln(tf)) * (ln((1 + n_docs) / (1 + df)) + 1) AS raw
   FROM counts JOIN common USING (theme, term) JOIN sizes USING (theme)),
-weights AS (SELECT theme, note_id, claims, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY theme, note_id)) AS weight FROM raw),
-picks AS (SELECT theme, c, arg_min(note_id, md5(note_id || ':1:' || c)) AS note_id FROM notes, (SELECT unnest([0, 1]) AS c) GROUP BY ALL),
-centres AS (SELECT p.theme, p.c, w.term, w.weight AS v FROM picks p JOIN weights w USING (theme, note_id)),
-norms AS (SELECT p.theme, p.c, coalesce(sum(v * v), 0) AS norm FROM picks p LEFT JOIN centres USING (theme, c) GROUP BY ALL),
-dots AS (SELECT w.theme, w.note_id, c, sum(w.weight * v) AS dot FROM weights w JOIN centres USING (theme, term) GROUP BY ALL),
-square AS (SELECT theme, note_id, sum(weight * weight) AS square FROM weights GROUP BY ALL),
-gaps AS (SELECT n.theme, n.note_id, n.claims, m.c, greatest(0, round(coalesce(square, 0) + norm - 2 * coalesce(dot, 0), 9)) AS gap FROM notes n JOIN norms m USING (theme)
-  LEFT JOIN dots d ON d.theme = n.theme AND d.note_id = n.note_id AND d.c = m.c LEFT JOIN square s ON s.theme = n.theme AND s.note_id = n.note_id),
-labels AS (SELECT theme, note_id, claims, CASE WHEN max(gap) FILTER (WHERE c = 0) <= max(gap) FILTER (WHERE c = 1) THEN 0 ELSE 1 END AS c FROM gaps GROUP BY ALL),
-filled AS (SELECT theme, c, sum(claims) AS size FROM labels GROUP BY ALL),
-means AS (SELECT l.theme, l.c, w.term, sum(w.claims * weight) / any_value(size) AS v FROM weights w JOIN labels l USING (theme, note_id)
-  JOIN filled f ON f.theme = l.theme AND f.c = l.c GROUP BY ALL),
-lengths AS (SELECT theme, c, sum(v * v) AS length FROM means GROUP BY ALL)
-SELECT p.theme, p.c AS cluster, CAST(coalesce(size, 0) AS BIGINT) AS size, round(coalesce(length, CASE WHEN size IS NULL THEN norm ELSE 0 END), 6) AS length
-FROM norms p LEFT JOIN filled f USING (theme, c) LEFT JOIN lengths l USING (theme, c)"""
+weights AS MATERIALIZED (SELECT theme, note_id, claims, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY theme, note_id)) AS weight FROM raw),
+square AS MATERIALIZED (SELECT theme, note_id, sum(weight * weight) AS square FROM weights GROUP BY ALL)"""
+
+
+def _race(slot: int, d2: str) -> str:
+    draw = f"CAST('0x' || substr(md5(note_id || ':1:{slot}'), 1, 13) AS BIGINT)"
+    return f"arg_min(note_id, {{'a': {d2} <= 0, 'b': -ln(({draw} + 1) / 4503599627370496) / claims / CASE WHEN {d2} > 0 THEN {d2} ELSE 1 END, 'c': note_id}})"
+
+
+def _gaps(name: str, centres: str) -> str:
+    """(theme, note_id, claims, c, gap) of every note to every centre of (theme, c, term, v)."""
+    return f"""norms{name} AS (SELECT theme, c, sum(v * v) AS norm FROM {centres} GROUP BY ALL),
+dots{name} AS (SELECT w.theme, w.note_id, c, sum(w.weight * v) AS dot FROM weights w JOIN {centres} USING (theme, term) GROUP BY ALL),
+gaps{name} AS MATERIALIZED (SELECT n.theme, n.note_id, n.claims, m.c, greatest(0, round(coalesce(square, 0) + norm - 2 * coalesce(dot, 0), 9)) AS gap
+  FROM notes n JOIN norms{name} m USING (theme) LEFT JOIN dots{name} d ON d.theme = n.theme AND d.note_id = n.note_id AND d.c = m.c
+  LEFT JOIN square s ON s.theme = n.theme AND s.note_id = n.note_id)"""
+
+
+def _means(name: str, gaps: str) -> str:
+    return f"""labels{name} AS MATERIALIZED (SELECT theme, note_id, claims, CASE WHEN max(gap) FILTER (WHERE c = 0) <= max(gap) FILTER (WHERE c = 1) THEN 0 ELSE 1 END AS c
+  FROM {gaps} GROUP BY ALL),
+filled{name} AS (SELECT theme, c, sum(claims) AS size FROM labels{name} GROUP BY ALL),
+means{name} AS MATERIALIZED (SELECT l.theme, l.c, w.term, sum(w.claims * weight) / any_value(size) AS v FROM weights w JOIN labels{name} l USING (theme, note_id)
+  JOIN filled{name} f ON f.theme = l.theme AND f.c = l.c GROUP BY ALL)"""
+
+
+# both clusters keep notes in every round here, as a note is never nearer to another centre than to itself
+STEP = f"""WITH {WEIGHED},
+first AS (SELECT theme, 0 AS c, {_race(0, '1')} AS note_id FROM notes GROUP BY theme),
+start AS (SELECT p.theme, p.c, w.term, w.weight AS v FROM first p JOIN weights w USING (theme, note_id)),
+{_gaps('0', 'start')},
+second AS (SELECT theme, 1 AS c, {_race(1, 'gap')} AS note_id FROM gaps0 GROUP BY theme),
+seeds AS MATERIALIZED (SELECT * FROM start UNION ALL SELECT p.theme, p.c, w.term, w.weight FROM second p JOIN weights w USING (theme, note_id)),
+{_gaps('1', 'seeds')}, {_means('1', 'gaps1')}, {_gaps('2', 'means1')}, {_means('2', 'gaps2')},
+lengths AS (SELECT theme, c, sum(v * v) AS length FROM means2 GROUP BY ALL)
+SELECT theme, c AS cluster, CAST(size AS BIGINT) AS size, round(length, 6) AS length FROM filled2 JOIN lengths USING (theme, c)"""
+
+PHRASES = f"""WITH RECURSIVE {WEIGHED},
+members AS (SELECT theme, note_id, claims, theme || ':' || ascii(note_id) % 3 AS cluster_id FROM notes),
+per_term AS (SELECT w.theme, cluster_id, term, sum(weight * w.claims) AS total FROM weights w JOIN members USING (theme, note_id) GROUP BY ALL),
+overall AS (SELECT theme, term, sum(total) AS theme_total FROM per_term GROUP BY ALL),
+in_cluster AS (SELECT theme, cluster_id, sum(claims) AS cluster_claims FROM members GROUP BY ALL),
+scored AS MATERIALIZED (SELECT c.cluster_id, o.term, string_split(o.term, ' ') AS words, round(coalesce(total, 0) / cluster_claims - theme_total / n_docs, 9) AS lead
+  FROM overall o JOIN in_cluster c USING (theme) JOIN sizes USING (theme) LEFT JOIN per_term p ON p.cluster_id = c.cluster_id AND p.term = o.term AND p.theme = o.theme),
+chosen AS (
+  SELECT cluster_id, CAST([] AS VARCHAR[]) AS phrases FROM in_cluster
+  UNION ALL
+  SELECT c.cluster_id, list_append(any_value(c.phrases), arg_max(s.term, {{'l': s.lead, 't': s.term}})) FROM chosen c JOIN scored s ON s.cluster_id = c.cluster_id
+  WHERE len(c.phrases) < 4 AND len(list_filter(c.phrases, lambda p: list_has_all(s.words, string_split(p, ' ')) OR list_has_all(string_split(p, ' '), s.words))) = 0
+  GROUP BY c.cluster_id)
+SELECT cluster_id, array_to_string(arg_max(phrases, len(phrases)), '; ') AS key_phrases FROM chosen GROUP BY cluster_id"""
 
 MEMBERS = """WITH stated AS (SELECT lang AS theme, doc_id % 7 % 4 AS label, 1 + doc_id % 3 AS claims, text AS note, doc_id * 37 % 101 / 8 AS distance FROM documents),
 ranks AS (SELECT theme, label, CAST(sum(claims) AS BIGINT) AS claims, theme || ':' || row_number() OVER (PARTITION BY theme ORDER BY sum(claims) DESC, label) AS cluster_id
@@ -183,6 +219,7 @@ SELECT d.doc_id, d.lang, coalesce(s.split, 'unlabelled') AS split FROM documents
         "SELECT claim_id, status, pended, pend_code, CAST(billed_amount AS DOUBLE) AS billed_amount, pended AS has_theme, "
         f"(SELECT {day_text('last_day + 2')} FROM edge) AS as_of FROM claims WHERE received_date > last_day - {REBUILT_DAYS}"),
     "cluster_step": STEP,
+    "key_phrases": PHRASES,
     "cluster_relabel": MEMBERS + " SELECT theme, CAST(label AS INTEGER) AS label, cluster_id, claims FROM ranks",
     "cluster_examples": MEMBERS + """ SELECT cluster_id, r.theme, r.claims, (SELECT md5(arg_min(s.note, struct_pack(d := s.distance, n := s.note)))
   FROM stated s WHERE s.theme = r.theme AND s.label = r.label) AS example_md5 FROM ranks r""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.functions.text import doc_text_sql, pairs_sql, words_sql
+from pendscope.session import spread
 
 
 def doc_text(claims: DataFrame) -> DataFrame:
@@ -29,13 +30,21 @@ def runs_sql(sorted_terms: str) -> str:
     return f"transform(array({sorted_terms}), t -> {body})[0]"
 
 
-def term_counts(docs: DataFrame, key: Sequence[str], text: str = "text", stop_words: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
-    """(key, extra, term, tf) for the words and word pairs of each document.
+def counted_terms(docs: DataFrame, key: Sequence[str], text: str = "text", stop_words: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """(key, extra, counts): the words and word pairs of each document as one array of (term, tf), by term.
 
     A document is one row and its terms are sorted and counted inside it, so no text is shuffled and a sum per
     document that follows sends one row per document."""
-    terms = tokenise(docs.select(*key, *extra, text), text, stop_words).selectExpr(*key, *extra, "array_sort(concat(words, pairs)) AS terms")
-    return terms.selectExpr(*key, *extra, f"inline({runs_sql('terms')})")
+    terms = tokenise(spread(docs.select(*key, *extra, text)), text, stop_words).selectExpr(*key, *extra, "sort_array(concat(words, pairs)) AS terms")
+    return terms.selectExpr(*key, *extra, f"{runs_sql('terms')} AS counts")
+
+
+def term_counts(docs: DataFrame, key: Sequence[str], text: str = "text", stop_words: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """(key, extra, term, tf) for the words and word pairs of each document.
+
+    The outer form of ``inline`` keeps Spark from filtering on the size of the array first: that filter would work out
+    the whole expression a second time, below every projection and with its words once per place."""
+    return counted_terms(docs, key, text, stop_words, extra).selectExpr(*key, *extra, "inline_outer(counts)").filter("term IS NOT NULL")
 
 
 def vocabulary(counts: DataFrame, min_df: int, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pendscope.config import MIN_CONFIDENCE, NEEDS_REVIEW
 from pendscope.functions.text import doc_text_sql
-from pendscope.operators import scoring
 from pendscope.operators import cluster as clusters
+from pendscope.operators import kmeans, scoring
 from pendscope.operators.classify import TextModel, class_probabilities, classify, fit_classifier
 from pendscope.operators.routing import route_questions
 from pendscope.operators.sampling import label_split, labelled_sample
@@ -20,7 +20,7 @@ from pendscope.operators.scope import confidence_floor
 from pendscope.operators.terms import doc_text, term_counts, tfidf, tokenise, vocabulary
 from pendscope.plans.build import build, current_build, enrich_claims
 from pendscope.plans.reconcile import reconcile
-from pendscope.session import shared_folder
+from pendscope.session import cut_lineage, shared_folder, spread
 from pendscope.sources.adapter import claims_of
 from pendscope.sources.claims import read_claims
 from pendscope.sources.playbook import THEMES, playbook
@@ -39,7 +39,7 @@ COMMON_WORDS = ("the", "and", "of", "to", "in", "is", "it", "for", "on", "with",
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and pair counts of every document, with and without stop words, and a
     digest of the sequences."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     plain = tokenise(docs).selectExpr(
         "doc_id", "text", "size(words) AS n_words", "size(pairs) AS n_pairs", "md5(concat_ws(' ', words)) AS words_md5",
         "md5(concat_ws('|', pairs)) AS pairs_md5")
@@ -193,17 +193,31 @@ def cluster_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir).catalogue
 
 
+def _plain_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(clusters.weigh(clusters.distinct_notes(_notes(spark, sf_dir), "theme", "adjuster_note"), stop_words=()))
+
+
 def cluster_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One round of the fit from its start: sizes and squared lengths of two clusters per theme."""
-    notes = clusters.distinct_notes(_notes(spark, sf_dir), "theme", "adjuster_note")
-    weights, runs = clusters.weigh(notes, stop_words=()), clusters.Runs.of((2,), 1)
-    start = clusters.start_centres(notes, weights, runs, 1)
-    assigned = clusters.assign_notes(notes, weights, start, runs)
-    moved = clusters.average(weights, assigned, start, runs).groupBy("theme").agg(F.expr("array(sum(v[0] * v[0]), sum(v[1] * v[1])) AS lengths"))
-    rows = clusters.slot_sizes(assigned, runs).join(moved, "theme").selectExpr("theme", "lengths", "posexplode(sizes) AS (cluster, size)")
+    """Two rounds of the fit by joins, the second under bounds: sizes and squared lengths of two clusters per theme."""
+    vectors, runs = _plain_vectors(spark, sf_dir), kmeans.Runs.of((2,), 1)
+    start = cut_lineage(kmeans.start_centres(vectors, runs, 1))
+    state = cut_lineage(kmeans.nearest(kmeans.pairs(vectors, runs), vectors, start, 2))
+    moved = cut_lineage(kmeans.average(vectors, state, start, 2))
+    centres = moved.drop("old")
+    state = kmeans.reassign(state, kmeans.moves(moved, 2), vectors, centres, 2)
+    again = kmeans.average(vectors, state, centres, 2).groupBy("theme").agg(F.expr("array(sum(v[0] * v[0]), sum(v[1] * v[1])) AS lengths"))
+    sizes = state.groupBy("theme").agg(F.expr("array(sum(if(label = 0, claims, 0)), sum(if(label = 1, claims, 0))) AS sizes"))
+    rows = sizes.join(again, "theme").selectExpr("theme", "lengths", "posexplode(sizes) AS (cluster, size)")
     return rows.selectExpr("theme", "cluster", "size", "round(lengths[cluster], 6) AS length")
 
 
+def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key phrases of clusters stated by formula: three per language, by the notes' digests."""
+    vectors = _plain_vectors(spark, sf_dir)
+    members = vectors.selectExpr("theme", "note_id", "claims", "concat(theme, ':', ascii(note_id) % 3) AS cluster_id")
+    return clusters.key_phrases(vectors, members).withColumn("key_phrases", F.concat_ws("; ", "key_phrases"))
+
+
 def _stated_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a cluster and a distance stated by formula."""
     return clusters.relabel(table(spark, sf_dir, "documents").selectExpr(
@@ -275,6 +289,7 @@ TEXT_QUERIES = {
     "cluster": clustered,
     "cluster_catalogue": cluster_catalogue,
     "cluster_step": cluster_step,
+    "key_phrases": key_phrases,
     "cluster_relabel": cluster_relabel,
     "cluster_examples": cluster_examples,
     "score_documents": scored_documents,

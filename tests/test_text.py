@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from conftest import SF_DIR
 from pendscope.functions.text import doc_text_sql, english_stop_words
 from pendscope.operators import cluster as clusters
+from pendscope.operators import kmeans
 from pendscope.operators import scoring
 from pendscope.operators.classify import TextModel, classify, fit_classifier
 from pendscope.operators.cluster import assign, cluster, pick_k
@@ -170,15 +171,19 @@ def test_run_scores_against_all_pairs(spark):
     texts = [" ".join(rng.choice([f"{side}{j}" for j in range(6)], 4)) for side in ("a", "b", "c") for _ in range(12)]
     claims = spark.createDataFrame([("t", text) for text in texts], "theme string, adjuster_note string")
     notes = clusters.distinct_notes(claims, "theme", "adjuster_note").persist()
-    weights, runs = clusters.weigh(notes, 1, ()).persist(), clusters.Runs.of((2, 3), 2)
-    centres, rounds = clusters.k_means(notes, weights, runs)
-    assigned = clusters.assign_notes(notes, weights, centres, runs).orderBy("note_id").collect()
-    assert rounds < 50
-    terms = {term: i for i, term in enumerate(sorted({r["term"] for r in weights.collect()}))}
+    vectors, runs = clusters.weigh(notes, 1, ()).persist(), kmeans.Runs.of((2, 3), 2)
+    found = kmeans.fit(vectors, runs).persist()
+    assigned = [dict(r.asDict(), labels=[]) for r in found.filter("run = 0").orderBy("note_id").collect()]
+    for run in range(4):
+        for row, r in zip(assigned, found.filter(f"run = {run}").orderBy("note_id").collect()):
+            row["labels"].append(r["label"])
+    assert found.agg({"rounds": "max"}).first()[0] < 50
+    terms = {term: i for i, term in enumerate(sorted({t for r in vectors.collect() for t in r["terms"]}))}
     x = {r["note_id"]: np.zeros(len(terms)) for r in assigned}
-    for r in weights.collect():
-        x[r["note_id"]][terms[r["term"]]] = r["weight"]
-    scores = {r["run"]: r for r in clusters.run_scores(clusters.assign_notes(notes, weights, centres, runs), runs).collect()}
+    for r in vectors.collect():
+        for term, weight in zip(r["terms"], r["ws"]):
+            x[r["note_id"]][terms[term]] = weight
+    scores = {r["run"]: r for r in kmeans.run_scores(found).collect()}
     copies = [r["claims"] for r in assigned]
     points = np.repeat(np.stack([x[r["note_id"]] for r in assigned]), copies, axis=0)
     for run in range(4):
