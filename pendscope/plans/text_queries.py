@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from datetime import timedelta
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from pendscope.config import MIN_CONFIDENCE, NEEDS_REVIEW
 from pendscope.functions.text import doc_text_sql
 from pendscope.operators import cluster as clusters
 from pendscope.operators import kmeans, scoring
-from pendscope.operators.classify import TextModel, class_probabilities, classify, fit_classifier
+from pendscope.operators.classify import TERM_SCHEMA, TOLERANCE, TextModel, certificate, class_probabilities, classify, fit_classifier
 from pendscope.operators.routing import route_questions
 from pendscope.operators.sampling import label_split, labelled_sample
 from pendscope.operators.scope import confidence_floor
@@ -158,6 +157,15 @@ def classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, "doc_id", "text", model).withColumnRenamed("theme", "lang")
 
 
+def fit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof of the language model: it is stored, read back, and no entry of the gradient of its loss is over the tolerance."""
+    sample = cut_lineage(labelled_sample(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "lang"))
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    fit_classifier(sample, "doc_id", "text", "lang").save(spark, path)
+    found = certificate(sample, "doc_id", "text", "lang", TextModel.load(spark, path))
+    return found.selectExpr("documents", "labels", "terms", f"largest <= {TOLERANCE} AS proven")
+
+
 # a model stated by formula over COMMON_WORDS, so that scoring alone can be checked
 STATED_LABELS = ("it's", "b", "c")
 STATED_BIAS = (0.25, -0.5, 0.125)
@@ -169,8 +177,8 @@ def stated_term(i: int) -> tuple[str, float, list[float]]:
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeliest label and its probability, left for review below the floor, under a stated model."""
-    words, idf, coefs = zip(*map(stated_term, range(len(COMMON_WORDS))))
-    model = TextModel(STATED_LABELS, STATED_BIAS, pa.table({"term": list(words), "idf": list(idf), "coefs": list(coefs)}))
+    terms = spark.createDataFrame([stated_term(i) for i in range(len(COMMON_WORDS))], TERM_SCHEMA)
+    model = TextModel(STATED_LABELS, STATED_BIAS, terms, len(COMMON_WORDS))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = confidence_floor(class_probabilities(docs, "doc_id", "text", model), MIN_CONFIDENCE, NEEDS_REVIEW)
     return found.selectExpr("doc_id", "theme AS label", "round(confidence, 6) AS confidence")
@@ -292,6 +300,7 @@ TEXT_QUERIES = {
     "key_phrases": key_phrases,
     "cluster_relabel": cluster_relabel,
     "cluster_examples": cluster_examples,
+    "fit_check": fit_check,
     "score_documents": scored_documents,
     "rebuild_window": rebuilt_window,
     "rebuild_span": rebuilt_span,
