@@ -223,6 +223,14 @@ SELECT (SELECT count(*) FROM sample) AS documents, (SELECT CAST(count(DISTINCT l
     "rebuild_window": with_claims(
         "SELECT claim_id, status, pended, pend_code, CAST(billed_amount AS DOUBLE) AS billed_amount, pended AS has_theme, "
         f"(SELECT {day_text('last_day + 2')} FROM edge) AS as_of FROM claims WHERE received_date > last_day - {REBUILT_DAYS}"),
+    "rebuild_span_plain": with_claims(
+        "SELECT claim_id, status, pended, pend_code, CAST(billed_amount AS DOUBLE) AS billed_amount, pended AS has_theme, "
+        f"(SELECT {day_text('last_day + 2')} FROM edge) AS as_of FROM claims"),
+    "rebuild_changed_day": with_claims(
+        "SELECT claim_id, CASE WHEN changed AND CAST(substr(claim_id, 4) AS BIGINT) % 2 = 0 THEN 'Denied' ELSE status END AS status, pended, pend_code, "
+        "CAST(billed_amount AS DOUBLE) + CASE WHEN changed THEN 1 ELSE 0 END AS billed_amount, pended AS has_theme, "
+        f"(SELECT {day_text('last_day + 2')} FROM edge) AS as_of FROM (SELECT *, received_date = last_day - 10 AS changed FROM claims "
+        f"WHERE received_date > last_day - {REBUILT_DAYS})"),
     "cluster_step": STEP,
     "key_phrases": PHRASES,
     "cluster_relabel": MEMBERS + " SELECT theme, CAST(label AS INTEGER) AS label, cluster_id, claims FROM ranks",

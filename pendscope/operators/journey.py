@@ -15,7 +15,6 @@ def journey_stages(claims: DataFrame) -> DataFrame:
     """One row per stage. All stages come from one pass that yields a single row of
     sums, which is then laid out as four rows."""
     sums = {"all_pended": "count_if(pended)", "all_pend_s": "sum(if(pended, pend_s, NULL))"}
-    layout = []
     for i, stage in enumerate(STAGE_ORDER):
         here = f"pended AND pend_stage = '{stage}'"
         sums |= {
@@ -25,7 +24,12 @@ def journey_stages(claims: DataFrame) -> DataFrame:
             f"here{i}": mean_days_sql(f"{stage}_s", here),
             f"held{i}": mean_days_sql(f"{stage}_s", "pended"),
         }
-        layout.append(f"'{stage}', n{i}, s{i}, clean{i}, here{i}, held{i}")
+    return stage_table(claims, sums)
+
+
+def stage_table(claims: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """The stages from their sums, given as SQL text: n, s, clean, here and held of each, and the totals."""
+    layout = [f"'{stage}', n{i}, s{i}, clean{i}, here{i}, held{i}" for i, stage in enumerate(STAGE_ORDER)]
     rows = claims.agg(*aggregates(sums)).selectExpr(
         "all_pended", "all_pend_s",
         f"stack({len(STAGE_ORDER)}, {', '.join(layout)}) AS "

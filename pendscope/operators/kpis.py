@@ -13,7 +13,7 @@ from pendscope.sources.playbook import REVIEW, THEMES
 def kpis(claims: DataFrame, sla_days: int = SLA_DAYS) -> DataFrame:
     """One row. Averages of turnaround cover finished claims only."""
     waiting = "pended AND released_ts IS NULL"
-    row = claims.agg(*aggregates({
+    return kpi_row(claims, {
         "claims": "count(*)",
         "pended": "count_if(pended)",
         "pended_rate": share_sql("count_if(pended)", "count(*)"),
@@ -27,7 +27,12 @@ def kpis(claims: DataFrame, sla_days: int = SLA_DAYS) -> DataFrame:
         "over_target_pended_share": share_sql("count_if(over_target AND pended)", "count_if(over_target)"),
         "open_pended": f"count_if({waiting})",
         "open_pended_billed": f"coalesce(sum(if({waiting}, billed_amount, NULL)), 0)",
-    })).withColumn("target_days", F.lit(sla_days))
+    }, sla_days)
+
+
+def kpi_row(rows: DataFrame, sums: dict[str, str], sla_days: int = SLA_DAYS) -> DataFrame:
+    """The figures given as SQL text, rounded as they are shown."""
+    row = rows.agg(*aggregates(sums)).withColumn("target_days", F.lit(sla_days))
     rates = dict.fromkeys(("pended_rate", "first_pass_rate", "over_target_pended_share"), 4)
     averages = dict.fromkeys(("avg_days_clean", "avg_days_pended", "avg_pend_days"), 1)
     return round_to(row, rates | averages | {"pend_days_total": 0, "open_pended_billed": 0})

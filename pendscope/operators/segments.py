@@ -25,7 +25,11 @@ def segment_counts(claims: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENS
     Claims are first counted per combination of all dimensions, in one pass; only
     those few combinations are laid out per dimension. ``dim_ord`` -1 is the whole scope."""
     theme = F.expr("if(pended, theme, NULL)").alias("theme")
-    combos = claims.groupBy(theme, *map(_dimension, dimensions)).agg(F.count("*").alias("n"))
+    return lay_out(claims.groupBy(theme, *map(_dimension, dimensions)).agg(F.count("*").alias("n")), dimensions)
+
+
+def lay_out(combos: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """:func:`segment_counts` from the counted combinations of theme and dimensions."""
     layout = [f"named_struct('dim_ord', {i}, 'dimension', '{d}', 'value', cast({d} AS string))" for i, d in enumerate(dimensions)]
     whole = "named_struct('dim_ord', -1, 'dimension', '', 'value', '')"
     long = combos.selectExpr("theme", "n", f"inline(array({', '.join([whole, *layout])}))")
@@ -35,7 +39,11 @@ def segment_counts(claims: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENS
 def segment_rates(claims: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSIONS, theme: str | None = None) -> DataFrame:
     """Held claims per 1,000 received for every theme and segment value, with the
     index against the theme's overall rate. Values never hit by a theme show zero."""
-    counts = segment_counts(claims, dimensions)
+    return rates_of(segment_counts(claims, dimensions), theme)
+
+
+def rates_of(counts: DataFrame, theme: str | None = None) -> DataFrame:
+    """:func:`segment_rates` from :func:`segment_counts`."""
     hit = F.when(F.col("theme").isNotNull(), F.struct("theme", "n"))
     values = counts.groupBy("dim_ord", "dimension", "value").agg(
         F.sum("n").alias("received"), F.map_from_entries(F.array_compact(F.collect_list(hit))).alias("hits"))
@@ -59,8 +67,12 @@ def segment_rates(claims: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSI
 
 def theme_segments(claims: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSIONS, theme: str | None = None) -> DataFrame:
     """Segment rates as reported, highest rate first within theme and dimension."""
+    return segment_table(segment_counts(claims, dimensions), theme)
+
+
+def segment_table(counts: DataFrame, theme: str | None = None) -> DataFrame:
     return (
-        segment_rates(claims, dimensions, theme)
+        rates_of(counts, theme)
         .orderBy("theme", "dim_ord", F.desc("per_1000"), "value")
         .select("theme", "dimension", "value", "claims_received", "pended", "per_1000", "index")
     )

@@ -85,8 +85,12 @@ THEME_TABLE_COLUMNS = (
 
 def theme_table(claims: DataFrame) -> DataFrame:
     """One row per theme, most days lost first."""
-    holds = per_hold(claims)
-    table = theme_figures(claims, holds).join(F.broadcast(hold_quantile(holds)), "theme", "left")
+    return theme_table_of(per_hold(claims))
+
+
+def theme_table_of(holds: DataFrame) -> DataFrame:
+    """:func:`theme_table` from sums as of :func:`per_hold`."""
+    table = theme_figures(holds, holds).join(F.broadcast(hold_quantile(holds)), "theme", "left")
     return (
         table.withColumns({"key": F.col("theme"), "median_pend_days": rounded("quantile / 86400D", 1)})
         .select(*THEME_TABLE_COLUMNS)

@@ -18,6 +18,11 @@ def daily_overview(claims: DataFrame) -> DataFrame:
     """Received and pended per day; the rate is null on a day without claims."""
     counts = exclude_null(claims, "received_date").groupBy("received_date").agg(
         F.count("*").alias("received"), F.count_if("pended").alias("pended"))
+    return fill_overview(counts)
+
+
+def fill_overview(counts: DataFrame) -> DataFrame:
+    """Every day from the first to the last of ``counts`` (received_date, received, pended)."""
     bounds = counts.agg(F.min("received_date").alias("lo"), F.max("received_date").alias("hi"))
     spine = bounds.select(F.explode(F.sequence("lo", "hi")).alias("received_date"))
     filled = spine.join(counts, "received_date", "left").fillna(0, ["received", "pended"])
@@ -30,7 +35,7 @@ def _day_counts(claims: DataFrame, key: str) -> DataFrame:
     return exclude_null(claims, "received_date").groupBy("received_date", held).agg(F.count("*").alias("n"))
 
 
-def _fill(counts: DataFrame) -> DataFrame:
+def fill_days(counts: DataFrame) -> DataFrame:
     """Every key on every day between the first and the last day of all rows, in one pass over the counts. They are one row per
     day and key, so a key's days are a map in one row."""
     everywhere = Window.partitionBy()
@@ -46,11 +51,11 @@ def _fill(counts: DataFrame) -> DataFrame:
 
 def daily_by_theme(claims: DataFrame) -> DataFrame:
     """Pended claims per day for every theme seen in the scope."""
-    return _fill(_day_counts(claims, "theme"))
+    return fill_days(_day_counts(claims, "theme"))
 
 
 def daily_by_stage(claims: DataFrame) -> DataFrame:
     """Pended claims per day for each of the four stages, also for one without any."""
     stages = claims.sparkSession.range(1).select(
         F.lit(None).cast("date").alias("received_date"), F.explode(F.array(*map(F.lit, STAGE_ORDER))).alias("key"), F.lit(0).cast("long").alias("n"))
-    return _fill(_day_counts(claims, "pend_stage").unionByName(stages))
+    return fill_days(_day_counts(claims, "pend_stage").unionByName(stages))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pendscope.config import AS_OF_LAG_DAYS, LABELLED_SAMPLE, MIN_CONFIDENCE, check_window
 from pendscope.functions.text import doc_text_sql
-from pendscope.operators.classify import classify, fit_classifier
+from pendscope.operators.classify import TextModel, classify, fit_classifier
 from pendscope.operators.cluster import RESTARTS, Clusters, assign, cluster
 from pendscope.operators.sampling import labelled_sample
 from pendscope.operators.scope import Scope, require_rows, scope
@@ -28,12 +28,14 @@ from pendscope.sources.playbook import THEMES, playbook
 
 DEFAULT_SEED = 1
 POINTER = "folder string, built_at long"
+VERSIONED = POINTER + ", version int"  # of the manifest; 0 where a pointer has none
 
 
 @dataclass(frozen=True)
 class Built:
     enriched: DataFrame
     clusters: Clusters
+    model: TextModel
     reports: dict[str, DataFrame]
 
 
@@ -81,7 +83,7 @@ def analyse(claims: DataFrame, sample_size: int = LABELLED_SAMPLE, floor: float
         "clustering_quality": quality,
         "clusters": found.catalogue,
     }
-    return Built(enriched, found, reports)
+    return Built(enriched, found, final, reports)
 
 
 def build(spark: SparkSession, claims: DataFrame, out: str, start: date, end: date, seed: int = DEFAULT_SEED,
@@ -96,19 +98,75 @@ def build(spark: SparkSession, claims: DataFrame, out: str, start: date, end: da
     stored = spark.read.schema(raw.schema).parquet(f"{folder}/claims")
     done = analyse(stored, seed=seed, restarts=restarts)
     write_claims(done.enriched, f"{folder}/claims_enriched")
+    # what an update of single days starts from
+    done.model.save(spark, f"{folder}/model")
+    done.clusters.members.select("theme", "note", "cluster_id").write.parquet(f"{folder}/members")
+    day_digests(stored).write.parquet(f"{folder}/manifest/0")
     for name, report in done.reports.items():
         report.write.mode("overwrite").parquet(f"{folder}/report/{name}")
     as_of = end + timedelta(days=AS_OF_LAG_DAYS)
     seconds = round(time.monotonic() - began, 1)
     spark.createDataFrame([(start, end, as_of, seed, seconds)], "start date, end date, as_of date, seed long, build_seconds double"
                           ).write.mode("overwrite").parquet(f"{folder}/report/window")
-    # a pointer is added and none is replaced, so a reader always finds a complete one
-    spark.createDataFrame([(folder, time.time_ns())], POINTER).coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
+    _point_to(spark, out, folder, 0)
     return folder
 
 
-def current_build(spark: SparkSession, out: str) -> str:
-    """Folder of the build that readers should use."""
-    return spark.read.schema(POINTER).json(f"{out.rstrip('/')}/current").agg(F.max_by("folder", "built_at")).first()[0]
+def _point_to(spark: SparkSession, out: str, folder: str, version: int) -> None:
+    """A pointer is added and none is replaced, so a reader always finds a complete one."""
+    spark.createDataFrame([(folder, time.time_ns(), version)], VERSIONED).coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
+
+
+def day_digests(claims: DataFrame) -> DataFrame:
+    """(received_date, n, digest): one row per day that changes with any of its claims, in whatever order they are read."""
+    columns = [F.col(name).cast("string") for name in CLAIMS_SCHEMA.fieldNames()]
+    whole = F.xxhash64(*columns).cast("decimal(38,0)")
+    return claims.groupBy("received_date").agg(F.count("*").alias("n"), F.sum(whole).cast("string").alias("digest"))
+
+
+def update_build(spark: SparkSession, claims: DataFrame, out: str) -> list[date]:
+    """Brings the current build up to date with ``claims`` and returns the days that had changed: days whose digest differs
+    from the manifest's are classified with the stored model and written over their partitions, all other files stay as
+    they are. Notes that were clustered keep their cluster; one never seen gets none until the next build. The manifest
+    is written next and the pointer last, so an update that breaks off is found again by the next one."""
+    folder, version = _current(spark, out)
+    start, end = spark.read.parquet(f"{folder}/report/window").select("start", "end").first()
+    raw = scope(claims, Scope(start, end)).select(*CLAIMS_SCHEMA.fieldNames(), "received_date")
+    now = cut_lineage(day_digests(raw))
+    before = spark.read.parquet(f"{folder}/manifest/{version}")
+    compared = now.alias("a").join(before.alias("b"), "received_date", "full")
+    # days of a window
+    changed = {row["received_date"]: row["n"] for row in compared.filter("NOT (a.digest <=> b.digest AND a.n <=> b.n)").select("received_date", "a.n").collect()}
+    if not changed:
+        return []
+    parts = raw.filter(F.col("received_date").isin(list(changed)))
+    write_claims(parts, f"{folder}/claims")
+    parts = spark.read.schema(raw.schema).parquet(f"{folder}/claims").filter(F.col("received_date").isin(list(changed)))
+    held = parts.filter("pended").select("claim_id", "adjuster_note", F.expr(f"{doc_text_sql()} AS text"))
+    predicted = cut_lineage(classify(held, "claim_id", "text", TextModel.load(spark, f"{folder}/model")))
+    members = spark.read.parquet(f"{folder}/members")
+    ids = assign(held.join(predicted, "claim_id"), Clusters(members, members, 0))
+    write_claims(enrich_claims(parts, predicted, ids), f"{folder}/claims_enriched")
+    for day, n in changed.items():
+        if n is None:
+            _drop_day(spark, folder, day)
+    now.write.parquet(f"{folder}/manifest/{version + 1}")
+    _point_to(spark, out, folder, version + 1)
+    return sorted(changed)
+
+
+def _drop_day(spark: SparkSession, folder: str, day: date) -> None:
+    """Removes the partitions of a day that has no claims any more."""
+    for name in ("claims", "claims_enriched"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/received_date={day}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _current(spark: SparkSession, out: str) -> tuple[str, int]:
+    row = spark.read.schema(VERSIONED).json(f"{out.rstrip('/')}/current").agg(F.max_by(F.struct("folder", "version"), "built_at").alias("p")).first()["p"]
+    return row["folder"], row["version"] or 0
 
 
+def current_build(spark: SparkSession, out: str) -> str:
+    """Folder of the build that readers should use."""
+    return _current(spark, out)[0]

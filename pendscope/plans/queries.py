@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from pendscope.functions.columns import rounded
 from pendscope.config import RANK_METRICS, STAGE_ORDER
-from pendscope.operators import browse, emerging, findings, interventions, journey, kpis, segments, themes, trends
+from pendscope.operators import browse, cube, emerging, findings, interventions, journey, kpis, segments, themes, trends
 from pendscope.operators.scope import Scope, scope
 from pendscope.plans.text_queries import TEXT_QUERIES
+from pendscope.session import shared_folder
 from pendscope.sources.adapter import claims_of
 from pendscope.sources.playbook import playbook
 from pendscope.sources.tables import table
@@ -104,4 +106,19 @@ CLAIM_QUERIES: dict[str, Query] = {
     "claim_stage_days": _over_claims(browse.claim_stage_days),
 }
 
-QUERIES: dict[str, Query] = {**CLAIM_QUERIES, **TEXT_QUERIES}
+def _from_cube(output: Callable[[DataFrame], DataFrame]) -> Query:
+    """The cube is written, read back and asked."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/cube-{uuid.uuid4().hex}"
+        cube.write_cube(claims_of(spark, sf_dir, claim_type=True), path)
+        rows = cube.read_cube(spark, path)
+        return output(cube.at(rows, cube.as_of(rows)))
+
+    return query
+
+
+CUBE_QUERIES: dict[str, Query] = {
+    "cube_kpis": _from_cube(cube.kpis_of), "cube_themes": _from_cube(cube.themes_of), "cube_segments": _from_cube(cube.segments_of),
+    "cube_stages": _from_cube(cube.stages_of), "cube_daily": _from_cube(cube.daily_of), "cube_daily_themes": _from_cube(cube.daily_themes_of),
+}
+QUERIES: dict[str, Query] = {**CLAIM_QUERIES, **CUBE_QUERIES, **TEXT_QUERIES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pendscope.operators.routing import route_questions
 from pendscope.operators.sampling import label_split, labelled_sample
 from pendscope.operators.scope import confidence_floor
 from pendscope.operators.terms import doc_text, term_counts, tfidf, tokenise, vocabulary
-from pendscope.plans.build import build, current_build, enrich_claims
+from pendscope.plans.build import build, current_build, enrich_claims, update_build
 from pendscope.plans.reconcile import reconcile
 from pendscope.session import cut_lineage, shared_folder, spread
 from pendscope.sources.adapter import claims_of
@@ -243,15 +243,29 @@ def cluster_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 REBUILT_DAYS = 90
 
 
-def _rebuilt(spark: SparkSession, sf_dir: str, days: int | None) -> tuple[str, DataFrame]:
-    """Folder and raw claims of a build over the latest days (all with None) that is current then."""
+def _built(spark: SparkSession, sf_dir: str, days: int | None) -> tuple[DataFrame, str, date]:
+    """The claims, the place of a build over their latest days (all with None), and the last day."""
     claims = claims_of(spark, sf_dir, claim_type=True, notes=True)
     day = F.expr("cast(o_orderdate AS date)")
     first, last = table(spark, sf_dir, "orders").agg(F.min(day), F.max(day)).first()
     out = f"{shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
     build(spark, claims, out, first if days is None else last - timedelta(days=days - 1), last)
-    folder = current_build(spark, out)
-    return folder, read_claims(spark, f"{folder}/claims", enriched=False).select("claim_id", "status", "pended", "pend_code", "billed_amount")
+    return claims, out, last
+
+
+def _raw_of(spark: SparkSession, folder: str) -> DataFrame:
+    return read_claims(spark, f"{folder}/claims", enriched=False).select("claim_id", "status", "pended", "pend_code", "billed_amount")
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, days: int | None) -> tuple[str, DataFrame]:
+    """Folder and raw claims of a build that is current then."""
+    folder = current_build(spark, _built(spark, sf_dir, days)[1])
+    return folder, _raw_of(spark, folder)
+
+
+def _plain_columns(spark: SparkSession, folder: str, raw: DataFrame) -> DataFrame:
+    found = read_claims(spark, f"{folder}/claims_enriched").selectExpr("claim_id", "theme IS NOT NULL AS has_theme")
+    return _with_as_of(spark, folder, raw.join(found, "claim_id"))
 
 
 def _with_as_of(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
@@ -261,9 +275,25 @@ def _with_as_of(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
 
 def rebuilt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest days through the whole build, in the plain columns that SQL can check; ``rebuilt_span`` is the whole."""
-    folder, raw = _rebuilt(spark, sf_dir, REBUILT_DAYS)
-    found = read_claims(spark, f"{folder}/claims_enriched").selectExpr("claim_id", "theme IS NOT NULL AS has_theme")
-    return _with_as_of(spark, folder, raw.join(found, "claim_id"))
+    return _plain_columns(spark, *_rebuilt(spark, sf_dir, REBUILT_DAYS))
+
+
+def rebuilt_span_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days through the whole build, in the columns that SQL can check."""
+    return _plain_columns(spark, *_rebuilt(spark, sf_dir, None))
+
+
+def rebuilt_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build of the latest days that is brought up to date after the claims of one day, ten days before the last, have
+    changed: their bills rise by one, and half of them are denied."""
+    claims, out, last = _built(spark, sf_dir, REBUILT_DAYS)
+    day = F.col("received_date") == F.lit(last - timedelta(days=10))
+    changed = claims.withColumns({
+        "billed_amount": F.when(day, F.expr("cast(billed_amount + 1 AS decimal(12,2))")).otherwise(F.col("billed_amount")),
+        "status": F.when(day & F.expr("int(substr(claim_id, 4)) % 2 = 0"), "Denied").otherwise(F.col("status"))})
+    assert update_build(spark, changed, out) == [last - timedelta(days=10)]
+    folder = current_build(spark, out)
+    return _plain_columns(spark, folder, _raw_of(spark, folder))
 
 
 def rebuilt_span(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,5 +334,7 @@ TEXT_QUERIES = {
     "score_documents": scored_documents,
     "rebuild_window": rebuilt_window,
     "rebuild_span": rebuilt_span,
+    "rebuild_span_plain": rebuilt_span_plain,
+    "rebuild_changed_day": rebuilt_day,
 }
 
