@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import chain
 from zlib import crc32
 
@@ -57,9 +58,14 @@ class Words(dict):
         return np.fromiter(chain.from_iterable(map(features_of, new)), np.int64, PER_WORD * len(new)).reshape(-1, PER_WORD)
 
 
+def lower(text: str | None) -> str:
+    """Lower case, letter by letter: the one letter that would become two is replaced first, so that places stay places of the text."""
+    return (text or "").replace("\u0130", "i").lower()
+
+
 def read(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all words in turn, and the number of words of each text."""
-    split = [_WORD.findall((text or "").lower()) for text in texts]
+    split = [_WORD.findall(lower(text)) for text in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     return np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes
 
@@ -108,6 +114,9 @@ class Model:
     step: np.ndarray  # transition weights [from, to]
     document: np.ndarray  # bias, largest marginal, log of 1 + sum
 
+    def digest(self) -> str:
+        return blake2b(b"".join(np.ascontiguousarray(part).tobytes() for part in (self.weights, self.step, self.document))).hexdigest()
+
     def emission(self, features: np.ndarray) -> np.ndarray:
         return np.exp(np.clip(self.weights[features].sum(axis=1), -30, 30))
 
@@ -226,27 +235,27 @@ class Scorer:
 
 
 def spans_over_half(text: str | None, p: np.ndarray) -> list[str]:
-    return [f"{m.start()}:{m.end()}" for m, v in zip(_WORD.finditer((text or "").lower()), p) if v >= 0.5] if (p >= 0.5).any() else []
+    return [f"{m.start()}:{m.end()}" for m, v in zip(_WORD.finditer(lower(text)), p) if v >= 0.5] if (p >= 0.5).any() else []
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}  # by the model's digest: workers outlive jobs
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``spans`` (start:end of offending words in the lower-cased text, comma-joined).
+    """``docs`` with ``score`` (0 to 1) and ``spans`` (start:end of offending words in the text, comma-joined).
 
     Null and empty texts have no words and get the score of no evidence; equal texts have equal scores; columns of these
     names are replaced. Rows are scored one by one, nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    number = id(shared)
+    name = model.digest()
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.StringType())])
 
     @F.pandas_udf(kind)
     def judge(texts: pd.Series) -> pd.DataFrame:
-        if number not in _SCORERS:
+        if name not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[number] = Scorer(shared.value)
-        scorer, scores, spans, group, size = _SCORERS[number], [], [], [], 0
+            _SCORERS[name] = Scorer(shared.value)
+        scorer, scores, spans, group, size = _SCORERS[name], [], [], [], 0
         for k, text in enumerate(texts):
             group.append(text)
             size += len(text or "")
