@@ -5,24 +5,20 @@ grams the smallest is kept, the rightmost one where several are equal, with its
 of ``WINDOW + GRAM - 1`` units share a kept hash; nothing shorter than a gram is ever matched.
 
 Units are words of up to sixteen characters and the single characters of longer runs without white space, so the units
-of a passage do not depend on what stands before it. Texts shorter than ``SHORT`` characters have few words, so they are
-also fingerprinted over single characters, and two texts that both have that finer fingerprint are compared by it. Everything is SQL functions."""
+of a passage do not depend on what stands before it. All texts, short or long, have the same kind of marks, dense enough
+(two in ``WINDOW + 1`` grams) that a few sentences have several. Everything is SQL functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pendscope.llm.common import SPACE
+from pendscope.llm.common import SPACE, broadcast_if_small
 
-GRAM = 5
-WINDOW = 16
-CHAR_GRAM = 8
-CHAR_WINDOW = 8
-SHORT = 1000
+GRAM = 4
+WINDOW = 5
 PLACE = 2147483647  # a mark is 32 bits of hash, then PLACE - place: the least mark is the rightmost least hash
 SEGMENTS = 64
-BUCKETS_PER_SEGMENT = 512
 ROWS_PER_BUCKET = 256
 _UNIT = f"(?<![^{SPACE}])[^{SPACE}]{{1,16}}(?![^{SPACE}])|[^{SPACE}]".replace("\\", "\\\\")
 
@@ -43,25 +39,20 @@ def marks(units: str, gram: int, window: int) -> str:
     return bound(hashed, "h", f"if(size(h) = 0, cast(array() AS array<bigint>), {bound(keys, 'g', kept)})")
 
 
-def fingerprint_sql(text: str) -> tuple[str, str]:
-    """SQL for the marks over words and, null for longer texts, over characters."""
-    fine = marks(f"split({text}, '')", CHAR_GRAM, CHAR_WINDOW)
-    return (marks(f"regexp_extract_all({text}, '{_UNIT}', 0)", GRAM, WINDOW),
-            f"if(length({text}) < {SHORT}, if({text} = '', cast(array() AS array<bigint>), {fine}), null)")
+def fingerprint_sql(text: str) -> str:
+    """SQL for the marks of a text."""
+    return marks(f"regexp_extract_all({text}, '{_UNIT}', 0)", GRAM, WINDOW)
 
 
-def likeness(words_a: str, words_b: str, chars_a: str, chars_b: str) -> str:
-    """SQL for the Jaccard likeness of two fingerprints by hash, over characters where both have them; two texts without
-    units are alike."""
+def likeness(marks_a: str, marks_b: str) -> str:
+    """SQL for the Jaccard likeness of two fingerprints by hash; two texts without units are alike."""
     hashes = "array_distinct(transform({0}, m -> shiftright(m, 31)))"
-    jaccard = bound(hashes.format("pair.a"), "a", bound(
-        hashes.format("pair.b"), "b", "if(size(a) + size(b) = 0, 1D, size(array_intersect(a, b)) / double(size(array_union(a, b))))"))
-    both = f"{chars_a} IS NOT NULL AND {chars_b} IS NOT NULL"
-    return bound(f"named_struct('a', if({both}, {chars_a}, {words_a}), 'b', if({both}, {chars_b}, {words_b}))", "pair", jaccard)
+    return bound(hashes.format(marks_a), "a", bound(
+        hashes.format(marks_b), "b", "if(size(a) + size(b) = 0, 1D, size(array_intersect(a, b)) / double(size(array_union(a, b))))"))
 
 
 def shown(marks_of: str) -> str:
-    """SQL for a fingerprint as text: hash@place of the marks; null where there are none of the kind."""
+    """SQL for a fingerprint as text: hash@place of the marks."""
     return f"array_join(transform({marks_of}, m -> concat(hex(shiftright(m, 31)), '@', {PLACE} - (m & {PLACE}))), ' ')"
 
 
@@ -69,15 +60,15 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<column>`` of the row that follows by key (null keys first, equal keys by the columns); the
     last row is followed by the first.
 
-    Rows go to buckets of key ranges: segments between approximate quantiles, each cut into equal widths, at most
-    ``SEGMENTS * BUCKETS_PER_SEGMENT`` in all. The first rows of a bucket are also put at the end of the bucket before,
-    so one shuffle of the rows does, and no task sees more than a bucket."""
+    Rows go to buckets of key ranges: segments between approximate quantiles, each cut into equal widths, as many as the
+    table needs for some ``ROWS_PER_BUCKET`` rows each. The first rows of a bucket are also put at the end of the bucket
+    before, so one shuffle of the rows does, and no task sees more than a bucket. Rows of one key are in one bucket."""
     order = "at_key"
     rows = docs.withColumn(order, F.coalesce(F.col(key).cast("long"), F.lit(-2 ** 63)))
     edges = sorted(set(docs.stat.approxQuantile(key, [i / SEGMENTS for i in range(SEGMENTS + 1)], 0.002))) if docs.columns else []
     if len(edges) < 2:
         edges = [edges[0], edges[0] + 1] if edges else [0.0, 1.0]
-    width = max(1, min(BUCKETS_PER_SEGMENT, -(-docs.count() // (SEGMENTS * ROWS_PER_BUCKET))))
+    width = max(1, -(-docs.count() // (SEGMENTS * ROWS_PER_BUCKET)))
     limits = "array(" + ", ".join(f"{edge!r}D" for edge in edges) + ")"
     segment = f"least({len(edges) - 1}, greatest(1, size(filter({limits}, e -> e <= double({order})))))"
     part = bound(segment, "s", f"s * {width} + greatest(0, least({width - 1}, int((double({order}) - {limits}[s - 1]) / ({limits}[s] - {limits}[s - 1]) * {width})))")
@@ -86,7 +77,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     by_bucket = Window.orderBy("bucket")  # one narrow row per bucket
     firsts = firsts.select(order, F.coalesce(F.lag("bucket").over(by_bucket), F.max("bucket").over(Window.partitionBy())).alias("earlier"),
                            F.lag("bucket").over(by_bucket).isNull().alias("around"))
-    rows = rows.join(F.broadcast(firsts), order, "left")  # bounded by the number of buckets
+    rows = rows.join(broadcast_if_small(firsts), order, "left")  # one row per bucket
     rows = rows.withColumn("place", F.explode(F.expr(
         "if(earlier IS NULL, array(named_struct('bucket', bucket, 'copy', false)), "
         "array(named_struct('bucket', bucket, 'copy', false), named_struct('bucket', earlier, 'copy', true)))")))
@@ -97,26 +88,19 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, body, words, chars (marks of the text), edited (the text whose last quarter is
-    replaced by the start of the next document), edited_words, edited_chars, next_words, next_chars.
+    """One row per row of ``docs``: key, body, marks (of the text), edited (the text whose last quarter is replaced by the
+    start of the next document), edited_marks, next_marks.
 
-    Null texts count as empty; repeated rows follow one another; equal texts have equal marks. The finer marks of an
-    edited text are there whenever the text itself has them. An empty table gives no rows."""
-    words, chars = fingerprint_sql("body")
+    Null texts count as empty; repeated rows follow one another; equal texts have equal marks. An empty table gives no rows."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.select("key", "body", F.expr(words).alias("words"), F.expr(chars).alias("chars"))
-    rows = with_next(rows, "key", ["body", "words", "chars"]).withColumn("edited", F.expr(
+    rows = rows.select("key", "body", F.expr(fingerprint_sql("body")).alias("marks"))
+    rows = with_next(rows, "key", ["body", "marks"]).withColumn("edited", F.expr(
         "concat(left(body, length(body) - length(body) div 4), left(next_body, length(body) div 4))"))
-    words, chars = fingerprint_sql("edited")
-    chars = f"if(chars IS NULL, null, {chars})"
-    return rows.select(F.col("key").alias(key), "body", "words", "chars", "edited", F.expr(words).alias("edited_words"),
-                       F.expr(chars).alias("edited_chars"), "next_words", "next_chars")
+    return rows.select(F.col("key").alias(key), "body", "marks", "edited", F.expr(fingerprint_sql("edited")).alias("edited_marks"), "next_marks")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     return fingerprints(docs).select(
         "doc_id", F.length("body").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.expr(shown("words")).alias("fingerprint"), F.expr(shown("edited_words")).alias("edited_fingerprint"),
-        F.expr(shown("chars")).alias("fine_fingerprint"), F.expr(shown("edited_chars")).alias("edited_fine_fingerprint"),
-        F.expr(likeness("words", "edited_words", "chars", "edited_chars")).alias("near_edited"),
-        F.expr(likeness("words", "next_words", "chars", "next_chars")).alias("near_next"))
+        F.expr(shown("marks")).alias("fingerprint"), F.expr(shown("edited_marks")).alias("edited_fingerprint"),
+        F.expr(likeness("marks", "edited_marks")).alias("near_edited"), F.expr(likeness("marks", "next_marks")).alias("near_next"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def test_likeness_and_guarantee(spark):
     passage = " ".join(f"shared{k}" for k in range(fp.WINDOW + fp.GRAM - 1))
     texts = [" ".join(f"{side}{k}" for k in range(300)) + " " + passage + " " + " ".join(f"{side}z{k}" for k in range(300)) for side in ("left", "right")]
     rows = fp.fingerprints(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")).collect()
-    hashes = [{m >> 31 for m in r["words"]} for r in rows]
+    hashes = [{m >> 31 for m in r["marks"]} for r in rows]
     assert hashes[0] & hashes[1]
     row = fp.document_fingerprints(spark.createDataFrame([(1, STORY * 4), (2, "entirely other things are said here " * 60)], "doc_id bigint, text string")).orderBy("doc_id").first()
     assert row["near_edited"] > 0.3 > row["near_next"]
@@ -70,3 +71,48 @@ def test_likeness_and_guarantee(spark):
 def test_shape(wide, nothing):
     assert fp.document_fingerprints(wide).count() == wide.count()
     assert fp.document_fingerprints(nothing).count() == 0
+
+
+def likeness_by_hand(spark, a: str, b: str) -> float:
+    """From the units up, in plain Python; only the hash function is Spark's."""
+    def kept(text: str) -> set[int]:
+        units = re.findall(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]", text)
+        grams = [units[k:k + fp.GRAM] for k in range(len(units) - fp.GRAM + 1)]
+        if not units:
+            return set()
+        if not grams:
+            return {("whole", tuple(units))}
+        frame = spark.createDataFrame([(k, g) for k, g in enumerate(grams)], "k int, g array<string>")
+        call = ", ".join(f"xxhash64(g[{j}])" for j in range(fp.GRAM))
+        codes = [r["h"] for r in frame.selectExpr("k", f"xxhash64({call}) & 4294967295 AS h").orderBy("k").collect()]
+        return {min(codes[k:k + fp.WINDOW]) for k in range(max(1, len(codes) - fp.WINDOW + 1))}
+
+    x, y = kept(a), kept(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_columns_by_hand(spark, awkward):
+    docs = ordered(awkward.filter("length(coalesce(text, '')) < 20000").collect())
+    rows = ordered(awkward.join(fp.document_fingerprints(awkward.filter("length(coalesce(text, '')) < 20000")).drop("n_chars"), "doc_id").collect())
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["near_edited"], r["near_next"]))
+    for k, doc in enumerate(docs):
+        if doc["doc_id"] is None:
+            continue
+        text, following = doc["text"] or "", docs[(k + 1) % len(docs)]["text"] or ""
+        quarter = len(text) // 4
+        edited = text[:len(text) - quarter] + following[:quarter]
+        want = (likeness_by_hand(spark, text, edited), likeness_by_hand(spark, text, following))
+        assert any(abs(want[0] - a) < 1e-12 and abs(want[1] - b) < 1e-12 for a, b in got[doc["doc_id"]]), (doc["doc_id"], want, got[doc["doc_id"]])
+
+
+def test_length_changes_nothing(spark):
+    """One pair on both sides of any length is compared alike."""
+    found = []
+    for size in (150, 998, 999, 1000, 1001, 3000):
+        words = " ".join(f"word{k}" for k in range(size))[:size]
+        rows = fp.document_fingerprints(spark.createDataFrame([(1, words), (2, "zz " + words)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+        assert set(rows[0].asDict()) == {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"}
+        found.append(rows[0]["near_next"])
+    assert max(found[1:5]) - min(found[1:5]) < 0.02 and min(found) > 0.7
