@@ -21,11 +21,15 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(short_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_pseudonyms(table(short_batches(spark), sf_dir, "documents"), pii.stored_key(spark))
+
+
 QUERIES = {
     "op1_license_scan": _over("documents", license_scan.license_scan),
     "op2_source_mix": _over("documents", mixing.source_mix),
     "op3_quality_rules": _over("documents", quality_rules.quality_rules),
-    "op4_pii_pseudonyms": _over("documents", pii.pii_pseudonyms),
+    "op4_pii_pseudonyms": _pseudonyms,
     "op5_url_filter": _over("pages", url_filter.url_filter),
     "op6_fingerprints": _over("documents", fingerprints.document_fingerprints),
     "op7_ngram_jaccard": _over("documents", ngram_join.ngram_jaccard),

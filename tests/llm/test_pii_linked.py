@@ -1,0 +1,107 @@
+"""Values keep their links however they are written; planted values are found at their places and nothing else is; the key."""
+
+from __future__ import annotations
+
+import inspect
+import random
+import re
+from datetime import date, timedelta
+
+import pytest
+
+from pendscope.llm import pii
+
+KEY = b"a key of the tests"
+
+
+def fake(kind: str, value: str) -> str:
+    (start, stop, found), = pii.found_in(f"see {value} there", KEY)
+    assert (start, stop, found) == (4, 4 + len(value), kind), value
+    return pii.pseudonym(kind, value, KEY)
+
+
+@pytest.mark.parametrize("kind, forms, plain", [
+    ("date", ["2020-03-04", "2020/03/04", "2020-3-4", "04.03.2020", "4.3.2020"],
+     lambda x: sorted((len(p), int(p)) [1] for p in re.split("[-./]", x))),
+    ("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"], lambda x: re.sub("[^0-9]", "", x)),
+    ("phone", ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "001 555 123 4567"], lambda x: re.sub("[^0-9]", "", x).removeprefix("00")),
+    ("phone", ["+49 30 1234567", "0049 30 1234567", "+49301234567"], lambda x: re.sub("[^0-9]", "", x).removeprefix("00")),
+    ("email", ["anna@mail.example.com", "Anna@mail.example.com", "ANNA@MAIL.example.com"], str.lower),
+    ("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], lambda x: x.replace(" ", "")),
+    ("ip", ["2001:db8::ff00:42:8329", "2001:0db8:0:0:0:ff00:42:8329"], str),
+])
+def test_linked_across_forms(kind, forms, plain):
+    assert len({str(plain(fake(kind, form))) for form in forms}) == 1
+
+
+@pytest.mark.parametrize("kind, value", [
+    ("phone", "+49 30 1234567"), ("phone", "+44 20 7946 0958"), ("phone", "0049 30 123456"), ("date", "1/2/2020"), ("date", "2020-3-4"),
+    ("ip", "2001:db8::ff00:42:8329"), ("ip", "fe80::1"), ("phone", "+351 21 123 4567"), ("phone", "+7 (495) 123-45-67")])
+def test_once_left_in_clear(kind, value):
+    changed, spots = pii.replaced(f"call {value}, or", KEY)
+    assert [k for _, _, k in spots] == [kind] and value not in changed
+    again = pii.pseudonym(kind, pii.pseudonym(kind, value, KEY), KEY, back=True)
+    assert [int(x, 16) for x in re.findall("[0-9a-f]+", again)] == [int(x, 16) for x in re.findall("[0-9a-f]+", value)]
+
+
+@pytest.mark.parametrize("text", ["std::string", "a::b", "::", "12:30:45", "+1", "00", "+0 123 456 789", "003", "2020-13-41", "32/1/2020", "1.2.20", "v1:2", "10:20:30:40",
+                                  "dead::beef"])
+def test_lookalikes_stay(text):
+    assert pii.replaced(f"see {text} there", KEY) == (None, [])
+
+
+def planted(dice: random.Random) -> tuple[str, str]:
+    digits = lambda n: "".join(dice.choices("0123456789", k=n))
+    kind = dice.choice(["email", "card", "ip", "date", "ssn", "phone", "iban"])
+    if kind == "email":
+        return kind, f"{dice.choice(['jo', 'a.b', 'X-9'])}{digits(2)}@host{digits(1)}.example.org"
+    if kind == "card":
+        body = "4" + digits(14)
+        body += pii.luhn_digit(body)
+        return kind, body if dice.random() < 0.5 else " ".join(body[k:k + 4] for k in range(0, 16, 4))
+    if kind == "ip":
+        return kind, ".".join(str(dice.randint(0, 255)) for _ in range(4)) if dice.random() < 0.5 else ":".join(f"{dice.randint(4096, 65535):x}" for _ in range(8))
+    if kind == "date":
+        day = date(1950, 1, 1) + timedelta(dice.randint(0, 30000))
+        return kind, day.strftime(dice.choice(["%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y"]))
+    if kind == "ssn":
+        return kind, f"{dice.randint(1, 665):03d}-{dice.randint(1, 99):02d}-{dice.randint(1, 9999):04d}"
+    if kind == "phone":
+        return kind, dice.choice([f"+44 20 {digits(4)} {digits(4)}", f"+1 {digits(3)} {digits(3)} {digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}"])
+    bare = "DE00" + digits(18)
+    return kind, "DE" + pii._iban_checks(bare) + bare[4:]
+
+
+def test_planted_values(spark):
+    dice = random.Random(9)
+    words = ["over", "the", "bridge", "12", "v2", "7%", "nine", "A4", "x=3", "no.", "Straße", "日本", "3.5", "2019"]
+    texts, wanted = [], []
+    for _ in range(400):
+        text, spots = "", []
+        for _ in range(dice.randint(0, 12)):
+            if dice.random() < 0.3:
+                kind, value = planted(dice)
+                text += "and "
+                spots.append((len(text), len(text) + len(value), kind))
+                text += value + ", "
+            else:
+                text += dice.choice(words) + ", "
+        texts.append(text)
+        wanted.append(spots)
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), KEY).collect()
+    for row in rows:
+        want = wanted[row["doc_id"]]
+        assert row["pii"] == ",".join(f"{kind}:{a}:{b}" for a, b, kind in want), texts[row["doc_id"]]
+        assert not any(texts[row["doc_id"]][a:b] in row["text"] for a, b, _ in want)
+
+
+def test_key_has_no_default_and_is_kept(spark, monkeypatch):
+    for function in (pii.pseudonym, pii.replaced, pii.found_in, pii.pseudonymise, pii.pii_pseudonyms, pii.pseudonymised_documents):
+        assert inspect.signature(function).parameters["key"].default is inspect.Parameter.empty
+    made = pii.stored_key(spark)
+    assert made == pii.stored_key(spark) and len(made) == 64
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.stored_key(spark) == b"mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
