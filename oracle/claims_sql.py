@@ -318,6 +318,10 @@ SQL = {
         "JOIN (SELECT theme, count(*) AS n FROM pended GROUP BY theme) t ON t.theme = p.theme "
         "WHERE cluster_id IS NOT NULL GROUP BY p.theme, cluster_id", PENDED),
 }
+SQL["claim_page"] = SQL["claim_list"].replace("OFFSET 25", "OFFSET 3725")
+SQL["claim_phrases"] = with_claims(
+    "SELECT claim_id, pended, CASE WHEN NOT pended THEN NULL WHEN cluster_id IS NULL THEN '' ELSE upper(cluster_id) || '; of ' || theme END AS cluster_phrases FROM claims")
+SQL["cluster_profile_named"] = "SELECT *, upper(cluster_id) || '; of ' || theme AS key_phrases, 'note of ' || cluster_id AS example_note FROM (" + SQL["cluster_profile"] + ")"
 SQL["claim_lookup"] = SQL["claim_detail"] + " WHERE claim_id = 'C2600000007'"
 SQL["interventions_top"] = SQL["interventions"] + " WHERE rank <= 4"
 SQL["theme_playbook"] = with_claims(

@@ -210,6 +210,11 @@ SELECT d.doc_id, d.lang, coalesce(s.split, 'unlabelled') AS split FROM documents
         "found AS (SELECT theme, sum(n * (n - 1) / 2) AS s2, count(*) AS clusters FROM (SELECT theme, cluster_id, count(*) AS n FROM labelled GROUP BY ALL) GROUP BY theme)"),
     "silhouette": f"WITH {_pairs('label')} SELECT 'label' AS labelling, (SELECT count(*) FROM points) AS points, "
                   f"round({_mean_silhouette('label')}, 5) AS silhouette",
+    "silhouette_sampled": """WITH points AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings ORDER BY md5(vec_id || ':1'), vec_id LIMIT 1500),
+means AS (SELECT x.vec_id AS i, x.label = y.label AS same, y.label AS other, avg(list_distance(x.e, y.e)) AS m
+  FROM points x JOIN points y ON x.vec_id <> y.vec_id GROUP BY x.vec_id, x.label = y.label, y.label),
+each AS (SELECT i, max(m) FILTER (WHERE same) AS a, min(m) FILTER (WHERE NOT same) AS b FROM means GROUP BY i)
+SELECT (SELECT count(*) FROM points) AS points, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM each""",
     "choose_k": f"WITH {_pairs(', '.join(f'{rule} AS {name}' for name, rule in K_RULES.items()))}, scores AS ("
                 + " UNION ALL ".join(f"SELECT {name[1:]} AS k, {_mean_silhouette(name)} AS s" for name in K_RULES)
                 + ") SELECT CAST(min(k) AS INTEGER) AS k, round(arg_min(s, k), 5) AS silhouette FROM scores WHERE s >= (SELECT max(s) FROM scores) - 0.03",

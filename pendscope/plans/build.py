@@ -103,7 +103,7 @@ def build(spark: SparkSession, claims: DataFrame, out: str, start: date, end: da
     done.clusters.members.select("theme", "note", "cluster_id").write.parquet(f"{folder}/members")
     day_digests(stored).write.parquet(f"{folder}/manifest/0")
     for name, report in done.reports.items():
-        report.write.mode("overwrite").parquet(f"{folder}/report/{name}")
+        write_report(report, folder, name)
     as_of = end + timedelta(days=AS_OF_LAG_DAYS)
     seconds = round(time.monotonic() - began, 1)
     spark.createDataFrame([(start, end, as_of, seed, seconds)], "start date, end date, as_of date, seed long, build_seconds double"
@@ -117,6 +117,26 @@ def _point_to(spark: SparkSession, out: str, folder: str, version: int) -> None:
     spark.createDataFrame([(folder, time.time_ns(), version)], VERSIONED).coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
 
 
+CATALOGUE_SCHEMA = "cluster_id string, theme string, claims bigint, key_phrases array<string>, example_note string, silhouette double, settled boolean"
+REPORT_VERSION = 1
+
+
+def write_report(report: DataFrame, folder: str, name: str) -> None:
+    """A report of a build; its folder says in which version of their columns reports are written."""
+    report.write.mode("overwrite").parquet(f"{folder}/report/{name}/version={REPORT_VERSION}")
+
+
+def read_report(spark: SparkSession, out: str, name: str, schema: str | None = None) -> DataFrame:
+    """A stored report of the current build. One of another version is not found rather than misread."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{current_build(spark, out)}/report/{name}/version={REPORT_VERSION}")
+
+
+def stored_catalogue(spark: SparkSession, out: str) -> DataFrame:
+    """The cluster catalogue of the current build, for theme and claim pages."""
+    return read_report(spark, out, "clusters", CATALOGUE_SCHEMA)
+
+
 def day_digests(claims: DataFrame) -> DataFrame:
     """(received_date, n, digest): one row per day that changes with any of its claims, in whatever order they are read."""
     columns = [F.col(name).cast("string") for name in CLAIMS_SCHEMA.fieldNames()]

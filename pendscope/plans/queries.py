@@ -98,6 +98,7 @@ CLAIM_QUERIES: dict[str, Query] = {
     "top_providers": _over_claims(themes.top_providers),
     "sample_notes": _over_claims(themes.sample_notes, notes=True),
     "claim_list": _over_claims(browse.claim_list, page=2),
+    "claim_page": _over_claims(browse.claim_page, page=150),
     "claim_list_filtered": _over_claims(browse.claim_list, theme="fwa_review", status="Paid", over_target=True, size=50),
     "claim_search": _over_claims(lambda claims: browse.list_view(browse.find_claims(claims, query=" Idiot ")), notes=True),
     "claim_detail": _over_claims(browse.claim_detail, claim_type=True, notes=True),

@@ -12,12 +12,14 @@ from pendscope.config import MIN_CONFIDENCE, NEEDS_REVIEW
 from pendscope.functions.text import doc_text_sql
 from pendscope.operators import cluster as clusters
 from pendscope.operators import kmeans, scoring
+from pendscope.operators.browse import claim_detail
 from pendscope.operators.classify import TERM_SCHEMA, TOLERANCE, TextModel, certificate, class_probabilities, classify, fit_classifier
 from pendscope.operators.routing import route_questions
 from pendscope.operators.sampling import label_split, labelled_sample
 from pendscope.operators.scope import confidence_floor
+from pendscope.operators.themes import cluster_profile
 from pendscope.operators.terms import doc_text, term_counts, tfidf, tokenise, vocabulary
-from pendscope.plans.build import build, current_build, enrich_claims, update_build
+from pendscope.plans.build import _point_to, build, current_build, enrich_claims, stored_catalogue, update_build, write_report
 from pendscope.plans.reconcile import reconcile
 from pendscope.session import cut_lineage, shared_folder, spread
 from pendscope.sources.adapter import claims_of
@@ -111,6 +113,34 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("labelling", "points", "round(silhouette, 5) AS silhouette")
 
 
+def silhouette_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.silhouette_sampled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return found.selectExpr("points", "round(silhouette, 5) AS silhouette")
+
+
+def _named(spark: SparkSession, claims: DataFrame) -> DataFrame:
+    """A catalogue stated by formula, stored as the report of a build and read back by its pointer."""
+    out = f"{shared_folder(spark)}/named-{uuid.uuid4().hex}"
+    stated = claims.filter("cluster_id IS NOT NULL").groupBy("cluster_id", "theme").agg(F.count("*").alias("claims")).selectExpr(
+        "cluster_id", "theme", "claims", "array(upper(cluster_id), concat('of ', theme)) AS key_phrases", "concat('note of ', cluster_id) AS example_note",
+        "cast(NULL AS double) AS silhouette", "true AS settled")
+    write_report(stated, f"{out}/one", "clusters")
+    _point_to(spark, out, f"{out}/one", 0)
+    return stored_catalogue(spark, out)
+
+
+def cluster_profile_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = claims_of(spark, sf_dir)
+    return cluster_profile(claims, _named(spark, claims)).withColumn("key_phrases", F.concat_ws("; ", "key_phrases"))
+
+
+def claim_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases on every claim's page; a held claim without a cluster has none, one not held has null."""
+    claims = claims_of(spark, sf_dir, claim_type=True, notes=True)
+    detail = claim_detail(claims, catalogue=_named(spark, claims))
+    return detail.selectExpr("claim_id", "pended", "array_join(cluster_phrases, '; ') AS cluster_phrases")
+
+
 def _k_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", *(f"{rule} AS {name}" for name, rule in K_RULES.items()))
     found = scoring.silhouette(points, "embedding", list(K_RULES))
@@ -318,6 +348,9 @@ TEXT_QUERIES = {
     "code_only_accuracy": code_only_accuracy,
     "adjusted_rand": adjusted_rand,
     "silhouette": silhouette,
+    "silhouette_sampled": silhouette_sampled,
+    "cluster_profile_named": cluster_profile_named,
+    "claim_phrases": claim_phrases,
     "choose_k": choose_k,
     "route_questions": routed,
     "events_daily": events_daily,
