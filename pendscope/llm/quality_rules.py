@@ -69,9 +69,9 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     for r in RULES:
         strength = F.expr(f"if({r}_v > 1e-12, greatest(1D, least(1000D, {r}_m * (1 - {r}_m) / {r}_v - 1)), 1000D)")
         moments = moments.withColumn(f"{r}_s", strength)
-    one = broadcast_if_small(moments, 1).withColumn("join_all", F.lit(1))
-    return hosts.withColumn("join_all", F.lit(1)).join(one, "join_all").select("host", *(
-        F.expr(f"({r} + {r}_s * {r}_m) / (n + {r}_s) > {HOST_RATE}D").alias(f"host_{r}") for r in RULES))
+    over_all = moments.select(F.struct(*moments.columns)).scalar()  # one row, as a subquery
+    return hosts.withColumn("all", over_all).select("host", *(
+        F.expr(f"({r} + `all`.{r}_s * `all`.{r}_m) / (n + `all`.{r}_s) > {HOST_RATE}D").alias(f"host_{r}") for r in RULES))
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
