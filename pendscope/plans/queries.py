@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pendscope.functions.columns import rounded
 from pendscope.config import RANK_METRICS, STAGE_ORDER
-from pendscope.operators import browse, cube, emerging, findings, interventions, journey, kpis, segments, themes, trends
+from pendscope.operators import browse, cube, emerging, findings, interventions, journey, kpis, search_index, segments, themes, trends
 from pendscope.operators.scope import Scope, scope
 from pendscope.plans.text_queries import TEXT_QUERIES
 from pendscope.session import shared_folder
@@ -122,4 +122,16 @@ CUBE_QUERIES: dict[str, Query] = {
     "cube_kpis": _from_cube(cube.kpis_of), "cube_themes": _from_cube(cube.themes_of), "cube_segments": _from_cube(cube.segments_of),
     "cube_stages": _from_cube(cube.stages_of), "cube_daily": _from_cube(cube.daily_of), "cube_daily_themes": _from_cube(cube.daily_themes_of),
 }
-QUERIES: dict[str, Query] = {**CLAIM_QUERIES, **CUBE_QUERIES, **TEXT_QUERIES}
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims and their index are written, read back and searched."""
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    claims = claims_of(spark, sf_dir, notes=True)
+    search_index.write_searchable(claims, f"{path}/claims")
+    stored = spark.read.schema(claims.schema).parquet(f"{path}/claims")
+    search_index.index_files(stored).write.parquet(f"{path}/index")
+    return browse.list_view(search_index.find_indexed(stored, search_index.read_index(spark, f"{path}/index"), " Idiot "))
+
+
+QUERIES: dict[str, Query] = {**CLAIM_QUERIES, **CUBE_QUERIES, "claim_search_indexed": _searched, **TEXT_QUERIES}
