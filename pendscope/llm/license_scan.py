@@ -21,20 +21,49 @@ PHRASES = {  # fixed values: a phrase and the label it proves
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-TEMPLATES = (  # opening lines of public licenses
+_NOTICE = ("free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation "
+           "either version {} of the license or at your option any later version")
+TEMPLATES = (  # statements and notices of public licenses
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at "
+                 "http www apache org licenses license 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", _NOTICE.format("general public license", "2")),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("gpl-3", _NOTICE.format("general public license", "3")),
+    ("lgpl-2.1", _NOTICE.format("lesser general public license", "2 1")),
+    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl-3", _NOTICE.format("lesser general public license", "3")),
+    ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    ("agpl-3", _NOTICE.format("affero general public license", "3")),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+              "from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
 )
 CONTAINED = 0.8
-WHOLE_BELOW = 10  # of templates with fewer words than this none may be missing
-NAMES = ("mit", "apache", "nc", "noncommercial", "gnu", "general", "public", "mozilla", "2", "3")  # of longer ones none of these
+WHOLE_BELOW = 13  # of templates with fewer words than this none may be missing
+NEAR = 0.25  # a template is near another that holds all but this share of its words
+
+
+def telling_words(templates=TEMPLATES, whole_below: int = WHOLE_BELOW, near: float = NEAR) -> list[tuple[list[str], list[list[str]]]]:
+    """What tells each template from its near ones of other labels: the words that may not be missing, and groups of words that may not
+    all be there. A near template that lacks words of this one makes them necessary; one that holds all of them
+    refutes by the words it adds ("lesser", say). Of a short template every word is necessary."""
+    sets = [(label, set(text.split())) for label, text in templates]
+    told = []
+    for (label, words), (_, text) in zip(sets, templates):
+        others = [other for name, other in sets if name != label and len(words - other) <= near * len(words)]
+        must = words if len(text.split()) < whole_below else set().union(*(words - other for other in others))
+        told.append((sorted(must), [sorted(other - words) for other in others if words < other]))
+    return told
 
 
 def _array(words) -> str:
@@ -59,20 +88,23 @@ def _own_width(text: str) -> int:
 
 def _in_own_windows(rows: DataFrame, candidates: DataFrame, templates, contained: float) -> DataFrame:
     """Labels and best share of each row over its candidate templates. A window starts at a template word and is a quarter
-    longer than the template; it proves the label if it holds enough of the words and all of those that may not be missing."""
-    specs = []
+    longer than the template; it proves the label if it holds enough of the words, all of those that may not be missing, and no
+    group of words that speaks for a near template instead."""
+    told, specs = telling_words(templates), []
     for number, (label, text) in enumerate(templates):
         words = sorted(set(text.split()))
-        must = words if len(text.split()) < WHOLE_BELOW else [word for word in words if word in NAMES]
-        specs.append((number, label, words, must, _need(len(words), contained), _own_width(text)))
-    specs = candidates.sparkSession.createDataFrame(specs, "template int, label string, words array<string>, must array<string>, need int, width int")
+        near = sorted({word for group in told[number][1] for word in group})
+        specs.append((number, label, words, *told[number], words + near, _need(len(words), contained), _own_width(text)))
+    specs = candidates.sparkSession.createDataFrame(
+        specs, "template int, label string, words array<string>, must array<string>, refuted array<array<string>>, seen array<string>, need int, width int")
     held = "array_distinct(transform(filter(slice(mine, i + 1, width), y -> y.at < x.at + width), y -> y.word))"
     return (
         candidates.join(rows.filter("places IS NOT NULL").select("row", "places"), "row").join(F.broadcast(specs), "template")
-        .withColumn("mine", F.expr("filter(places, x -> array_contains(words, x.word))")).drop("places")
+        .withColumn("mine", F.expr("filter(places, x -> array_contains(seen, x.word))")).drop("places")
         .withColumn("windows", F.expr(f"transform(mine, (x, i) -> {held})"))
-        .withColumn("proved", F.expr("exists(windows, w -> size(w) >= need AND size(array_except(must, w)) = 0)"))
-        .withColumn("share", F.expr("array_max(transform(windows, w -> size(w))) / double(size(words))"))
+        .withColumn("proved", F.expr("exists(windows, w -> size(array_intersect(w, words)) >= need AND size(array_except(must, w)) = 0 "
+                                     "AND NOT exists(refuted, g -> size(array_except(g, w)) = 0))"))
+        .withColumn("share", F.expr("array_max(transform(windows, w -> size(array_intersect(w, words)))) / double(size(words))"))
         .groupBy("row").agg(F.collect_set(F.expr("if(proved, label, null)")).alias("labels"), F.max("share").alias("share"))
     )
 
@@ -83,7 +115,8 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     labels), score (best share of a template found in a block; 0 where no block holds enough of any).
 
     With ``own_windows`` the blocks only name candidates. Labels then come from windows of a template's own length
-    that miss no distinguishing word, and score is the best share of a candidate in such a window, proved or not.
+    that miss no word which tells the template from its near ones (:func:`telling_words`, for any ``templates``), and score is the best
+    share of a candidate in such a window, proved or not, and 1 where a phrase stands.
 
     Null and empty texts have no words. Rows are numbered, so repeated rows and keys stay apart; ties between
     words of equal frequency go by the word. The text is read once. Only rows that hold enough template words anywhere
@@ -145,7 +178,7 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     return rows.join(found, "row", "left").select(
         F.col("key").alias(key), "n_words", "starts",
         F.expr("array_sort(array_union(transform(starts, s -> s.label), coalesce(labels, array())))").alias("labels"),
-        F.coalesce("share", F.lit(0.0)).alias("score"))
+        F.expr("if(size(starts) > 0, 1D, coalesce(share, 0D))" if own_windows else "coalesce(share, 0D)").alias("score"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
