@@ -56,6 +56,18 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def meet(rows: DataFrame, one: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has one row per ``key`` and in ``weight`` the number of rows of that key. ``n_rows``
+    bounds the sum of the weights, so fewer than ``SMALL_ROWS`` keys have n_rows / SMALL_ROWS rows or more: these are broadcast and their
+    rows stay where they are. Only rows of the other keys are shuffled, a bounded number of each. Null keys meet nothing."""
+    hot = n_rows // SMALL_ROWS + 1
+    hubs = F.broadcast(one.filter(f"{weight} >= {hot}").drop(weight))
+    if hot == 1:  # all keys are few
+        return rows.join(hubs, key)
+    others = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(one.filter(f"{weight} < {hot}").drop(weight), key)
+    return rows.join(hubs, key).unionByName(others)
+
+
 def text_key(column: str) -> Column:
     """A join key that keeps null apart from every text."""
     return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pendscope.llm.common import BROADCAST_IDS, broadcast_if_small, stored
-from pendscope.llm.components import components
+from pendscope.llm.common import BROADCAST_IDS, broadcast_if_small, meet, stored
+from pendscope.llm.components import components, with_least
 
 GRAM = 5
 SIMILAR = 0.8
@@ -238,12 +238,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .unionByName(in_blocks.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
     )
     roots = components(linked.selectExpr("a AS u", "b AS v").unionByName(in_blocks.selectExpr("node AS u", "hub AS v")))
-    classed = nodes.select("node", "set_key", "least", "copies").join(roots, "node", "left").join(links, "node", "left")
-    least = classed.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"))
-    classed = classed.join(least, "root", "left").selectExpr(
-        "set_key", "coalesce(class_id, least) AS class_id", "copies - 1 + coalesce(links, 0) AS n_links")
+    roots = stored(roots, "join-roots")
+    joined = nodes.select("node", "set_key", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
+    joined = stored(joined.selectExpr("set_key", "copies", "copies - 1 + coalesce(links, 0) AS n_links", "root AS u", "least AS v"), "join-linked-nodes")
+    in_class = with_least(joined.filter("u IS NOT NULL"), roots.count()).selectExpr("set_key", "copies", "n_links", "m AS class_id")
+    classed = in_class.unionByName(joined.filter("u IS NULL").selectExpr("set_key", "copies", "n_links", "v AS class_id"))
     alone = signed.filter("set_key IS NULL").selectExpr(f"key AS `{key}`", "key AS class_id", "0L AS n_links", "n_grams")
-    found = signed.filter("set_key IS NOT NULL").join(classed, "set_key").selectExpr(f"key AS `{key}`", "class_id", "n_links", "n_grams")
+    classed = stored(classed, "join-classed")
+    found = meet(signed.filter("set_key IS NOT NULL").drop("bands"), classed, "set_key", "copies", signed.count()).selectExpr(f"key AS `{key}`", "class_id", "n_links", "n_grams")
     return found.unionByName(alone)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from llm_cases import awkward, nothing, wide  # noqa: F401
 from pendscope.llm import ngram_join as nj
+from pendscope.llm import common
 from pendscope.llm.components import components
 
 
@@ -109,3 +110,15 @@ def test_hot_copies(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'one two three four five six', concat('only ', id, ' words ', id * 7, ' here ', id))").alias("text"))
     rows = {r["doc_id"]: r for r in nj.ngram_jaccard(docs).collect()}
     assert rows[0]["n_links"] == 999 and rows[2997]["class_id"] == 0 and rows[1]["n_links"] == 0
+
+
+def test_hubs_meet_by_broadcast(spark, monkeypatch):
+    """The way of large tables, with few keys allowed: hot keys are broadcast, all others shuffled."""
+    monkeypatch.setattr(common, "SMALL_ROWS", 3)
+    test_components(spark)
+    test_hot_copies(spark)
+    rows = spark.createDataFrame([(k % 10 if k % 3 else 7, k) for k in range(300)] + [(None, 1)], "u bigint, v bigint")
+    one = rows.groupBy("u").agg(F.max("v").alias("top"), F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(one.drop("n"), "u").collect()))
+    assert sorted(map(tuple, common.meet(rows, one, "u", "n", 301).collect())) == want
+    assert common.meet(rows.limit(0), one.limit(0), "u", "n", 0).count() == 0
