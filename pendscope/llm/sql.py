@@ -15,13 +15,13 @@ weighted AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
     2 * source_size AS most, CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE AS budget FROM sizes),
 ordered AS (
-  SELECT *, budget - coalesce(CAST(sum(most) OVER w AS BIGINT), 0) AS rest,
+  SELECT *, row_number() OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST) AS place, budget - coalesce(CAST(sum(most) OVER w AS BIGINT), 0) AS rest,
     CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER w AS BIGINT), 0) AS weight_left
   FROM weighted WINDOW w AS (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, most * weight_left <= weight * rest AS stopped FROM ordered),
 targets AS (
   SELECT source, source_size, CASE WHEN stopped THEN most::DOUBLE ELSE weight * (
-    SELECT arg_min(rest / weight_left, most::DOUBLE / weight) FROM levels WHERE NOT stopped) END AS target FROM levels),
+    SELECT arg_min(rest / weight_left, place) FROM levels WHERE NOT stopped) END AS target FROM levels),
 budgets AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(2, CAST(floor(target) AS BIGINT) // source_size) END AS whole FROM targets),
 placed AS (
