@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pendscope.llm.quality_rules import BASE, HOST_RATE, RULES
-
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _MIX = rf"""
@@ -33,8 +31,17 @@ placed AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, room - before)) AS BIGINT) AS taken FROM placed
 """
 
+#: The rules, stated a second time: a twin that took them from the operator would agree with a wrong one.
+RULES = {
+    "symbols": "n_symbols * 10 > n_words",
+    "mostly_symbols": "n_symbols > n_words",
+    "dup_lines": "n_dup_lines >= 2 AND n_dup_lines * 10 > n_lines * 3",
+    "repeats": "n_repeat_words * 10 > n_words * 3",
+    "word_length": "NOT (word_chars >= 3 * n_words AND word_chars <= 12 * n_words)",
+}
+BASE = "(n_words < 50 OR n_repeat_words * 2 > n_words)"
 _SHRUNK = " OR ".join(
-    f"(({rule}) AND (f.{r} + m.{r}_s * m.{r}_m) / (f.n + m.{r}_s) > {HOST_RATE})" for r, rule in RULES.items())
+    f"(({rule}) AND (f.{r} + m.{r}_s * m.{r}_m) / (f.n + m.{r}_s) > 0.3)" for r, rule in RULES.items())
 
 _QUALITY = rf"""
 WITH split AS (
