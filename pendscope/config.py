@@ -18,6 +18,7 @@ MIN_ROWS_TO_SPLIT = 60
 CLUSTER_COUNTS = (2, 3, 4, 5)
 SIMPLER_SPLIT_TOLERANCE = 0.03
 KEY_PHRASES = 4
+MOST_INTERVENTIONS = 12
 GENERIC_PEND_CODE = "PND-000"
 NEEDS_REVIEW = "needs_review"
 STAGE_ORDER = ("intake", "pre_adjudication", "adjudication", "post_adjudication")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pendscope.config import MOST_INTERVENTIONS
 from pendscope.functions.columns import aggregates, rounded
 from pendscope.operators.kpis import volume_basis
 from pendscope.operators.themes import hold_quantile, per_hold, theme_figures
@@ -36,12 +37,12 @@ PLAN_COLUMNS = (
 
 
 def interventions(claims: DataFrame, top_n: int | None = None, with_median: bool = True, advice: DataFrame | None = None) -> DataFrame:
-    """Themes by removable days per unit of effort; ``top_n`` is at least 1. ``advice`` holds the user's texts."""
+    """Themes by removable days per unit of effort; ``top_n`` is held between 1 and 12, None gives the whole plan. ``advice`` holds the user's texts."""
     holds = per_hold(claims) if with_median else None
     plan = _plan(claims, advice, holds)
     columns = list(PLAN_COLUMNS)
     if top_n is not None:
-        plan = plan.filter(F.col("rank") <= max(1, top_n))
+        plan = plan.filter(F.col("rank") <= max(1, min(top_n, MOST_INTERVENTIONS)))
     if with_median:
         plan = plan.join(F.broadcast(hold_quantile(holds)), "theme", "left").withColumn(
             "median_pend_days", rounded("quantile / 86400D", 1))

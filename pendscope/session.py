@@ -44,6 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 1_000_000  # of narrow rows
+
+
+def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; it is read no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 SPREAD_BYTES = 16 << 20
 
 

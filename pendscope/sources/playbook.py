@@ -70,10 +70,11 @@ def denial_dim(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame
 
 
 def with_advice(themes: DataFrame, advice: DataFrame | None = None) -> DataFrame:
-    """``themes`` with the columns of ``advice``; null where it says nothing. It is read as one row per theme."""
+    """``themes`` with the columns of ``advice``; null where it says nothing. It is read as one row per theme.
+    Its size is the user's affair, so Spark chooses the join by the size it finds."""
     if advice is None:
         return themes.withColumns({name: F.lit(None).cast("string") for name in ADVICE})
-    return themes.join(F.broadcast(advice.select("theme", *ADVICE).dropDuplicates(["theme"])), "theme", "left")
+    return themes.join(advice.select("theme", *ADVICE).dropDuplicates(["theme"]), "theme", "left")
 
 
 def playbook(spark: SparkSession) -> DataFrame:

@@ -148,6 +148,11 @@ def test_silhouette_and_choice_of_k(spark):
     assert pick_k({2: 0.5, 3: 0.52, 4: 0.534}) == 3 and pick_k({2: None, 3: None}) == 2
 
 
+def test_silhouette_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "within", lambda df: False)
+    test_silhouette_and_choice_of_k(spark)
+
+
 def test_scores_of_known_predictions(spark):
     pairs = [("a", "a")] * 5 + [("a", "b")] * 2 + [("b", "b")] * 3 + [("b", "needs_review")]
     df = spark.createDataFrame(pairs, "truth string, guess string")
