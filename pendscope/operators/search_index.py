@@ -16,6 +16,7 @@ from pendscope.operators.browse import WHITESPACE, find_claims
 SEARCHED = ("claim_id", "adjuster_note", "provider_id")
 PIECE = 3
 BITS = 4 * 32_768
+SHORT = 64  # characters
 FILE_ROWS = 200_000
 INDEX_SCHEMA = "file string, part bigint, bits binary"
 
@@ -40,7 +41,12 @@ def index_files(stored: DataFrame, known: DataFrame | None = None) -> DataFrame:
     rows = stored.select(F.col("_metadata.file_path").alias("file"), *SEARCHED)
     if known is not None:
         rows = rows.join(known.select("file").distinct(), "file", "left_anti")
-    places = rows.select("file", F.explode(F.expr(f"concat({', '.join(map(_pieces, SEARCHED))})")).alias("place")).distinct()
+    texts = rows.select("file", F.explode(F.array(*(F.lower(name) for name in SEARCHED))).alias("text")).filter(f"length(text) >= {PIECE}")
+    # most texts are keys: their pieces are cut by position in compiled code, which a long text would pay for by its square
+    short = texts.filter(f"length(text) <= {SHORT}").withColumn("at", F.explode(F.expr(f"sequence(1, length(text) - {PIECE - 1})")))
+    short = short.selectExpr("file", f"1 + pmod(xxhash64(substring(text, at, {PIECE})), {BITS}) AS place")
+    long = texts.filter(f"length(text) > {SHORT}").select("file", F.explode(F.expr(_pieces("text"))).alias("place"))
+    places = short.unionByName(long).distinct()
     return places.groupBy("file", F.expr("bitmap_bucket_number(place)").alias("part")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
 

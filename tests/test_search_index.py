@@ -57,3 +57,16 @@ def test_empty_table_and_empty_texts(spark, claims, tmp_path):
     claims.limit(0).write.parquet(f"{tmp_path}/none")
     none = spark.read.schema(claims.schema).parquet(f"{tmp_path}/none")
     assert find_indexed(none, index_files(none), "note").count() == 0 and search_report(none, index_files(none), "note").first()["files"] == 0
+
+
+def test_long_and_short_texts_have_the_same_pieces(spark, tmp_path):
+    from pendscope.operators import search_index
+
+    text = "Straße ÄÖ 😀 zebra " * 3
+    rows = [(f"K{i}", text[:n], None) for i, n in enumerate((0, 2, 3, 40, 57))]
+    spark.createDataFrame(rows, "claim_id string, adjuster_note string, provider_id string").coalesce(1).write.parquet(f"{tmp_path}/c")
+    stored, keep, found = spark.read.parquet(f"{tmp_path}/c"), search_index.SHORT, []
+    for search_index.SHORT in (64, 2):
+        found.append(sorted((r["part"], bytes(r["bits"])) for r in index_files(stored).collect()))
+    search_index.SHORT = keep
+    assert found[0] == found[1] and found[0]
